@@ -77,6 +77,27 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def _calendar(self, folded: DataFrame, subjects: DataFrame, idx: str, length: int, step: int,
+                  values: tuple[str, ...]) -> DataFrame:
+        """Zero-filled rows ``0 .. length-1`` per subject.
+
+        Present rows travel as one small map per (subject, stretch of
+        ``step`` positions); the zeros are only made after the shuffle.
+        """
+        stretch = F.call_function("div", F.col(idx), F.lit(step))
+        entry = F.struct(F.col(idx), F.struct(*values).alias("v"))
+        every = subjects.select("subject", F.explode(
+            F.sequence(F.lit(0).cast("long"), F.lit(length // step - 1).cast("long"))).alias("_s"))
+        none = F.lit(None).cast(f"struct<{idx}:bigint,v:struct<{','.join(f'{v}:bigint' for v in values)}>>")
+        packed = (
+            folded.select("subject", stretch.alias("_s"), entry.alias("_e")).unionByName(every.select("subject", "_s", none.alias("_e")))
+            .groupBy("subject", "_s").agg(F.map_from_entries(F.collect_list("_e")).alias("_m"))
+        )
+        positions = F.sequence(F.col("_s") * step, (F.col("_s") + 1) * step - 1)
+        rows = packed.select("subject", "_m", F.explode(positions).alias(idx)).select(
+            "subject", idx, F.try_element_at("_m", F.col(idx)).alias("_v"))
+        return rows.select("subject", idx, *[F.coalesce(F.col(f"_v.{v}"), F.lit(0)).alias(v) for v in values])
+
     @cached_property
     def epochs(self) -> DataFrame:
         ev = self.raw("events")
@@ -84,22 +105,15 @@ class Tables:
         kind = F.col("event_type")
         seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
         zero = F.lit(0).cast("long")
-        part = lambda *kinds: F.when(kind.isin(*kinds), cents).otherwise(zero)
-        active = ev.select(
+        part = lambda *kinds: F.sum(F.when(kind.isin(*kinds), cents).otherwise(zero))
+        folded = ev.groupBy(
             F.col("user_id").alias("subject"), F.floor((seconds - MONTH_START_SEC) / 3600).alias("epoch_idx"),
-            part("click", "view").alias("c1"), part("purchase").alias("c2"), part("view").alias("c3"),
-            part("error").alias("cb"), part("signup").alias("ch"),
-            F.when(kind.isin("error", "signup"), F.lit(1).cast("long")).otherwise(zero).alias("nb"),
-            F.lit(1).cast("long").alias("n"))
-        values = ("c1", "c2", "c3", "cb", "ch", "nb", "n")
-        grid = (
-            ev.select(F.col("user_id").alias("subject")).distinct()
-            .select("subject", F.explode(F.sequence(zero, F.lit(HOURS - 1).cast("long"))).alias("epoch_idx"))
-            .select("subject", "epoch_idx", *[zero.alias(v) for v in values])
-        )
-        # Summed before the union, so the grid rows meet one row per active hour.
-        folded = active.groupBy("subject", "epoch_idx").agg(*[F.sum(v).alias(v) for v in values])
-        filled = folded.unionByName(grid).groupBy("subject", "epoch_idx").agg(*[F.sum(v).alias(v) for v in values])
+        ).agg(part("click", "view").alias("c1"), part("purchase").alias("c2"), part("view").alias("c3"),
+              part("error").alias("cb"), part("signup").alias("ch"),
+              F.sum(F.when(kind.isin("error", "signup"), F.lit(1)).otherwise(F.lit(0))).alias("nb"),
+              F.count(F.lit(1)).alias("n"))
+        subjects = ev.select(F.col("user_id").alias("subject")).distinct()
+        filled = self._calendar(folded, subjects, "epoch_idx", HOURS, 120, ("c1", "c2", "c3", "cb", "ch", "nb", "n"))
         whole = lambda c: F.call_function("div", F.col(c), F.lit(100))
         # The calendar bounds this window: 720 rows per subject.
         around = W.partitionBy("subject").orderBy("epoch_idx").rowsBetween(-8, 8)
@@ -108,24 +122,19 @@ class Tables:
             F.col("n").alias("steps"), whole("cb").alias("b_counts"), whole("ch").alias("h_counts"),
             F.when(F.sum("nb").over(around) == 0, 1).otherwise(0).alias("truth"))
         vm2 = F.col("axis1") * F.col("axis1") + F.col("axis2") * F.col("axis2") + F.col("axis3") * F.col("axis3")
-        return out.withColumn("vmu", F.sqrt(vm2.cast("double"))).withColumn(
-            "ts", F.timestamp_seconds(F.col("epoch_idx") * 3600 + MONTH_START_SEC))
+        return out.select("*", F.sqrt(vm2.cast("double")).alias("vmu"),
+                          F.timestamp_seconds(F.col("epoch_idx") * 3600 + MONTH_START_SEC).alias("ts"))
 
     @cached_property
     def signal(self) -> DataFrame:
         li = self.raw("lineitem")
-        zero = F.lit(0).cast("long")
         folded = li.groupBy(
             F.col("l_suppkey").alias("subject"),
             F.date_diff(F.to_date("l_shipdate"), F.lit(FIRST_DAY).cast("date")).cast("long").alias("idx"),
         ).agg(F.sum(F.col("l_quantity").cast("long")).alias("q"),
               F.sum(F.round(F.col("l_discount") * 100).cast("long")).alias("d"),
               F.sum(F.round(F.col("l_tax") * 100).cast("long")).alias("t"))
-        calendar = (
-            li.select(F.col("l_suppkey").alias("subject")).distinct()
-            .select("subject", F.explode(F.sequence(zero, F.lit(DAYS - 1).cast("long"))).alias("idx"),
-                    zero.alias("q"), zero.alias("d"), zero.alias("t"))
-        )
-        filled = folded.unionByName(calendar).groupBy("subject", "idx").agg(*[F.sum(c).alias(c) for c in "qdt"])
+        subjects = li.select(F.col("l_suppkey").alias("subject")).distinct()
+        filled = self._calendar(folded, subjects, "idx", DAYS, 100, ("q", "d", "t"))
         return filled.select(
             "subject", "idx", (F.col("q") / 64).alias("y"), (F.col("d") / 16).alias("x"), (F.col("t") / 16).alias("z"))

@@ -176,26 +176,21 @@ def merge_runs(
 
     inner = W.partitionBy(*keys, CHUNK).orderBy("_start")
     upto = inner.rowsBetween(W.unboundedPreceding, 0)
-    runs = fold(
-        unit.withColumn("_brk", breaks(inner)).withColumn("_run", F.sum("_brk").over(upto)),
-        [*keys, CHUNK, "_run"],
-    )
+    local = unit.select("*", breaks(inner).alias("_brk"))
+    runs = fold(local.select("*", F.sum("_brk").over(upto).alias("_run")), [*keys, CHUNK, "_run"])
     whole = W.partitionBy(*keys, CHUNK)
-    runs = runs.withColumn("_edge", (F.col("_run") == 1) | (F.col("_run") == F.max("_run").over(whole)))
-    outer = W.partitionBy(*keys).orderBy("_start")
-    edge = runs.filter("_edge")
+    edge = (F.col("_run") == 1) | (F.col("_run") == F.max("_run").over(whole))
+    # Edge runs of all chunks of a key meet in one group, inner runs stay with their chunk.
+    runs = runs.withColumn("_meet", F.when(edge, F.lit(-1).cast("long")).otherwise(F.col(CHUNK)))
+    outer = W.partitionBy(*keys, "_meet").orderBy("_start")
     # A run that is not at an edge separates the edge runs around it.
-    edge = edge.withColumn("_brk", F.when(
-        (F.col(CHUNK) == F.lag(CHUNK).over(outer)) & (F.col("_run") - F.lag("_run").over(outer) > 1), F.lit(1).cast("long")
-    ).otherwise(breaks(outer)))
-    edge = edge.withColumn("_span", F.sum("_brk").over(outer.rowsBetween(W.unboundedPreceding, 0)))
-    stitched = fold(edge, [*keys, "_span"])
-    columns = [*keys, *same, "_start", "_stop", *[f"_in_{o}" for o in aggs]]
-    return (
-        runs.filter("NOT _edge").select(*columns)
-        .unionByName(stitched.select(*columns))
-        .withColumnsRenamed({"_start": start, "_stop": stop, **{f"_in_{o}": o for o in aggs}})
-    )
+    parted = (F.col(CHUNK) == F.lag(CHUNK).over(outer)) & (F.col("_run") - F.lag("_run").over(outer) > 1)
+    runs = runs.select("*", F.when(parted, F.lit(1).cast("long")).otherwise(breaks(outer)).alias("_cut"))
+    runs = runs.select("*", F.sum("_cut").over(outer.rowsBetween(W.unboundedPreceding, 0)).alias("_span"))
+    merged = fold(runs, [*keys, "_meet", "_span"])
+    return merged.select(
+        *keys, *same, F.col("_start").alias(start), F.col("_stop").alias(stop),
+        *[F.col(f"_in_{o}").alias(o) for o in aggs])
 
 
 def open_periods(
