@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stillwave.functions.expressions import WEIGHTS
@@ -83,9 +85,6 @@ def _gauss_newton(points: DataFrame, weights: DataFrame, keys: Sequence[str], ri
 
 
 def _solver(ridge: float):
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def solve(system: pd.Series) -> pd.Series:
         flat = np.stack(system.to_numpy())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stillwave.operators.chunked import as_col
@@ -85,8 +86,6 @@ def _incomplete_beta():
     """Regularised incomplete beta I_x(a, b) by its continued fraction (one row per test)."""
     from math import exp, lgamma, log
 
-    import pandas as pd
-
     def fraction(a: float, b: float, x: float) -> float:
         tiny, c, d = 1e-300, 1.0, 1.0 - (a + b) * x / (a + 1)
         d = 1.0 / (d if abs(d) > tiny else tiny)

@@ -83,17 +83,22 @@ def history_f1(history: DataFrame) -> DataFrame:
     return history.select("*", f1("precision", "recall").alias("f1"), f1("val_precision", "val_recall").alias("val_f1"))
 
 
+def _array_std(column: str, field: str) -> Column:
+    """Population standard deviation of one field of an array of structs (bounded length)."""
+    values = F.transform(column, lambda s: s[field].cast("double"))
+    n = F.size(column)
+    add = lambda acc, v: acc + v
+    mean = F.aggregate(values, F.lit(0.0), add) / n
+    return F.sqrt(F.aggregate(F.transform(values, lambda v: (v - mean) * (v - mean)), F.lit(0.0), add) / n)
+
+
 def lively_edges(signal: DataFrame, episodes: DataFrame, rows: int, min_std: float = 0.1, per_class: int | None = None,
                  ) -> DataFrame:
     """Edge windows whose standard deviation exceeds ``min_std`` on every axis, a few per class."""
     windows = edge_windows(signal, episodes, rows)
-    mean = lambda f: F.aggregate(F.transform("w", f), F.lit(0.0), lambda a, v: a + v) / rows
-    for a in ("y", "x", "z"):
-        windows = windows.withColumn(f"_m_{a}", mean(lambda s, a=a: s[a].cast("double")))
-    for a in ("y", "x", "z"):
-        windows = windows.withColumn(f"std_{a}", F.sqrt(mean(
-            lambda s, a=a: (s[a] - F.col(f"_m_{a}")) * (s[a] - F.col(f"_m_{a}")))))
-    kept = windows.filter(F.least("std_y", "std_x", "std_z") > min_std).drop("_m_y", "_m_x", "_m_z")
+    for axis in ("y", "x", "z"):
+        windows = windows.withColumn(f"std_{axis}", _array_std("w", axis))
+    kept = windows.filter(F.least("std_y", "std_x", "std_z") > min_std)
     if per_class is None:
         return kept
     picks = None
