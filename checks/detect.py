@@ -132,10 +132,15 @@ def _(t):
                        F.max("axis1").over(frame).alias("high"), OWN).filter(OWN).drop(OWN)
 
 
+def std_sql(c):
+    """Population SD from sums, which are exact for the signal (dyadic values)."""
+    return f"sqrt(count(*) * sum({c} * {c}) - sum({c}) * sum({c})) / count(*)"
+
+
 BLOCKS = f"""
 blocks AS (
   SELECT subject, idx // {MINUTE} AS block, count(*) AS n,
-    stddev_pop(y) AS sy, stddev_pop(x) AS sx, stddev_pop(z) AS sz,
+    {std_sql('y')} AS sy, {std_sql('x')} AS sx, {std_sql('z')} AS sz,
     max(y) - min(y) AS ry, max(x) - min(x) AS rx, max(z) - min(z) AS rz,
     sum(y) AS ty, sum(x) AS tx, sum(z) AS tz
   FROM signal GROUP BY 1, 2)"""
@@ -190,7 +195,7 @@ def hees(t):
 
 
 @query("w5_sliding_windows_full_only", f"""WITH {SIGNAL_SQL}
-  SELECT subject, b AS block, {s6('stddev_pop(y)', 'std_y')}, max(z) - min(z) AS range_z
+  SELECT subject, b AS block, {s6(std_sql('y'), 'std_y')}, max(z) - min(z) AS range_z
   FROM (SELECT subject, y, z, unnest(range(greatest(idx // 10 - 2, 0), idx // 10 + 1)) AS b FROM signal)
   GROUP BY 1, 2 HAVING count(*) = 30""")
 def _(t):

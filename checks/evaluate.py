@@ -98,7 +98,8 @@ def _(t):
 HECHT_GRID = {"t": [5, 25, 50], "i": [10, 20, 30], "m": [1, 2, 3]}
 TROIANO_GRID = {"at": [0, 25], "mpl": [12, 24, 48], "st": [1, 2], "ss": [20, 60], "vm": [True, False]}
 CHOI_GRID = {"at": [0, 25], "mpl": [12, 24], "st": [1, 2], "mwl": [6, 12], "wst": [0, 1], "vm": [True, False]}
-HEES_GRID = {"mw": [2, 4, 6], "wo": [1], "st": [150, 260], "sa": [1, 2, 3], "vt": [400, 620], "va": [1, 2, 3]}
+# Thresholds off the values that the daily signal takes exactly (multiples of 1/64, spreads of 0.15).
+HEES_GRID = {"mw": [2, 4, 6], "wo": [1], "st": [151, 262], "sa": [1, 2, 3], "vt": [401, 621], "va": [1, 2, 3]}
 
 
 def values(name, items):
@@ -118,8 +119,8 @@ def hecht_grid_sql():
 
 
 def troiano_grid_sql():
-    w = "PARTITION BY subject, "at", st, ss, vm ORDER BY epoch_idx"
-    g = "PARTITION BY subject, "at", st, ss, vm"
+    w = 'PARTITION BY subject, "at", st, ss, vm ORDER BY epoch_idx'
+    g = 'PARTITION BY subject, "at", st, ss, vm'
     return f"""SELECT subject, "at", mpl, st, ss, vm, {cells('truth', 'CAST(nw AS INTEGER)')} FROM (
       SELECT *, coalesce(e - s >= mpl AND epoch_idx >= s AND epoch_idx < e, false) AS nw FROM (
         SELECT *, min(CASE WHEN v <= least("at", ss) THEN epoch_idx END) OVER ({g}, grp) AS s, max(CASE WHEN trm THEN epoch_idx END) OVER ({g}, grp) AS e FROM (
@@ -139,7 +140,7 @@ def choi_grid_sql():
         count(*) FILTER (v > 0) OVER (PARTITION BY subject, vm ORDER BY epoch_idx ROWS BETWEEN {st} FOLLOWING AND {mwl} FOLLOWING) AS up,
         count(*) FILTER (v > 0) OVER (PARTITION BY subject, vm ORDER BY epoch_idx ROWS BETWEEN {mwl} PRECEDING AND 2 PRECEDING) AS dn
       FROM (SELECT *, CASE WHEN vm THEN vmu ELSE axis1 END AS v FROM epochs, {values('vm', CHOI_GRID['vm'])})""")
-    g = "PARTITION BY subject, "at", st, mwl, wst, vm"
+    g = 'PARTITION BY subject, "at", st, mwl, wst, vm'
     return f"""SELECT subject, "at", mpl, st, mwl, wst, vm, {cells('truth', 'CAST(nw AS INTEGER)')} FROM (
       SELECT *, coalesce(e - s >= mpl AND epoch_idx >= s AND epoch_idx < e, false) AS nw FROM (
         SELECT *, min(CASE WHEN v = 0 THEN epoch_idx END) OVER ({g}, grp) AS s, max(CASE WHEN trm THEN epoch_idx END) OVER ({g}, grp) AS e FROM (
