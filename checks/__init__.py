@@ -1,4 +1,4 @@
 """Queries over the given tables that exercise every operator, with SQL to compare with."""
 
 from checks.registry import ORACLE, QUERIES
-from checks import detect, relational, evaluate  # noqa: F401  (registration)
+from checks import detect, relational, evaluate, files  # noqa: F401  (registration)

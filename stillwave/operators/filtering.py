@@ -21,14 +21,17 @@ AXES = ("y", "x", "z")
 
 
 def _overlapping(signal: DataFrame, keys: Sequence[str], idx: str, columns: Sequence[str], chunk_rows: int, margin: int) -> DataFrame:
-    """Rows copied to every chunk within ``margin`` of them, with the subject's last index."""
-    last = signal.groupBy(*keys).agg(F.max(idx).alias("_last"))
+    """Rows copied to every chunk within ``margin`` rows of them."""
     low = div(F.greatest(F.col(idx) - margin, F.lit(0)), chunk_rows)
     high = div(F.col(idx) + margin, chunk_rows)
-    rows = signal.select(*keys, F.col(idx).alias("_i"), *[F.col(c).cast("double").alias(c) for c in columns],
+    return signal.select(*keys, F.col(idx).alias("_i"), *[F.col(c).cast("double").alias(c) for c in columns],
                          F.explode(F.sequence(low, high)).alias(CHUNK))
-    joined = rows.join(last, list(keys))
-    return joined.filter(F.col(CHUNK) <= div("_last", chunk_rows))
+
+
+def _end_in_sight(position: np.ndarray, chunk: int, chunk_rows: int, margin: int) -> int | None:
+    """Last index of the subject when it lies before the end of the chunk's margin."""
+    last = int(position.max())
+    return last if last < (chunk + 1) * chunk_rows + margin - 1 else None
 
 
 def resample(
@@ -50,12 +53,13 @@ def resample(
     columns = list(columns)
 
     def convert(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        chunk, last = int(key[-1]), int(pdf["_last"].iloc[0])
-        whole = (last + 1) // from_hz * to_hz
+        chunk = int(key[-1])
+        last = _end_in_sight(pdf["_i"].to_numpy(), chunk, chunk_rows, half + 2)
         first_out = chunk * out_rows
-        outs = np.arange(first_out, min(first_out + out_rows, whole))
-        base = chunk * chunk_rows - half - 1
-        values = np.zeros((chunk_rows + 2 * half + 4, len(columns)))
+        stop_out = first_out + out_rows
+        outs = np.arange(first_out, stop_out if last is None else min(stop_out, (last + 1) // from_hz * to_hz))
+        base = chunk * chunk_rows - half - 2
+        values = np.zeros((chunk_rows + 2 * half + 5, len(columns)))
         values[pdf["_i"].to_numpy() - base] = pdf[columns].to_numpy()
         centre = outs * down // up
         phase = (outs * down % up) / up
@@ -101,21 +105,21 @@ def butterworth_sections(order: int, low: float, high: float, hz: float) -> np.n
     return sections
 
 
-def _run_sections(sections: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Cascade of second-order sections over rows of ``x``, starting from the first value at rest."""
-    y = x
+def _respond(sections: np.ndarray, x: np.ndarray, settle: int) -> np.ndarray:
+    """Response of the cascade to rows of ``x`` that start from rest at their first value.
+
+    A band-pass ignores a constant, so that value is taken off first. The
+    transfer function is applied in the frequency domain, zero-padded by the
+    settling time so that the end does not wrap around to the start.
+    """
+    n = len(x)
+    size = 1 << int(np.ceil(np.log2(n + settle)))
+    w = np.exp(-2j * np.pi * np.arange(size // 2 + 1) / size)
+    transfer = np.ones_like(w)
     for b0, b1, b2, a1, a2 in sections:
-        steady = (b0 + b1 + b2) / (1 + a1 + a2)
-        s2 = (b2 - a2 * steady) * y[0]
-        s1 = (b1 - a1 * steady) * y[0] + s2
-        out = np.empty_like(y)
-        for i, v in enumerate(y):
-            o = b0 * v + s1
-            s1 = b1 * v - a1 * o + s2
-            s2 = b2 * v - a2 * o
-            out[i] = o
-        y = out
-    return y
+        transfer *= (b0 + w * (b1 + w * b2)) / (1 + w * (a1 + w * a2))
+    spectrum = np.fft.rfft(x - x[0], size, axis=0)
+    return np.fft.irfft(spectrum * transfer[:, None], size, axis=0)[:n]
 
 
 def settling_rows(sections: np.ndarray, tolerance: float = 1e-9) -> int:
@@ -141,16 +145,17 @@ def butterworth_bandpass(
     columns = list(columns)
 
     def apply(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        chunk, last = int(key[-1]), int(pdf["_last"].iloc[0])
+        chunk = int(key[-1])
         pdf = pdf.sort_values("_i")
         position = pdf["_i"].to_numpy()
+        last = _end_in_sight(position, chunk, rows_per_chunk, margin)
         x = pdf[columns].to_numpy()
         edge = min(pad, len(x) - 1)
         before = 2 * x[0] - x[edge:0:-1] if position[0] == 0 else x[:0]
         after = 2 * x[-1] - x[-2:-edge - 2:-1] if position[-1] == last else x[:0]
         y = np.concatenate([before, x, after])
-        y = _run_sections(sections, y)
-        y = _run_sections(sections, y[::-1])[::-1]
+        y = _respond(sections, y, margin)
+        y = _respond(sections, y[::-1], margin)[::-1]
         y = y[len(before):len(before) + len(x)]
         own = position // rows_per_chunk == chunk
         frame = pd.DataFrame(y[own], columns=columns)
