@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.detect import (
-    HEES_RANGE, HEES_STD, HOUR, W_ALL, choi, choi_sql, hecht, hecht_sql, runs_sql, troiano, troiano_sql,
+    CHOI, HECHT, HOUR, TROIANO, choi, choi_sql, hecht, hecht_sql, runs_sql, troiano, troiano_sql,
 )
 from checks.registry import query, r6, s6
 from checks.tables import EPOCHS_SQL, MINUTE, SIGNAL_SQL
 from stillwave.functions.expressions import parameter_key
 from stillwave.functions.metrics import METRICS, confusion, sum_confusion, with_metrics
-from stillwave.operators import align as A, blocks as B, chunked, episodes as E, segments as S
+from stillwave.operators import align as A, blocks as B, chunked, detectors as D, episodes as E
+from stillwave.plans.detection import detect_counts
 from stillwave.plans import cv, grid as G, models, reports
 
 METRIC_SQL = ", ".join([
@@ -40,15 +41,25 @@ lm AS (SELECT h.subject, h.epoch_idx, h.truth, 1 - h.wear AS hecht, 1 - tr.wear
 
 
 def matrix(t):
+    """One pass per detector over the same rows; no join back."""
+    return detect_counts(t.epochs, {
+        "hecht": lambda df: D.hecht(df, F.col("vmu"), epoch_sec=60, **HECHT),
+        "troiano": lambda df: D.troiano(df, F.col("axis1"), **TROIANO),
+        "choi": lambda df: D.choi(df, F.col("axis1"), **CHOI),
+    }).select("subject", "epoch_idx", "truth", *METHODS)
+
+
+METHODS = ["hecht", "troiano", "choi"]
+
+
+@query("v2_label_matrix_by_join", f"WITH {EPOCHS_SQL}, {MATRIX} SELECT * FROM lm")
+def _(t):
     nw = lambda df: df.select("subject", "epoch_idx", (1 - F.col("wear")).cast("int").alias("nw"))
     truth = t.epochs.select("subject", "epoch_idx", F.col("truth").alias("nw"))
     return A.label_matrix(truth, {"hecht": nw(hecht(t)), "troiano": nw(troiano(t)), "choi": nw(choi(t))},
                           on=("subject", "epoch_idx"))
 
 
-METHODS = ["hecht", "troiano", "choi"]
-
-
 @query("v2_label_matrix", f"WITH {EPOCHS_SQL}, {MATRIX} SELECT * FROM lm")
 def _(t):
     return matrix(t)
@@ -447,7 +458,7 @@ def feature_rows(t):
     from stillwave.operators.features import segment_features
 
     rows = segment_features(segment_rows(t), idx="epoch_idx", cell=16.0)
-    return rows.withColumn("label", F.when(F.col("a_max") > F.col("b_max"), 1.0).otherwise(0.0)).na.fill(0.0)
+    return rows.withColumn("label", (F.col("counter") % 2).cast("double")).na.fill(0.0)
 
 
 @query("x6_x7_m5_m6_m7_classifier_search")

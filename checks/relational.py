@@ -191,7 +191,7 @@ def _(t):
     return m.select("subject", *[F.try_element_at("meta", F.lit(k)).alias(k) for k in ("level", "clicks", "errors")])
 
 
-@query("s11_covariate_upsert", """WITH cov AS (SELECT c_custkey AS subject, CAST(CAST(c_acctbal AS BIGINT) AS VARCHAR) AS age, c_mktsegment AS sex FROM customer WHERE c_acctbal > 0),
+@query("s11_covariate_upsert", """WITH cov AS (SELECT c_custkey AS subject, CAST(CAST(round(c_acctbal) AS BIGINT) AS VARCHAR) AS age, c_mktsegment AS sex FROM customer WHERE c_acctbal > 0),
   s AS (SELECT user_id AS subject, event_type AS settingName, CAST(count(*) AS VARCHAR) AS settingValue FROM events GROUP BY 1, 2
         UNION ALL SELECT DISTINCT user_id, k, 'unset' FROM events, (VALUES ('age'), ('sex')) v(k))
   SELECT s.subject, s.settingName, CASE WHEN s.settingName = 'age' THEN cov.age WHEN s.settingName = 'sex' THEN cov.sex ELSE s.settingValue END AS settingValue

@@ -22,9 +22,10 @@ def device_bounds(a: DataFrame, b: DataFrame, keys: Sequence[str] = SUBJECT, ts:
     span = b.groupBy(*keys).agg(F.min(ts).alias("b_start"), F.max(ts).alias("_b_stop"))
     both = first.join(span, list(keys)).withColumn("stop", F.date_trunc("second", "_b_stop"))
     both = both.filter(F.col("stop") >= F.col("a_start"))
+    # Device B meets one row per subject on (subject, time); only the hits are made distinct.
     shared = (
-        b.select(*keys, F.col(ts).alias("a_start")).distinct()
-        .join(both.select(*keys, "a_start"), [*keys, "a_start"]).select(*keys, F.lit(True).alias("_shared"))
+        b.select(*keys, F.col(ts).alias("a_start")).join(both.select(*keys, "a_start"), [*keys, "a_start"])
+        .select(*keys).distinct().withColumn("_shared", F.lit(True))
     )
     return both.join(shared, list(keys), "left").select(
         *keys, F.when(F.col("_shared"), F.col("a_start")).otherwise(F.col("b_start")).alias("start"), "stop")

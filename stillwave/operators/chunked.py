@@ -69,6 +69,11 @@ def leading_sum(running: str, offset: int, window, whole) -> Column:
     return F.coalesce(F.lead(running, offset).over(window), F.max(running).over(whole))
 
 
+def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a global aggregate (always exactly one row, hence broadcast)."""
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one")
+
+
 def running_total(
     df: DataFrame,
     keys: Sequence[str],

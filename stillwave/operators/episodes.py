@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stillwave.operators.chunked import DEFAULT_SIZE, as_col, div, merge_runs, row_index
+from stillwave.operators.chunked import DEFAULT_SIZE, attach_row, div, merge_runs, row_index
 
 SUBJECT = ("subject",)
 
@@ -169,16 +169,16 @@ def durations(episodes: DataFrame, unit_rows: int) -> DataFrame:
     return episodes.withColumn("length", div(F.col("stop_index") - F.col("start_index") + 1, unit_rows))
 
 
-def length_overview(lengths: DataFrame, recorded_units: Column | DataFrame, split: int = 60) -> DataFrame:
+def length_overview(lengths: DataFrame, recorded_units: DataFrame, split: int = 60) -> DataFrame:
     """Count, mean, population SD, total and share of episodes: all, shorter, longer."""
     group = F.explode(F.array(F.lit("all"), F.when(F.col("length") < split, "shorter").otherwise("longer")))
     stats = lengths.select("length", group.alias("grp")).groupBy("grp").agg(
         F.count(F.lit(1)).alias("episodes"), F.avg("length").alias("mean_length"),
         F.stddev_pop("length").alias("sd_length"), F.sum("length").alias("total_length"))
-    total = recorded_units.agg(F.sum("units").alias("recorded")).withColumn("_one", F.lit(1))
-    everything = stats.filter("grp = 'all'").select(F.col("episodes").alias("_all"), F.lit(1).alias("_one"))
+    total = recorded_units.agg(F.sum("units").alias("recorded"))
+    everything = stats.filter("grp = 'all'").agg(F.max("episodes").alias("_all"))
     return (
-        stats.withColumn("_one", F.lit(1)).join(total, "_one").join(everything, "_one")
+        attach_row(attach_row(stats, total), everything)
         .select("grp", "episodes", "mean_length", "sd_length", "total_length", "recorded",
                 (F.col("total_length") / F.col("recorded") * 100).alias("share_of_time"),
                 (F.col("episodes") / F.col("_all") * 100).alias("share_of_episodes"))
@@ -198,7 +198,6 @@ def hour_distribution(minutes: DataFrame, truth: str = "truth", ts: str = "ts",
     hours = minutes.sparkSession.range(24).select(F.col("id").cast("int").alias("hour"))
     filled = hours.join(counted, "hour", "left").na.fill(0)
     totals = filled.agg(*[F.sum(c).alias(f"_t_{c}") for c in ("any_nw", "short_nw", "long_nw")])
-    joined = filled.withColumn("_one", F.lit(1)).join(totals.withColumn("_one", F.lit(1)), "_one")
-    return joined.select(
+    return attach_row(filled, totals).select(
         "hour", "any_nw", "short_nw", "long_nw",
         *[F.try_divide(F.col(c), F.col(f"_t_{c}")).alias(c.replace("_nw", "_share")) for c in ("any_nw", "short_nw", "long_nw")])

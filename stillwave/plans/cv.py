@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stillwave.functions.metrics import METRICS, sum_confusion, with_metrics
-from stillwave.operators.chunked import row_index
+from stillwave.operators.chunked import attach_row, row_index
 from stillwave.plans.grid import best_row
 
 COUNTS = ("tn", "fp", "fn", "tp")
@@ -26,11 +26,10 @@ def sequence_label(truth_runs: DataFrame, subjects: DataFrame) -> DataFrame:
 
 def positional_split(subjects: DataFrame, order: Sequence[str], chunk: Column, test_share: float = 0.3) -> DataFrame:
     """Add ``part``: the last ``ceil(share * n)`` subjects in order are the test part."""
-    placed = row_index(subjects, [], list(order), chunk, "_pos").withColumn("_one", F.lit(1))
-    total = subjects.agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1))
+    placed = row_index(subjects, [], list(order), chunk, "_pos")
     cut = F.col("_n") - F.ceil(F.col("_n") * test_share)
-    return placed.join(total, "_one").withColumn(
-        "part", F.when(F.col("_pos") < cut, "train").otherwise("test")).drop("_pos", "_n", "_one")
+    return attach_row(placed, subjects.agg(F.count(F.lit(1)).alias("_n"))).withColumn(
+        "part", F.when(F.col("_pos") < cut, "train").otherwise("test")).drop("_pos", "_n")
 
 
 def stratified_folds(subjects: DataFrame, order: Sequence[str], chunk: Column, folds: int = 10) -> DataFrame:
