@@ -270,23 +270,22 @@ def list_periods(
     df: DataFrame, keys: Sequence[str], idx: str, opens: str, closes: str,
     size: int = DEFAULT_SIZE, close_at_end: bool = False,
 ) -> DataFrame:
-    """The periods themselves, ``(keys, start, stop)`` with ``stop`` exclusive."""
-    rows, borders = open_periods(df, keys, idx, opens, closes, size, close_at_end)
-    pieces = rows.groupBy(*keys, CHUNK, "_piece").agg(F.min(opens).alias("_s"), F.max(closes).alias("_e"))
-    joined = pieces.join(borders, [*keys, CHUNK])
-    closed_here = F.col("_e").isNotNull()
-    begin = F.when(F.col("_piece") == 0, F.col("_carry_open")).otherwise(F.col("_s"))
-    done = joined.filter(closed_here).select(*keys, begin.alias("start"), F.col("_e").alias("stop"))
-    if close_at_end:
-        # Only the piece that stays open to the end of the subject is left.
-        tail = (
-            borders.withColumn("_max", F.max(CHUNK).over(W.partitionBy(*keys)))
-            .filter(F.col(CHUNK) == F.col("_max"))
-            .join(pieces, [*keys, CHUNK])
-            .filter(F.col("_e").isNull())
-            .select(*keys,
-                    F.when(F.col("_piece") == 0, F.col("_carry_open")).otherwise(F.col("_s")).alias("start"),
-                    F.col("_carry_close").alias("stop"))
-        )
-        done = done.unionByName(tail)
-    return done.filter(F.col("start").isNotNull() & (F.col("stop") > F.col("start")))
+    """The periods themselves, ``(keys, start, stop)`` with ``stop`` exclusive.
+
+    ``opens`` and ``closes`` may be any ordered type with the index first.
+    Only the first and the unclosed piece of a chunk go to the second pass.
+    """
+    before = chunk_window(keys, idx).rowsBetween(W.unboundedPreceding, -1)
+    rows = with_chunk(df, idx, size).select(
+        "*", F.coalesce(F.sum(F.col(closes).isNotNull().cast("long")).over(before), F.lit(0)).alias("_piece"))
+    pieces = rows.groupBy(*keys, CHUNK, "_piece").agg(
+        F.min(opens).alias("_s"), F.max(closes).alias("_e"), F.max(idx).alias("_last"))
+    border = (F.col("_piece") == 0) | F.col("_e").isNull()
+    pieces = pieces.select("*", F.when(border, F.lit(-1).cast("long")).otherwise(F.col(CHUNK)).alias("_meet"))
+    along = W.partitionBy(*keys, "_meet").orderBy(CHUNK, "_piece").rowsBetween(W.unboundedPreceding, -1)
+    pieces = pieces.select(
+        "*", F.coalesce(F.sum(F.col("_e").isNotNull().cast("long")).over(along), F.lit(0)).alias("_period"))
+    whole = pieces.groupBy(*keys, "_meet", "_period").agg(
+        F.min("_s").alias("start"), F.max("_e").alias("stop"), F.max("_last").alias("_last"))
+    stop = F.coalesce("stop", "_last") if close_at_end else F.col("stop")
+    return whole.select(*keys, "start", stop.alias("stop")).filter(F.col("stop") > F.col("start"))

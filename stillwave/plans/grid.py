@@ -109,23 +109,36 @@ def _with_truth_position(epochs: DataFrame, keys: Sequence[str], size: int) -> D
         "_p", F.col("_p") - F.col("truth"))
 
 
+#: Bits for the truth position in a packed spot; row numbers use the bits above.
+SPOT_BITS = 31
+
+
 def _spot(idx: str | Column, p: str | Column = "_p") -> Column:
+    """Row number and truth position in one ordered long, so that minima stay primitive aggregates."""
     i = F.col(idx) if isinstance(idx, str) else idx
     p = F.col(p) if isinstance(p, str) else p
-    return F.struct(i.cast("long").alias("i"), p.cast("long").alias("p"))
+    return F.shiftleft(i.cast("long"), SPOT_BITS) + p.cast("long")
+
+
+def _row(spot: str) -> Column:
+    return F.shiftright(F.col(spot), SPOT_BITS)
+
+
+def _hits(spot: str) -> Column:
+    return F.col(spot).bitwiseAND(F.lit((1 << SPOT_BITS) - 1))
 
 
 def _score_periods(events: DataFrame, keys: Sequence[str], names: Sequence[str], lengths: Sequence[int],
                    totals: DataFrame, space: Space, size: int) -> DataFrame:
     """Periods from events, then their rows and hits for every minimum length."""
     periods = list_periods(events, [*keys, *names], "epoch_idx", "opens", "closes", size)
-    length = F.col("stop.i") - F.col("start.i")
+    length = _row("stop") - _row("start")
     lengths = sorted(lengths)
     level = F.lit(0)
     for m in lengths:
         level = level + (length >= m).cast("int")
     counted = periods.select(
-        *keys, *names, level.alias("_level"), length.alias("_len"), (F.col("stop.p") - F.col("start.p")).alias("_hit"),
+        *keys, *names, level.alias("_level"), length.alias("_len"), (_hits("stop") - _hits("start")).alias("_hit"),
     ).groupBy(*keys, *names, "_level").agg(F.sum("_len").alias("_pred"), F.sum("_hit").alias("tp"))
     marked = _at_least(counted, "_level", lengths, "mpl", [*keys, *names])
     return confusion_of(marked, totals, space, keys)
@@ -138,16 +151,17 @@ def troiano_grid(epochs: DataFrame, space: Space, keys: Sequence[str] = SUBJECT,
     placed = _with_truth_position(epochs, keys, size)
     rows = spread(placed, "epoch_idx", size, 0, max(tolerances))
     window = chunk_window(keys, "epoch_idx")
-    rows = rows.withColumn("_ahead", F.array(*[F.lead("_p", t).over(window) for t in tolerances])).filter(OWN)
+    ahead = [f"_ahead_{k}" for k in range(len(tolerances))]
+    rows = rows.select("*", *[F.lead("_p", n).over(window).alias(c) for n, c in zip(tolerances, ahead)]).filter(OWN)
     rows = with_parameters(rows.drop(CHUNK, OWN), {"vm": space["vm"], "_u": levels})
     value = F.when(F.col("vm"), F.col("vmu")).otherwise(F.col("axis1"))
     rows = rows.select(
-        *keys, "vm", "_u", (value > F.col("_u")).alias("_busy"), "_ahead", "_p",
+        *keys, "vm", "_u", (value > F.col("_u")).alias("_busy"), *ahead, "_p",
         F.col("epoch_idx").alias("_a"), F.col("epoch_idx").alias("_b"),
         *[F.when(value > s, _spot("epoch_idx")).alias(f"_over_{k}") for k, s in enumerate(stops)])
     runs = merge_runs(
         rows, [*keys, "vm", "_u"], "_a", "_b", size, same=["_busy"],
-        aggs={"_p": ("first", "_p"), "_ahead": ("first", "_ahead"),
+        aggs={"_p": ("first", "_p"), **{c: ("first", c) for c in ahead},
               **{f"_over_{k}": ("min", f"_over_{k}") for k in range(len(stops))}})
     over = F.array(*[F.col(f"_over_{k}") for k in range(len(stops))])
     params = with_parameters(
@@ -158,7 +172,7 @@ def troiano_grid(epochs: DataFrame, space: Space, keys: Sequence[str] = SUBJECT,
     spike = F.when(
         F.col("_b") - F.col("_a") + 1 > F.col("st"),
         _spot(F.col("_a") + F.col("st"), F.when(F.col("st") == 0, F.col("_p")).otherwise(
-            F.element_at("_ahead", F.col("_kt") + 1))))
+            F.element_at(F.array(*ahead), F.col("_kt") + 1))))
     ends = F.when(F.col("ss") < F.col("at"), _spot("_a")).otherwise(
         F.least(F.element_at("_over", F.col("_ks") + 1), spike))
     names = ["at", "st", "ss", "vm"]
@@ -167,7 +181,7 @@ def troiano_grid(epochs: DataFrame, space: Space, keys: Sequence[str] = SUBJECT,
         F.when(~F.col("_busy"), _spot("_a")).alias("opens"), F.when(F.col("_busy"), ends).alias("closes"))
     last = placed.groupBy(*keys).agg(F.max(_spot("epoch_idx")).alias("closes"))
     final = with_parameters(last, {n: space[n] for n in names}).select(
-        *keys, *names, F.col("closes.i").alias("epoch_idx"), F.lit(None).cast("struct<i:bigint,p:bigint>").alias("opens"), "closes")
+        *keys, *names, _row("closes").alias("epoch_idx"), F.lit(None).cast("long").alias("opens"), "closes")
     order = ("at", "mpl", "st", "ss", "vm")
     return _score_periods(events.unionByName(final), keys, names, space["mpl"], subject_totals(epochs, keys),
                           {k: space[k] for k in order}, size)
