@@ -406,7 +406,7 @@ un AS (SELECT subject, min(s) AS start_index, max(e) AS stop_index FROM (
 
 @query("t5_t6_candidate_segments_grown", f"WITH RECURSIVE {SIGNAL_SQL}, {CANDIDATES}, {GROWN} SELECT subject, start_index, stop_index FROM un")
 def _(t):
-    return S.candidate_segments(t.signal, THR, samples_per_min=MINUTE, look_ahead=16).select("subject", "start_index", "stop_index")
+    return S.candidate_segments(t.signal, THR, samples_per_min=MINUTE).select("subject", "start_index", "stop_index")
 
 
 @query("e1_candidate_episodes_numbered", f"""WITH {SIGNAL_SQL}, {CANDIDATES}

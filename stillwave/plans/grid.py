@@ -21,12 +21,12 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from stillwave.operators.align import with_parameters
-from stillwave.operators.blocks import AXES
+from stillwave.operators.blocks import AXES, pooled_std
 from stillwave.operators.chunked import (
     CHUNK, DEFAULT_SIZE, OWN, chunk_window, div, lagged_sum, leading_sum, list_periods, merge_runs, running_total,
     spread,
 )
-from stillwave.operators.detectors import CHOI_SPIKE_RUN, choi_window_counts, hecht_support, hees_windows
+from stillwave.operators.detectors import CHOI_SPIKE_RUN, hecht_support
 
 SUBJECT = ("subject",)
 Space = Mapping[str, Sequence]
@@ -246,19 +246,8 @@ def hees_grid(blocks: DataFrame, block_truth: DataFrame, space: Space, block_row
     if len(space["wo"]) != 1 or any(w % step for w in space["mw"]):
         raise ValueError("one step, and windows that are multiples of it")
     truth = block_truth.select(*keys, "block", F.col("n").alias("_rows"), F.col("truth").cast("long").alias("truth"))
-    parts = None
-    for mw in space["mw"]:
-        w = mw // step
-        rows = hees_windows(blocks, w, w * block_rows, keys, "block", size)
-        ordered = {p: F.array_sort(F.array(*[F.col(f"{p}_{a}") for a in AXES])) for p in ("std", "range")}
-        rows = rows.select(
-            *keys, CHUNK, OWN, "block",
-            *[F.when(F.col("full"), ordered[p][k]).alias(f"_{p}_{k}") for p in ("std", "range") for k in range(3)])
-        covering = chunk_window(keys, "block").rowsBetween(1 - w, 0)
-        best = rows.select(
-            *keys, OWN, "block", *[F.min(f"_{p}_{k}").over(covering).alias(f"_{p}_{k}") for p in ("std", "range") for k in range(3)]
-        ).filter(OWN).withColumn("mw", F.lit(mw))
-        parts = best if parts is None else parts.unionByName(best)
+    lengths = {mw: mw // step for mw in space["mw"]}
+    parts = _quietest_windows(blocks, lengths, block_rows, keys, size)
     stds, ranges = sorted(space["st"]), sorted(space["vt"])
 
     def level(column: Column, thresholds: Sequence[float]) -> Column:
@@ -284,6 +273,43 @@ def hees_grid(blocks: DataFrame, block_truth: DataFrame, space: Space, block_row
     return confusion_of(marked, totals, {k: space[k] for k in ("mw", "wo", "st", "sa", "vt", "va")}, keys)
 
 
+def _quietest_windows(blocks: DataFrame, lengths: Mapping[int, int], block_rows: int, keys: Sequence[str],
+                      size: int) -> DataFrame:
+    """Per block and window length: the smallest k-th spread of the windows that cover the block.
+
+    ``_std_k`` and ``_range_k`` for k = 0..2. All lengths share one shuffle
+    and one sort of the block table.
+    """
+    reach = max(lengths.values()) - 1
+    kinds = [(p, k) for p in ("std", "range") for k in range(3)]
+    rows = spread(blocks, "block", size, reach, reach)
+    window = chunk_window(keys, "block")
+    whole = W.partitionBy(*keys, CHUNK)
+    summed = ["n", *[f"{p}_{a}" for p in ("sum", "sumsq") for a in AXES]]
+    rows = rows.select("*", *[F.sum(c).over(window.rowsBetween(W.unboundedPreceding, 0)).alias(f"_c_{c}") for c in summed])
+    columns = []
+    for mw, w in lengths.items():
+        ahead = window.rowsBetween(0, w - 1)
+        columns += [(leading_sum(f"_c_{c}", w - 1, window, whole) - lagged_sum(f"_c_{c}", 1, window)).alias(f"_{c}_{mw}")
+                    for c in summed]
+        columns += [(F.max(f"max_{a}").over(ahead) - F.min(f"min_{a}").over(ahead)).alias(f"_range_{a}_{mw}") for a in AXES]
+    rows = rows.select(*keys, CHUNK, OWN, "block", *columns)
+    ordered = []
+    for mw, w in lengths.items():
+        full = F.col(f"_n_{mw}") == w * block_rows
+        spreads = {
+            "std": F.array_sort(F.array(*[pooled_std(f"_n_{mw}", f"_sum_{a}_{mw}", f"_sumsq_{a}_{mw}") for a in AXES])),
+            "range": F.array_sort(F.array(*[F.col(f"_range_{a}_{mw}") for a in AXES]))}
+        ordered += [F.when(full, spreads[p][k]).alias(f"_{p}_{k}_{mw}") for p, k in kinds]
+    rows = rows.select(*keys, CHUNK, OWN, "block", *ordered)
+    best = F.array(*[
+        F.struct(F.lit(mw).alias("mw"), *[
+            F.min(f"_{p}_{k}_{mw}").over(window.rowsBetween(1 - w, 0)).alias(f"_{p}_{k}") for p, k in kinds])
+        for mw, w in lengths.items()])
+    return rows.select(*keys, "block", OWN, best.alias("_b")).filter(OWN).select(
+        *keys, "block", F.explode("_b").alias("_b")).select(*keys, "block", "_b.*")
+
+
 def best_row(df: DataFrame, metric: str, keys: Sequence[str] = (), ties: Sequence[str] = ()) -> DataFrame:
     """The row with the highest metric per key; ties go to the smallest ``ties`` values.
 
