@@ -495,6 +495,34 @@ def _(t):
     return models.edge_decision(t.signal, ep.select("subject", "counter", "start_index", "stop_index"), model, 6, "or", True)
 
 
+@query("g5_q2_edge_decision_grid")
+def _(t):
+    from checks.detect import EDGE_THR, HZ, candidate_episodes
+    ep = candidate_episodes(t)
+    w = A.edge_windows(t.signal, ep.withColumn("label", (F.col("start_index") % 2).cast("int")), 6)
+    model = models.fit_windows(w, 6, epochs=5)
+    space = {"edge": [True, False], "op": ["or", "and"], "distance": [1, 3]}
+    out = models.edge_decision_grid(t.signal, ep, raw_truth(t), model, 6, space, HZ, EDGE_THR, MINUTE, max_steps=40)
+    return out.orderBy(F.desc("f1"), "edge", "op", "distance")
+
+
+HISTORY = """SELECT p_brand AS net, p_partkey AS epoch, p_size / 50 AS precision, (p_partkey % 97) / 97 AS recall,
+    (p_partkey % 89) / 89 AS val_precision, (p_size % 7) / 7 AS val_recall FROM part"""
+
+
+@query("q5_training_history_last_epoch", f"""WITH h AS ({HISTORY})
+  SELECT net, epoch, {s6('CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) END', 'f1')},
+    {s6('CASE WHEN val_precision + val_recall > 0 THEN 2 * val_precision * val_recall / (val_precision + val_recall) END', 'val_f1')}
+  FROM h QUALIFY row_number() OVER (PARTITION BY net ORDER BY epoch DESC) = 1""")
+def _(t):
+    c = F.col
+    h = t.raw("part").select(
+        c("p_brand").alias("net"), c("p_partkey").alias("epoch"), (c("p_size") / 50).alias("precision"),
+        (c("p_partkey") % 97 / 97).alias("recall"), (c("p_partkey") % 89 / 89).alias("val_precision"), (c("p_size") % 7 / 7).alias("val_recall"))
+    last = reports.last_epoch(reports.history_f1(h), ["net"])
+    return last.select("net", "epoch", r6("f1"), r6("val_f1"))
+
+
 @query("e6_two_sensor_true_nonwear")
 def _(t):
     from checks.relational import segment_rows

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from stillwave.operators.chunked import DEFAULT_SIZE, attach_row, div, merge_runs, row_index
 
@@ -132,6 +132,29 @@ def correct_labels(episodes: DataFrame, corrections: DataFrame) -> DataFrame:
     )
 
 
+def union_intervals(intervals: DataFrame, keys: Sequence[str] = SUBJECT, start: str = "start", stop: str = "stop",
+                    block_rows: int = 4096, size: int = DEFAULT_SIZE) -> DataFrame:
+    """Union of any ``[start, stop)`` ranges per key, as disjoint ranges.
+
+    Ranges are cut at block borders; inside a block they are merged by the
+    furthest stop so far, and whole blocks are merged as runs.
+    """
+    pieces = (
+        intervals.filter(F.col(stop) > F.col(start))
+        .select(*keys, F.col(start).alias("_a"), F.col(stop).alias("_b"),
+                F.explode(F.sequence(div(start, block_rows), div(F.col(stop) - 1, block_rows))).alias("_block"))
+        .select(*keys, "_block", F.greatest("_a", F.col("_block") * block_rows).alias("_a"),
+                F.least("_b", (F.col("_block") + 1) * block_rows).alias("_b"))
+        .groupBy(*keys, "_block", "_a").agg(F.max("_b").alias("_b"))
+    )
+    along = W.partitionBy(*keys, "_block").orderBy("_a")
+    reach = F.max("_b").over(along.rowsBetween(W.unboundedPreceding, -1))
+    pieces = pieces.select("*", F.coalesce(F.col("_a") > reach, F.lit(True)).cast("long").alias("_new"))
+    pieces = pieces.select("*", F.sum("_new").over(along.rowsBetween(W.unboundedPreceding, 0)).alias("_g"))
+    merged = pieces.groupBy(*keys, "_block", "_g").agg(F.min("_a").alias(start), F.max("_b").alias(stop))
+    return merge_runs(merged, keys, start, stop, size, max_gap=0)
+
+
 def overlap_confusion(predicted: DataFrame, truth: DataFrame, totals: DataFrame, block_rows: int = 4096,
                       keys: Sequence[str] = SUBJECT) -> DataFrame:
     """Confusion counts from intervals instead of samples.

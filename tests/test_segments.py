@@ -106,3 +106,32 @@ def test_overlap_confusion_equals_counting(spark):
     for r in out:
         p, t = vec[r.subject]
         assert (r.tn, r.fp, r.fn, r.tp) == tuple(int(((t == a) & (p == b)).sum()) for a, b in [(0, 0), (0, 1), (1, 0), (1, 1)])
+
+
+@pytest.mark.parametrize("block,size", [(5, 9), (64, 1000)])
+def test_union_of_any_intervals(spark, block, size):
+    rng = np.random.default_rng(12)
+    rows, want = [], {}
+    for s in range(12):
+        hit = np.zeros(200, bool)
+        for _ in range(int(rng.integers(1, 14))):
+            a = int(rng.integers(0, 195)); b = min(a + int(rng.integers(0, 40)), 200)
+            rows.append((f"s{s}", a, b)); hit[a:b] = True
+        want[f"s{s}"] = [(r[0], r[-1] + 1) for r in runs_loop(np.where(hit)[0])]
+    df = spark.createDataFrame(rows, "subject string, start long, stop long")
+    got = E.union_intervals(df, block_rows=block, size=size).toPandas().sort_values("start")
+    for key, w in want.items():
+        part = got[got.subject == key]
+        assert list(zip(part.start, part.stop)) == w
+
+
+def test_several_growth_rounds(spark):
+    """A long quiet stretch beside noisy minutes grows over many steps."""
+    minute, n = 4, 4 * 120
+    v = np.zeros((n, 3)); v[80 * minute::minute * 2] = 0.02
+    data = {"a": v}
+    ranges = S.candidate_segments(frame(spark, data), 0.006, samples_per_min=minute, look_ahead=1, size=7)
+    got = E.mark_episodes(frame(spark, data), ranges).toPandas().sort_values("idx")
+    want = candidate_loop(v, 0.006, minute)
+    assert (1 - got.marked).tolist() == want.tolist()
+    assert (want == 0).sum() > 80 * minute + 10
