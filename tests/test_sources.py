@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from checks.files import HEADER, pack_archive, pack_edf
 from stillwave.operators import axes
-from stillwave.sources import covariates, edf, epoch_csv, raw_archive, tables
+from stillwave.sources import covariates, edf, epoch_csv, lookups, raw_archive, tables
 from stillwave.streaming import ingest
 
 
@@ -119,3 +119,25 @@ def test_bad_rates():
         axes.subsecond_time("sec", "pos", 30)
     with pytest.raises(ValueError):
         axes.sample_time("start", "idx", 7)
+
+
+def test_loaders_lookups_and_pairs(spark, tmp_path):
+    path = str(tmp_path / "sig")
+    signal = spark.createDataFrame([("a", 0, 1.0, 2.0, 3.0), ("b", 0, 1.0, 2.0, 3.0)], "subject string, idx long, y double, x double, z double")
+    tables.write_table(signal, path, buckets=4)
+    weights = spark.createDataFrame([("a", 2.0, 1.0, 1.0, 0.5, 0.0, 0.0)], "subject string, t_y double, t_x double, t_z double, b_y double, b_x double, b_z double")
+    assert {(r.subject, r.y) for r in tables.load_signal(spark, path, weights).collect()} == {("a", 2.5), ("b", 1.0)}
+    assert {r.subject for r in tables.subjects(tables.load_signal(spark, path)).collect()} == {"a", "b"}
+    counts = spark.createDataFrame([("a", 0, 5), ("a", 6, 7)], "subject string, epoch_idx long, axis1 int")
+    epoch_path = str(tmp_path / "epochs")
+    tables.write_table(counts, epoch_path, idx="epoch_idx", buckets=4)
+    meta = spark.createDataFrame([("a", {"Start Date": "1/2/2024", "Start Time": "00:01:00", "Date Format": "M/d/yyyy"})], "subject string, meta map<string,string>")
+    times = tables.load_epochs(spark, epoch_path, meta, 10).select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("t")).collect()
+    assert {r.t for r in times} == {"2024-01-02 00:01:00", "2024-01-02 00:02:00"}
+    assert lookups.excluded_subjects(spark).count() == 22
+    assert lookups.merge_lookup(spark).filter("first_counter >= last_counter").count() == 0
+    assert lookups.label_corrections(spark).distinct().count() == lookups.label_corrections(spark).count()
+    tables.write_pairs_csv(spark.createDataFrame([(1, 0.5)], "tp int, f1 double"), str(tmp_path / "pairs"), ["tp", "f1"])
+    assert {tuple(r) for r in spark.read.csv(str(tmp_path / "pairs")).collect()} == {("tp", "1"), ("f1", "0.5")}
+    tables.write_rows_csv(signal, str(tmp_path / "rows"))
+    assert tables.read_rows_csv(spark, str(tmp_path / "rows"), "subject string, idx long, y double, x double, z double").count() == 2
