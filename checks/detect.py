@@ -126,7 +126,7 @@ def _(t):
   SELECT subject, epoch_idx, min(axis1) OVER w AS low, max(axis1) OVER w AS high FROM epochs
   WINDOW w AS ({W_ALL} ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING)""")
 def _(t):
-    rows = spread(t.epochs, "epoch_idx", 65_536, 5, 4)
+    rows = spread(t.epochs, ("subject",), "epoch_idx", 65_536, 5, 4)
     frame = chunk_window(("subject",), "epoch_idx").rowsBetween(-5, 4)
     return rows.select("subject", "epoch_idx", F.min("axis1").over(frame).alias("low"),
                        F.max("axis1").over(frame).alias("high"), OWN).filter(OWN).drop(OWN)

@@ -127,7 +127,7 @@ def moving_average(df: DataFrame, value: str, n: int, idx: str = "idx", keys: Se
     """Mean of ``n`` rows starting at each row, full frames only."""
     from stillwave.operators.chunked import CHUNK, OWN, chunk_window, spread
 
-    rows = spread(df, idx, size, 0, n - 1)
+    rows = spread(df, keys, idx, size, 0, n - 1)
     frame = chunk_window(keys, idx).rowsBetween(0, n - 1)
     return (
         rows.withColumn(name, F.avg(value).over(frame)).withColumn("_n", F.count(F.lit(1)).over(frame))

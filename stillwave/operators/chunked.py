@@ -36,23 +36,34 @@ def div(a: str | Column, b: int | Column) -> Column:
     return F.call_function("div", as_col(a), b if isinstance(b, Column) else F.lit(b))
 
 
-def with_chunk(df: DataFrame, idx: str, size: int) -> DataFrame:
-    return df.withColumn(CHUNK, div(idx, size))
+def settle(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Spread the rows over tasks by (keys, chunk).
 
+    Said explicitly, because rows that arrive hashed by subject alone (after a
+    join on the subject, for instance) would already satisfy a window by
+    (subject, chunk), and a large subject would stay in one task.
+    """
+    return df.repartition(*keys, CHUNK)
+
+
+def with_chunk(df: DataFrame, keys: Sequence[str], idx: str, size: int) -> DataFrame:
+    """Add the chunk of each row; rows that already carry it are left where they are."""
+    if CHUNK in df.columns:
+        return df
+    return settle(df.withColumn(CHUNK, div(idx, size)), keys)
 
-def spread(df: DataFrame, idx: str, size: int, before: int, after: int) -> DataFrame:
+
+def spread(df: DataFrame, keys: Sequence[str], idx: str, size: int, before: int, after: int) -> DataFrame:
     """Copy rows to every chunk holding a row whose frame ``[-before, +after]`` sees them.
 
     ``_own`` marks the copy in the row's own chunk; keep those after the window.
     """
     if before <= 0 and after <= 0:
-        return with_chunk(df, idx, size).withColumn(OWN, F.lit(True))
+        return with_chunk(df, keys, idx, size).withColumn(OWN, F.lit(True))
     low = div(F.greatest(F.col(idx) - max(after, 0), F.lit(0)), size)
     high = div(F.col(idx) + max(before, 0), size)
-    return (
-        df.withColumn(CHUNK, F.explode(F.sequence(low, high)))
-        .withColumn(OWN, F.col(CHUNK) == div(idx, size))
-    )
+    copies = df.withColumn(CHUNK, F.explode(F.sequence(low, high)))
+    return settle(copies.withColumn(OWN, F.col(CHUNK) == div(idx, size)), keys)
 
 
 def chunk_window(keys: Sequence[str], idx: str) -> W:
@@ -86,7 +97,7 @@ def running_total(
     ``chunk`` must be monotone in ``order``. Two levels: inside a chunk, and
     over the chunk totals.
     """
-    df = df.withColumn(CHUNK, chunk)
+    df = settle(df.withColumn(CHUNK, chunk), keys)
     for name, column in totals.items():
         df = df.withColumn(f"_v_{name}", column)
     inner = W.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
@@ -111,7 +122,7 @@ def row_index(
     name: str,
 ) -> DataFrame:
     """0-based position per key in ``order`` (a two-level ``row_number() - 1``)."""
-    df = df.withColumn(CHUNK, chunk)
+    df = settle(df.withColumn(CHUNK, chunk), keys)
     inner = W.partitionBy(*keys, CHUNK).orderBy(*order)
     outer = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
     offsets = (
@@ -158,11 +169,11 @@ def merge_runs(
     """
     aggs = dict(aggs or {})
     same = list(same)
-    unit = df.select(
+    unit = with_chunk(df, keys, start, size).select(
         *keys, *same,
         F.col(start).alias("_start"), F.col(stop).alias("_stop"),
         *[F.col(src).alias(f"_in_{out}") for out, (_, src) in aggs.items()],
-        div(start, size).alias(CHUNK),
+        CHUNK,
     )
 
     def breaks(window) -> Column:
@@ -216,7 +227,7 @@ def open_periods(
     ``(keys, chunk, _carry_open, _carry_close, _pieces)``.
     """
     window = chunk_window(keys, idx)
-    rows = df if CHUNK in df.columns else with_chunk(df, idx, size)
+    rows = with_chunk(df, keys, idx, size)
     rows = rows.withColumn(
         "_piece",
         F.coalesce(F.sum(F.col(closes).isNotNull().cast("long")).over(
@@ -276,7 +287,7 @@ def list_periods(
     Only the first and the unclosed piece of a chunk go to the second pass.
     """
     before = chunk_window(keys, idx).rowsBetween(W.unboundedPreceding, -1)
-    rows = with_chunk(df, idx, size).select(
+    rows = with_chunk(df, keys, idx, size).select(
         "*", F.coalesce(F.sum(F.col(closes).isNotNull().cast("long")).over(before), F.lit(0)).alias("_piece"))
     pieces = rows.groupBy(*keys, CHUNK, "_piece").agg(
         F.min(opens).alias("_s"), F.max(closes).alias("_e"), F.max(idx).alias("_last"))

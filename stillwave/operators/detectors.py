@@ -40,7 +40,7 @@ def neighbour_counts(
     Both come from one running count per chunk and two offset look-ups, so the
     cost per row does not grow with the window length.
     """
-    rows = spread(df.withColumn("_active", active.cast("int")), idx, size, window_rows, window_rows)
+    rows = spread(df.withColumn("_active", active.cast("int")), keys, idx, size, window_rows, window_rows)
     window = chunk_window(keys, idx)
     whole = W.partitionBy(*keys, CHUNK)
     rows = rows.withColumn("_seen", F.sum("_active").over(window.rowsBetween(W.unboundedPreceding, 0)))
@@ -89,7 +89,7 @@ def troiano(
     """
     window = chunk_window(keys, idx)
     tolerance = spike_tolerance
-    rows = spread(df.withColumn("_value", value), idx, size, tolerance + 1, 0)
+    rows = spread(df.withColumn("_value", value), keys, idx, size, tolerance + 1, 0)
     rows = rows.withColumn("_zero", F.col("_value") <= min(activity_threshold, spike_stoplevel))
     too_many = (
         (F.col("_value") > activity_threshold)
@@ -120,7 +120,7 @@ def choi_window_counts(
     Later rows are ``[i+tolerance, i+window]``, earlier rows ``[i-window, i-2]``.
     """
     reach = max(min_window_len, CHOI_SPIKE_RUN)
-    rows = spread(df.withColumn("_value", value), idx, size, reach, min_window_len)
+    rows = spread(df.withColumn("_value", value), keys, idx, size, reach, min_window_len)
     window = chunk_window(keys, idx)
     whole = W.partitionBy(*keys, CHUNK)
     rows = rows.withColumn("_seen", F.sum((F.col("_value") > 0).cast("int")).over(
@@ -177,7 +177,7 @@ def hees_windows(
     keep the chunk columns, with ``window_blocks - 1`` border rows on each
     side, so that the caller can look back over them.
     """
-    rows = spread(blocks, block, size, window_blocks - 1, window_blocks - 1)
+    rows = spread(blocks, keys, block, size, window_blocks - 1, window_blocks - 1)
     window = chunk_window(keys, block)
     whole = W.partitionBy(*keys, CHUNK)
     upto = window.rowsBetween(W.unboundedPreceding, 0)

@@ -58,7 +58,7 @@ def keogh_bound(
     The envelope of position ``i`` spans positions ``[i-r, i+r)``.
     """
     placed = row_index(joined.select(*keys, idx, first, second), keys, [idx], div(idx, size), "_pos")
-    rows = spread(placed, "_pos", size, radius, radius - 1)
+    rows = spread(placed, keys, "_pos", size, radius, radius - 1)
     frame = chunk_window(keys, "_pos").rowsBetween(-radius, radius - 1)
     rows = rows.withColumn("_lo", F.min(second).over(frame)).withColumn("_hi", F.max(second).over(frame)).filter(OWN)
     x = F.col(first)

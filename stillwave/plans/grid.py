@@ -75,7 +75,7 @@ def hecht_grid(epochs: DataFrame, space: Space, epoch_sec: int = 60, keys: Seque
     minimums = sorted(space["m"])
     windows = {i: quiet_window(i, epoch_sec) for i in space["i"]}
     reach = max(windows.values())
-    rows = spread(epochs.select(*keys, "epoch_idx", F.col("vmu").alias("_value"), "truth"), "epoch_idx", size, reach, reach)
+    rows = spread(epochs.select(*keys, "epoch_idx", F.col("vmu").alias("_value"), "truth"), keys, "epoch_idx", size, reach, reach)
     rows = rows.withColumn("t", F.explode(F.array(*[F.lit(t) for t in space["t"]])))
     part = [*keys, CHUNK, "t"]
     window = W.partitionBy(*part).orderBy("epoch_idx")
@@ -149,14 +149,15 @@ def troiano_grid(epochs: DataFrame, space: Space, keys: Sequence[str] = SUBJECT,
     tolerances, stops = sorted(space["st"]), sorted(space["ss"])
     levels = sorted({min(a, s) for a in space["at"] for s in stops})
     placed = _with_truth_position(epochs, keys, size)
-    rows = spread(placed, "epoch_idx", size, 0, max(tolerances))
+    rows = spread(placed, keys, "epoch_idx", size, 0, max(tolerances))
     window = chunk_window(keys, "epoch_idx")
     ahead = [f"_ahead_{k}" for k in range(len(tolerances))]
     rows = rows.select("*", *[F.lead("_p", n).over(window).alias(c) for n, c in zip(tolerances, ahead)]).filter(OWN)
-    rows = with_parameters(rows.drop(CHUNK, OWN), {"vm": space["vm"], "_u": levels})
+    # The own copy of a row is in the chunk of its index, so the chunk column stays valid for the runs.
+    rows = with_parameters(rows.drop(OWN), {"vm": space["vm"], "_u": levels})
     value = F.when(F.col("vm"), F.col("vmu")).otherwise(F.col("axis1"))
     rows = rows.select(
-        *keys, "vm", "_u", (value > F.col("_u")).alias("_busy"), *ahead, "_p",
+        *keys, CHUNK, "vm", "_u", (value > F.col("_u")).alias("_busy"), *ahead, "_p",
         F.col("epoch_idx").alias("_a"), F.col("epoch_idx").alias("_b"),
         *[F.when(value > s, _spot("epoch_idx")).alias(f"_over_{k}") for k, s in enumerate(stops)])
     runs = merge_runs(
@@ -193,7 +194,7 @@ def choi_grid(epochs: DataFrame, space: Space, keys: Sequence[str] = SUBJECT, si
     rows = with_parameters(placed, {"vm": space["vm"]}).withColumn(
         "_v", F.when(F.col("vm"), F.col("vmu")).otherwise(F.col("axis1")))
     reach = max(max(space["mwl"]), CHOI_SPIKE_RUN)
-    rows = spread(rows, "epoch_idx", size, reach, max(space["mwl"]))
+    rows = spread(rows, keys, "epoch_idx", size, reach, max(space["mwl"]))
     part = [*keys, CHUNK, "vm"]
     window = W.partitionBy(*part).orderBy("epoch_idx")
     whole = W.partitionBy(*part)
@@ -215,7 +216,7 @@ def choi_grid(epochs: DataFrame, space: Space, keys: Sequence[str] = SUBJECT, si
         .withColumn("_c", F.explode("_crowd"))
     )
     rows = rows.select(
-        *keys, "vm", F.col("_c.st").alias("st"), F.col("_c.mwl").alias("mwl"), (F.col("_v") > 0).alias("_busy"), "_p",
+        *keys, CHUNK, "vm", F.col("_c.st").alias("st"), F.col("_c.mwl").alias("mwl"), (F.col("_v") > 0).alias("_busy"), "_p",
         F.col("epoch_idx").alias("_a"), F.col("epoch_idx").alias("_b"),
         *[F.when((F.col("_v") > 0) & (F.col("_c.c") > w), _spot("epoch_idx")).alias(f"_w_{k}") for k, w in enumerate(space["wst"])],
         *[F.when(F.col("_third")[k], _spot("epoch_idx")).alias(f"_t_{k}") for k in range(len(space["at"]))])
@@ -282,7 +283,7 @@ def _quietest_windows(blocks: DataFrame, lengths: Mapping[int, int], block_rows:
     """
     reach = max(lengths.values()) - 1
     kinds = [(p, k) for p in ("std", "range") for k in range(3)]
-    rows = spread(blocks, "block", size, reach, reach)
+    rows = spread(blocks, keys, "block", size, reach, reach)
     window = chunk_window(keys, "block")
     whole = W.partitionBy(*keys, CHUNK)
     summed = ["n", *[f"{p}_{a}" for p in ("sum", "sumsq") for a in AXES]]

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -109,3 +111,15 @@ def test_hees(spark, size, window, step):
         assert part.wear.tolist() == want.tolist(), key
         quiet += (want == 0).any()
     assert quiet > 3
+
+
+def test_a_large_subject_is_spread_over_tasks(spark):
+    """Rows hashed by subject alone are moved by (subject, chunk) before any window."""
+    n = 40_000
+    name = F.substring(F.concat(F.lit("a"), F.col("id").cast("string")), 1, 1)
+    df = spark.range(n).select(name.alias("subject"), F.col("id").alias("epoch_idx"), (F.col("id") % 97 == 0).cast("double").alias("v"))
+    out = D.troiano(df.repartition(4, "subject"), F.col("v"), 0, 30, 2, 100, size=1000)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(subject#\d+, _chunk#\d+", plan)
+    want = troiano_loop(np.array([float(i % 97 == 0) for i in range(n)]), 0, 30, 2, 100)
+    assert out.filter("wear = 0").count() == int((want == 0).sum())
