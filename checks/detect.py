@@ -8,8 +8,8 @@ from checks.registry import query, r6, s6
 from checks.tables import EPOCHS_SQL, MINUTE, SIGNAL_SQL
 from stillwave.functions.expressions import moving_average
 from stillwave.functions.metrics import confusion, with_metrics
-from stillwave.operators import align as A, blocks as B, detectors as D, episodes as E, segments as S
-from stillwave.operators.chunked import CHUNK, OWN, chunk_window, spread
+from stillwave.operators import blocks as B, detectors as D, episodes as E, segments as S
+from stillwave.operators.chunked import OWN, chunk_window, spread
 
 HECHT = dict(threshold=5, interval_mins=20, min_count=1)
 TROIANO = dict(activity_threshold=0, min_period_len=24, spike_tolerance=1, spike_stoplevel=20)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.detect import (
-    CANDIDATES, EPISODES, HOUR, LABELLED, W_ALL, candidate_episodes, labelled, runs_sql,
+    CANDIDATES, EPISODES, HOUR, LABELLED, candidate_episodes, labelled, runs_sql,
 )
 from checks.registry import query, r6, s6
 from checks.tables import EPOCHS_SQL, MONTH_START_SEC, SIGNAL_SQL
@@ -13,7 +13,7 @@ from stillwave.functions import expressions as X
 from stillwave.functions.fixed_values import LONG_LABELS
 from stillwave.functions.metrics import confusion
 from stillwave.operators import align as A, axes as T, calibration as C, episodes as E, epochs as P, features as Z, statistics as ST
-from stillwave.plans import cv, reports
+from stillwave.plans import reports
 
 
 # ---- projections and scalar functions --------------------------------------------------
@@ -467,7 +467,6 @@ def _feature_sql():
                   f"CASE WHEN stddev_pop({s}) = 0 THEN NULL ELSE kurtosis_pop({s}) END AS {s}_kur",
                   f"CASE WHEN stddev_pop({s}) = 0 THEN 0 ELSE avg({s}) / stddev_pop({s}) END AS {s}_signal_to_noise",
                   f"median({s}) AS {s}_median", f"max({s}) - min({s}) AS {s}_ptp", f"var_pop({s}) AS {s}_var"]
-    modes = ", ".join(f"(SELECT v FROM (SELECT {s} AS v, count(*) AS k FROM rws r WHERE r.subject = st.subject AND r.counter = st.counter GROUP BY 1) ORDER BY k DESC, v LIMIT 1) AS {s}_mode" for s in "abc")
     mode_cte = ", ".join(
         f"md_{s} AS (SELECT subject, counter, arg_max({s}, k * 1000000.0 - {s}) AS {s}_mode FROM (SELECT subject, counter, {s}, count(*) AS k FROM rws GROUP BY 1, 2, 3) GROUP BY 1, 2)" for s in "abc")
     for f in Z.FEATURES[:-1]:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stillwave.functions.expressions import signal_to_noise
-from stillwave.operators.chunked import CHUNK, DEFAULT_SIZE, OWN, chunk_window, div, row_index, spread
+from stillwave.operators.chunked import DEFAULT_SIZE, OWN, chunk_window, div, row_index, spread
 from stillwave.operators.quantiles import median_and_mode
 
 SEGMENT = ("subject", "counter")

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stillwave.functions.expressions import calibrate
-from stillwave.operators.chunked import div
 
 
 def write_table(df: DataFrame, path: str, overwrite: bool = False, keys: Sequence[str] = ("subject",),
