@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stillwave.llm import byte_bpe, lang_id
+from stillwave.llm import byte_bpe, lang_id, near_dup
 from stillwave.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,11 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op2_near_duplicates")
+def op2(spark, sf_dir):
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 @query("op5_language_id")
 def op5(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
