@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stillwave.llm import byte_bpe, lang_id, near_dup
+from stillwave.llm import byte_bpe, lang_id, near_dup, pii
 from stillwave.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,15 @@ def op2(spark, sf_dir):
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+@query("op3_personal_data")
+def op3(spark, sf_dir):
+    found = pii.find(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(kind) for kind in pii.KINDS],
+                        F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
+                        pii.listed(pii.ordered(F.col("base"), F.col("extra"))).alias("spans"))
+
+
 @query("op5_language_id")
 def op5(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
