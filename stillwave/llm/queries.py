@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stillwave.llm import byte_bpe, lang_id, near_dup, pii
+from stillwave.llm import byte_bpe, lang_id, mixing, near_dup, pii
 from stillwave.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,40 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op1_mix_sources", r"""
+WITH d AS (
+    SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+           md5('1:' || doc_id::VARCHAR) AS spot
+    FROM documents),
+s AS (
+    SELECT source, sum(size)::BIGINT AS n,
+           1 + (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 AS w
+    FROM d GROUP BY source),
+-- Sources fill up in the order of size by weight: the share of those from k on is the first that fits the k-th.
+o AS (
+    SELECT *, row_number() OVER f AS k, sum(3 * n) OVER (f ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 3 * n AS full_before,
+           sum(w) OVER (f ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_left, sum(n) OVER () AS total
+    FROM s WINDOW f AS (ORDER BY 3 * n / w, encode(coalesce(source, '')), source IS NULL)),
+fits AS (
+    SELECT min(k) AS k FROM o
+    WHERE w * (total - full_before)::DOUBLE / w_left::DOUBLE <= 3 * n),
+t AS (
+    SELECT o.source, o.n, CASE WHEN o.k < fits.k THEN (3 * o.n)::DOUBLE
+                               ELSE o.w * (a.total - a.full_before)::DOUBLE / a.w_left::DOUBLE END AS target
+    FROM o, fits, o a WHERE a.k = fits.k),
+r AS (
+    SELECT d.doc_id, d.size, t.n AS source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS quota,
+           sum(d.size) OVER (PARTITION BY d.source ORDER BY d.spot, d.size ROWS UNBOUNDED PRECEDING) AS upto
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+       CASE WHEN source_size = 0 THEN 0
+            ELSE (quota // source_size) * size + greatest(0, least(size, quota % source_size - upto + size)) END::BIGINT AS taken
+FROM r
+""")
+def op1(spark, sf_dir):
+    return mixing.weighted(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 @query("op2_near_duplicates")
 def op2(spark, sf_dir):
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
