@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stillwave.llm import byte_bpe, lang_id, mixing, near_dup, pii
+from stillwave.llm import byte_bpe, chat, lang_id, mixing, near_dup, pii, spotsigs
 from stillwave.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,9 +82,34 @@ def op5(spark, sf_dir):
             .select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score", "n_spans"))
 
 
+@query("op7_spot_signatures")
+def op7(spark, sf_dir):
+    return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query("op8_byte_bpe")
 def op8(spark, sf_dir):
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op9_chat_snapshots", r"""
+WITH t AS (
+    SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS FIRST, text NULLS FIRST) AS pos,
+           count(*) OVER (PARTITION BY conv_id) AS n
+    FROM conversations WHERE conv_id IS NOT NULL),
+p AS (
+    SELECT *, md5(string_agg(md5(coalesce('r' || role, '')) || md5(coalesce('t' || text, '')), '') OVER (
+        PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING)) AS h
+    FROM t),
+l AS (SELECT n, h, min(conv_id) AS conv_id, count(*) AS n_copies FROM p WHERE pos = n GROUP BY n, h),
+k AS (SELECT * FROM l WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.pos < p.n AND p.pos = l.n AND p.h = l.h))
+SELECT k.conv_id, k.n AS n_turns, k.n_copies,
+       string_agg('<|im_start|>' || replace(coalesce(role, 'unknown'), '<|', '< |') || chr(10)
+                  || replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' || chr(10), '' ORDER BY pos) AS rendered
+FROM k JOIN t USING (conv_id) GROUP BY k.conv_id, k.n, k.n_copies
+""")
+def op9(spark, sf_dir):
+    return chat.maximal_conversations(table(spark, sf_dir, "conversations"))
