@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stillwave.llm import byte_bpe, chat, lang_id, mixing, near_dup, pii, spotsigs
+from stillwave.llm import byte_bpe, chat, lang_id, licences, mixing, near_dup, pii, spotsigs
 from stillwave.llm.common import held_out
+from stillwave.llm.licence_texts import LICENCES, SPELLINGS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -113,3 +114,28 @@ FROM k JOIN t USING (conv_id) GROUP BY k.conv_id, k.n, k.n_copies
 """)
 def op9(spark, sf_dir):
     return chat.maximal_conversations(table(spark, sf_dir, "conversations"))
+
+
+def _licence_sql() -> str:
+    """The same in SQL, from the same fixed values."""
+    text = lambda s: "'" + s.replace("'", "''") + "'"
+    form = f"regexp_replace(lower(coalesce(text, '')), '{licences.HOLDER}', '', 'g')"
+    for variant, canonical in SPELLINGS:
+        form = f"replace({form}, {text(variant)}, {text(canonical)})"
+    lines = (f"list_filter(list_transform(string_split(regexp_replace({form}, '{licences.OTHER}', ' ', 'g'), chr(10)), "
+             f"lambda s: trim(s)), lambda s: s <> '')")
+    values = ", ".join(f"({text(name)}, {text(whole)})" for name, whole in LICENCES)
+    return f"""
+WITH k AS (SELECT array_to_string({lines}, ' ') AS form, min(name) AS license
+           FROM (VALUES {values}) v(name, text) GROUP BY 1),
+d AS (SELECT doc_id, {lines} AS lines FROM documents),
+u AS (SELECT doc_id, unnest(lines) AS form FROM d),
+n AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices, count(*) AS n_notices
+      FROM u JOIN k USING (form) GROUP BY doc_id)
+SELECT d.doc_id, k.license, coalesce(n.notices, '') AS notices, coalesce(n.n_notices, 0) AS n_notices
+FROM d LEFT JOIN k ON k.form = array_to_string(d.lines, ' ') LEFT JOIN n ON n.doc_id = d.doc_id"""
+
+
+@query("op10_licence_digests", _licence_sql())
+def op10(spark, sf_dir):
+    return licences.scan(table(spark, sf_dir, "documents"))
