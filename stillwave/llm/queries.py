@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stillwave.llm import byte_bpe, chat, lang_id, licences, mixing, near_dup, pii, spotsigs
+from stillwave.llm import byte_bpe, chat, lang_id, licences, mixing, near_dup, ngram_lm, pii, spotsigs
 from stillwave.llm.common import held_out
 from stillwave.llm.licence_texts import LICENCES, SPELLINGS
 
@@ -75,6 +75,12 @@ def op3(spark, sf_dir):
                         pii.listed(pii.ordered(F.col("base"), F.col("extra"))).alias("spans"))
 
 
+@query("op4_deleted_interpolation")
+def op4(spark, sf_dir):
+    scored = ngram_lm.score(table(spark, sf_dir, "documents"), ~held_out("doc_id", 7, 2))
+    return scored.withColumn("held_out", held_out("doc_id", 7, 2))
+
+
 @query("op5_language_id")
 def op5(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
