@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stillwave.llm import byte_bpe, chat, lang_id, licences, mixing, near_dup, ngram_lm, pii, spotsigs
+from stillwave.llm import byte_bpe, chat, lang_id, licences, mixing, near_dup, ngram_lm, nn_descent, pii, spotsigs
 from stillwave.llm.common import held_out
 from stillwave.llm.licence_texts import LICENCES, SPELLINGS
 
@@ -89,6 +89,11 @@ def op5(spark, sf_dir):
             .select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score", "n_spans"))
 
 
+@query("op6_nn_descent")
+def op6(spark, sf_dir):
+    return nn_descent.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query("op7_spot_signatures")
 def op7(spark, sf_dir):
     return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
