@@ -102,7 +102,7 @@ def most_flips(threshold: float, n_samples: int) -> int:
 
 def similarity_from_sketches(a: np.ndarray, b: np.ndarray, n_samples: int) -> float:
     """The similarity that two odd sketches stand for: 1 + n / 4k ln(1 - 2z / n)."""
-    z = int(np.bitwise_count(a ^ b).sum())
+    z = int(np.bitwise_count((a ^ b).view(np.uint64)).sum())  # of a negative number it would count the absolute value
     return max(0.0, 1 + BITS / (4 * n_samples) * float(np.log(max(1e-9, 1 - 2 * z / BITS))))
 
 
@@ -196,7 +196,7 @@ def _across(members: DataFrame, percent: int, flips: int) -> DataFrame:
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cls", ignore_index=True)
         key = pdf["key"].iat[0]
-        sketch = np.array(pdf["sketch"].tolist(), np.int64)
+        sketch = np.array(pdf["sketch"].tolist(), np.int64).view(np.uint64)
         bands = np.array(pdf["bands"].tolist(), np.int64)
         size, minor = pdf["n"].to_numpy(), pdf["minor"].to_numpy()
         sets = [np.frombuffer(s, np.uint64) for s in pdf["set"]]
