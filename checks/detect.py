@@ -365,43 +365,44 @@ isl AS (SELECT subject, min(block) AS b0, max(block) AS b1
 @query("t5_candidate_segments_ungrown", f"""WITH {SIGNAL_SQL}, {CANDIDATES}
   SELECT subject, b0 * {MINUTE} AS start_index, b1 * {MINUTE} + {MINUTE - 1} AS stop_index FROM isl WHERE b1 > b0""")
 def _(t):
-    return S.candidate_segments(t.signal, THR, grow=False, samples_per_min=MINUTE).select("subject", "start_index", "stop_index")
-
-
-@query("t8_baseline_ungrown", f"""WITH {SIGNAL_SQL}, {CANDIDATES}
-  SELECT subject, b0 * {MINUTE} AS start_index, b1 * {MINUTE} + {MINUTE - 2} AS stop_index FROM isl
-  WHERE b1 > b0 AND ((b1 - b0) * {MINUTE} + {MINUTE - 2}) // {MINUTE} >= 3""")
-def _(t):
-    return S.baseline(t.signal, THR, 3, samples_per_min=MINUTE, grow=False).select("subject", "start_index", "stop_index")
+    # What growth starts from: the islands alone.
+    islands = S.stationary_islands(S.minute_table(t.signal, MINUTE), THR, MINUTE)
+    return islands.filter("b1 > b0").select("subject", (F.col("b0") * MINUTE).alias("start_index"),
+                                            (F.col("b1") * MINUTE + MINUTE - 1).alias("stop_index"))
 
 
 # Growth step by step in a recursive query: back first, then forward, always over raw samples.
-GROWN = f"""
+def grown_sql(thr, by=""):
+    """SQL of grown segments ``un`` from the islands ``isl``; ``by`` names further keys, each with a comma."""
+    return f"""
 pre AS (SELECT subject, idx, sum(1) OVER w AS n, sum(y) OVER w AS y1, sum(x) OVER w AS x1, sum(z) OVER w AS z1,
     sum(y * y) OVER w AS y2, sum(x * x) OVER w AS x2, sum(z * z) OVER w AS z2 FROM signal WINDOW w AS (PARTITION BY subject ORDER BY idx)
   UNION ALL SELECT DISTINCT subject, -1, 0, 0, 0, 0, 0, 0, 0 FROM signal),
 tail AS (SELECT subject, max(idx) + 1 AS total FROM signal GROUP BY 1),
 grow AS (
-  SELECT subject, b0, b0 * {MINUTE} AS s, b1 * {MINUTE} + {MINUTE - 1} AS e, 0 AS phase, 0 AS k FROM isl
+  SELECT {by}subject, b0, b0 * {MINUTE} AS s, b1 * {MINUTE} + {MINUTE - 1} AS e, 0 AS phase, 0 AS k FROM isl
   UNION ALL
-  SELECT g.subject, g.b0,
+  SELECT {by}g.subject, g.b0,
     CASE WHEN g.phase = 0 AND ok THEN g.s - {MINUTE} ELSE g.s END, CASE WHEN g.phase = 1 AND ok THEN g.e + {MINUTE} ELSE g.e END,
     CASE WHEN ok THEN g.phase ELSE g.phase + 1 END, g.k + 1
   FROM (
     SELECT g.*, coalesce(
-        (hi.n - lo.n) * (hi.y2 - lo.y2) - (hi.y1 - lo.y1) * (hi.y1 - lo.y1) <= {THR} * {THR} * (hi.n - lo.n) * (hi.n - lo.n)
-        AND (hi.n - lo.n) * (hi.x2 - lo.x2) - (hi.x1 - lo.x1) * (hi.x1 - lo.x1) <= {THR} * {THR} * (hi.n - lo.n) * (hi.n - lo.n)
-        AND (hi.n - lo.n) * (hi.z2 - lo.z2) - (hi.z1 - lo.z1) * (hi.z1 - lo.z1) <= {THR} * {THR} * (hi.n - lo.n) * (hi.n - lo.n), false) AS ok
+        (hi.n - lo.n) * (hi.y2 - lo.y2) - (hi.y1 - lo.y1) * (hi.y1 - lo.y1) <= {thr} * {thr} * (hi.n - lo.n) * (hi.n - lo.n)
+        AND (hi.n - lo.n) * (hi.x2 - lo.x2) - (hi.x1 - lo.x1) * (hi.x1 - lo.x1) <= {thr} * {thr} * (hi.n - lo.n) * (hi.n - lo.n)
+        AND (hi.n - lo.n) * (hi.z2 - lo.z2) - (hi.z1 - lo.z1) * (hi.z1 - lo.z1) <= {thr} * {thr} * (hi.n - lo.n) * (hi.n - lo.n), false) AS ok
     FROM grow g
     LEFT JOIN pre lo ON lo.subject = g.subject AND lo.idx = CASE WHEN g.phase = 0 THEN g.s - {MINUTE} ELSE g.s END - 1
     LEFT JOIN pre hi ON hi.subject = g.subject AND hi.idx = CASE WHEN g.phase = 0 THEN g.e ELSE g.e + {MINUTE} END - 1
     WHERE g.phase < 2) g),
-fin AS (SELECT subject, b0, arg_max(s, k) AS s, arg_max(e, k) AS e FROM grow GROUP BY 1, 2),
+fin AS (SELECT {by}subject, b0, arg_max(s, k) AS s, arg_max(e, k) AS e FROM grow GROUP BY {by}subject, b0),
 kept AS (SELECT * FROM fin WHERE e - s >= {MINUTE}),
-un AS (SELECT subject, min(s) AS start_index, max(e) AS stop_index FROM (
-    SELECT *, sum(CASE WHEN s > m OR m IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY subject ORDER BY s, e) AS u
-    FROM (SELECT *, max(e) OVER (PARTITION BY subject ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM kept))
-  GROUP BY subject, u)"""
+un AS (SELECT {by}subject, min(s) AS start_index, max(e) AS stop_index FROM (
+    SELECT *, sum(CASE WHEN s > m OR m IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY {by}subject ORDER BY s, e) AS u
+    FROM (SELECT *, max(e) OVER (PARTITION BY {by}subject ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM kept))
+  GROUP BY {by}subject, u)"""
+
+
+GROWN = grown_sql(THR)
 
 
 @query("t5_t6_candidate_segments_grown", f"WITH RECURSIVE {SIGNAL_SQL}, {CANDIDATES}, {GROWN} SELECT subject, start_index, stop_index FROM un")
@@ -409,28 +410,31 @@ def _(t):
     return S.candidate_segments(t.signal, THR, samples_per_min=MINUTE).select("subject", "start_index", "stop_index")
 
 
-@query("e1_candidate_episodes_numbered", f"""WITH {SIGNAL_SQL}, {CANDIDATES}
-  SELECT subject, b0 * {MINUTE} AS start_index, b1 * {MINUTE} + {MINUTE - 2} AS stop_index,
-    row_number() OVER (PARTITION BY subject ORDER BY b0) - 1 AS counter FROM isl WHERE b1 > b0""")
+EPISODES = f"""{GROWN},
+eps AS MATERIALIZED (SELECT subject, start_index AS a, stop_index - 1 AS b, row_number() OVER (PARTITION BY subject ORDER BY start_index) - 1 AS counter
+    FROM un WHERE stop_index > start_index)"""
+
+
+@query("t8_baseline", f"""WITH RECURSIVE {SIGNAL_SQL}, {CANDIDATES}, {EPISODES}
+  SELECT subject, a AS start_index, b AS stop_index FROM eps WHERE (b - a) // {MINUTE} >= 3""")
+def _(t):
+    return S.baseline(t.signal, THR, 3, samples_per_min=MINUTE).select("subject", "start_index", "stop_index")
+
+
+@query("e1_candidate_episodes_numbered", f"""WITH RECURSIVE {SIGNAL_SQL}, {CANDIDATES}, {EPISODES}
+  SELECT subject, a AS start_index, b AS stop_index, counter FROM eps""")
 def _(t):
-    return S.as_episodes(S.candidate_segments(t.signal, THR, grow=False, samples_per_min=MINUTE)).select(
-        "subject", "start_index", "stop_index", "counter")
+    return candidate_episodes(t).select("subject", "start_index", "stop_index", "counter")
 
 
 def candidate_episodes(t):
-    return S.as_episodes(S.candidate_segments(t.signal, THR, grow=False, samples_per_min=MINUTE))
+    return S.as_episodes(S.candidate_segments(t.signal, THR, samples_per_min=MINUTE))
 
 
-EPISODES = f"""
-eps AS (SELECT subject, b0 * {MINUTE} AS a, b1 * {MINUTE} + {MINUTE - 2} AS b,
-    row_number() OVER (PARTITION BY subject ORDER BY b0) - 1 AS counter FROM isl WHERE b1 > b0)"""
 HZ = 3
 EDGE_THR = 0.1201
 # Second by second from each edge; k counts the seconds that pass one after the other.
 REFINED = f"""
-pre AS (SELECT subject, idx, sum(1) OVER w AS n, sum(y) OVER w AS y1, sum(x) OVER w AS x1, sum(z) OVER w AS z1,
-    sum(y * y) OVER w AS y2, sum(x * x) OVER w AS x2, sum(z * z) OVER w AS z2 FROM signal WINDOW w AS (PARTITION BY subject ORDER BY idx)
-  UNION ALL SELECT DISTINCT subject, -1, 0, 0, 0, 0, 0, 0, 0 FROM signal),
 walk AS (
   SELECT subject, counter, 1 AS way, b AS pos, true AS live, 0 AS k FROM eps
   UNION ALL SELECT subject, counter, -1, a, true, 0 FROM eps
@@ -443,12 +447,12 @@ walk AS (
     FROM walk g
     LEFT JOIN pre lo ON lo.subject = g.subject AND lo.idx = CASE WHEN g.way = 1 THEN g.pos ELSE g.pos - {HZ} END - 1
     LEFT JOIN pre hi ON hi.subject = g.subject AND hi.idx = CASE WHEN g.way = 1 THEN g.pos + {HZ} ELSE g.pos END - 1
-    WHERE g.live AND g.k < 40) g),
+    WHERE g.live AND g.k < {HZ * 60 * 5}) g),
 edges AS (SELECT subject, counter, max(pos) FILTER (way = 1) AS b, min(pos) FILTER (way = -1) AS a FROM walk GROUP BY 1, 2)"""
 
 
 def refined(t):
-    return S.refine_edges(t.signal, candidate_episodes(t), EDGE_THR, HZ, max_steps=40, first_look=8)
+    return S.refine_edges(t.signal, candidate_episodes(t), EDGE_THR, HZ, first_look=8)
 
 
 @query("t7_refined_edges", f"""WITH RECURSIVE {SIGNAL_SQL}, {CANDIDATES}, {EPISODES}, {REFINED}

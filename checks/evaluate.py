@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.detect import (
+    grown_sql,
     CHOI, HECHT, HOUR, TROIANO, choi, choi_sql, hecht, hecht_sql, runs_sql, troiano, troiano_sql,
 )
 from checks.registry import query, r6, s6
@@ -390,17 +391,21 @@ def raw_truth(t):
     return t.signal.select("subject", "idx", F.when(F.col("y") == 0, 1).otherwise(0).alias("truth"))
 
 
-@query("g5_v7_q2_baseline_grid", f"""WITH {SIGNAL_SQL}, th(th) AS (VALUES (0.1001), (0.1501), (0.2001)), ln(len) AS (VALUES (1), (2), (4)),
+BASELINE_SPACE = {"std": [0.1001, 0.1501, 0.2001, 0.2501], "length": [1, 2, 3, 4, 5, 6, 8, 10]}
+
+
+@query("g5_v7_q2_baseline_grid", f"""WITH RECURSIVE {SIGNAL_SQL}, th(th) AS (VALUES {', '.join(f'({v}::DOUBLE)' for v in BASELINE_SPACE['std'])}),
+  ln(len) AS (VALUES {', '.join(f'({v})' for v in BASELINE_SPACE['length'])}),
   cd AS (SELECT th, subject, idx // {MINUTE} AS block FROM signal, th GROUP BY 1, 2, 3 HAVING stddev_pop(y) <= th AND stddev_pop(x) <= th AND stddev_pop(z) <= th),
-  il AS (SELECT th, subject, min(block) AS b0, max(block) AS b1 FROM (SELECT *, block - row_number() OVER (PARTITION BY th, subject ORDER BY block) AS g FROM cd) GROUP BY th, subject, g),
-  ep AS (SELECT th, len, subject, b0 * {MINUTE} AS a, b1 * {MINUTE} + {MINUTE - 2} AS b FROM il, ln WHERE b1 > b0 AND ((b1 - b0) * {MINUTE} + {MINUTE - 2}) // {MINUTE} >= len),
+  isl AS (SELECT th, subject, min(block) AS b0, max(block) AS b1 FROM (SELECT *, block - row_number() OVER (PARTITION BY th, subject ORDER BY block) AS g FROM cd) GROUP BY th, subject, g),
+  {grown_sql('th', 'th, ')},
+  ep AS MATERIALIZED (SELECT th, len, subject, start_index AS a, stop_index - 1 AS b FROM un, ln WHERE stop_index > start_index AND (stop_index - 1 - start_index) // {MINUTE} >= len),
   sc AS (SELECT g.th, g.len, s.y = 0 AS y, ep.subject IS NOT NULL AS p FROM signal s CROSS JOIN (SELECT * FROM th, ln) g
      LEFT JOIN ep ON ep.th = g.th AND ep.len = g.len AND ep.subject = s.subject AND s.idx >= ep.a AND s.idx < ep.b)
-  SELECT CAST(th AS DOUBLE) AS std, len AS length, {cells('CAST(y AS INTEGER)', 'CAST(p AS INTEGER)')} FROM sc GROUP BY 1, 2""")
+  SELECT th AS std, len AS length, {cells('CAST(y AS INTEGER)', 'CAST(p AS INTEGER)')} FROM sc GROUP BY 1, 2""")
 def _(t):
-    # Fixed samples once; thresholds and lengths only touch episodes.
-    return models.baseline_grid(t.signal, raw_truth(t), {"std": [0.1001, 0.1501, 0.2001], "length": [1, 2, 4]},
-                                samples_per_min=MINUTE, grow=False)
+    # Fixed samples and the minute table once; thresholds and lengths only touch minutes and episodes.
+    return models.baseline_grid(t.signal, raw_truth(t), BASELINE_SPACE, samples_per_min=MINUTE)
 
 
 # ---- prediction metrics ----------------------------------------------------------------
@@ -501,8 +506,8 @@ def _(t):
     ep = candidate_episodes(t)
     w = A.edge_windows(t.signal, ep.withColumn("label", (F.col("start_index") % 2).cast("int")), 6)
     model = models.fit_windows(w, 6, epochs=5)
-    space = {"edge": [True, False], "op": ["or", "and"], "distance": [1, 3]}
-    out = models.edge_decision_grid(t.signal, ep, raw_truth(t), model, 6, space, HZ, EDGE_THR, MINUTE, max_steps=40)
+    space = {"edge": [True, False], "op": ["or", "and"], "distance": [1, 2, 3, 4, 5]}
+    out = models.edge_decision_grid(t.signal, ep, raw_truth(t), model, 6, space, HZ, EDGE_THR, MINUTE)
     return out.orderBy(F.desc("f1"), "edge", "op", "distance")
 
 

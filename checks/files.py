@@ -153,7 +153,7 @@ def _(t):
 
 @query("r6_resampled_signal")
 def _(t):
-    out = resample(t.signal, 5, 2, zeros=8, chunk_secs=200)
+    out = resample(t.signal, 5, 2, chunk_secs=200)
     return out.select("subject", "idx", r6("y"), r6("x"), r6("z"))
 
 

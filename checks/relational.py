@@ -153,7 +153,7 @@ def _(t):
     return v.dropna(subset=["v"]).groupBy("subject").agg(F.count("v").alias("n"), r6(F.avg("v"), "mean_v"))
 
 
-@query("f6_j4_samples_in_episodes", f"""WITH {SIGNAL_SQL}, {CANDIDATES}, {EPISODES}
+@query("f6_j4_samples_in_episodes", f"""WITH RECURSIVE {SIGNAL_SQL}, {CANDIDATES}, {EPISODES}
   SELECT s.subject, e.counter, s.idx FROM signal s JOIN eps e ON s.subject = e.subject AND s.idx >= e.a AND s.idx < e.b""")
 def _(t):
     return A.samples_in_episodes(t.signal, candidate_episodes(t), closed=False, block_rows=64).select("subject", "counter", "idx")
@@ -258,7 +258,7 @@ def _(t):
     return T.exclude(t.raw("customer").select(F.col("c_custkey").alias("subject")), t.raw("events").withColumnRenamed("user_id", "subject"))
 
 
-@query("j8_nearest_index_tolerance", f"""WITH {SIGNAL_SQL}, {CANDIDATES}, {EPISODES}, tr AS (SELECT subject, idx FROM signal WHERE y > 0.7)
+@query("j8_nearest_index_tolerance", f"""WITH RECURSIVE {SIGNAL_SQL}, {CANDIDATES}, {EPISODES}, tr AS (SELECT subject, idx FROM signal WHERE y > 0.7)
   SELECT e.subject, e.a AS idx, CAST(max(CASE WHEN tr.idx IS NOT NULL THEN 1 ELSE 0 END) AS INTEGER) AS is_true
   FROM eps e LEFT JOIN tr ON e.subject = tr.subject AND e.a BETWEEN tr.idx - 5 AND tr.idx + 4 GROUP BY 1, 2""")
 def _(t):
@@ -391,7 +391,7 @@ def _weighted(col):
     return F.aggregate(F.transform("w", lambda s, i: s[col] * (i + 1)), F.lit(0.0), lambda a, v: a + v)
 
 
-@query("r8_fixed_windows_in_episodes", f"""WITH {SIGNAL_SQL}, {CANDIDATES}, {EPISODES},
+@query("r8_fixed_windows_in_episodes", f"""WITH RECURSIVE {SIGNAL_SQL}, {CANDIDATES}, {EPISODES},
   r AS (SELECT e.subject, e.counter, (idx - a) // 6 AS win, (idx - a) % 6 + 1 AS pos, y, z FROM signal s JOIN eps e ON s.subject = e.subject AND idx BETWEEN a AND b)
   SELECT subject, counter, win, {s6('sum(pos * y)', 'y_digest')}, {s6('sum(pos * z)', 'z_digest')} FROM r GROUP BY 1, 2, 3 HAVING count(*) = 6""")
 def _(t):
@@ -400,7 +400,7 @@ def _(t):
     return w.select("subject", "counter", "win", r6(_weighted("y"), "y_digest"), r6(_weighted("z"), "z_digest"))
 
 
-@query("r9_edge_windows", f"""WITH {SIGNAL_SQL}, {CANDIDATES}, {EPISODES},
+@query("r9_edge_windows", f"""WITH RECURSIVE {SIGNAL_SQL}, {CANDIDATES}, {EPISODES},
   sp AS (SELECT subject, counter, 'start' AS side, a - 8 AS lo FROM eps WHERE a >= 8 UNION ALL SELECT subject, counter, 'stop', b FROM eps)
   SELECT sp.subject, sp.counter, sp.side, {s6('sum((idx - lo + 1) * y)', 'y_digest')}, {s6('sum((idx - lo + 1) * x)', 'x_digest')}
   FROM sp JOIN signal s ON s.subject = sp.subject AND s.idx >= lo AND s.idx < lo + 8 GROUP BY 1, 2, 3 HAVING count(*) = 8""")
@@ -586,7 +586,7 @@ def _(t):
         merged.select(F.lit("merged").alias("source"), *cols))
 
 
-@query("q6_lively_edge_windows", f"""WITH {SIGNAL_SQL}, {CANDIDATES}, {EPISODES},
+@query("q6_lively_edge_windows", f"""WITH RECURSIVE {SIGNAL_SQL}, {CANDIDATES}, {EPISODES},
   sp AS (SELECT subject, counter, 'start' AS side, a - 8 AS lo FROM eps WHERE a >= 8 UNION ALL SELECT subject, counter, 'stop', b FROM eps)
   SELECT sp.subject, sp.counter, sp.side, {s6('stddev_pop(y)', 'std_y')} FROM sp JOIN signal s ON s.subject = sp.subject AND s.idx >= lo AND s.idx < lo + 8
   GROUP BY 1, 2, 3 HAVING count(*) = 8 AND stddev_pop(y) > 0.1001 AND stddev_pop(x) > 0.1001 AND stddev_pop(z) > 0.1001""")

@@ -73,24 +73,33 @@ def t_test(df: DataFrame, group: str, first: str, second: str, value: str, equal
 def f_tail(statistic: str | Column, df1: str | Column, df2: str | Column) -> Column:
     """P(F > statistic)."""
     f, d1, d2 = as_col(statistic), as_col(df1), as_col(df2)
-    return _incomplete_beta()(d2 / 2, d1 / 2, d2 / (d2 + d1 * f))
+    return _incomplete_beta()(d2 / 2, d1 / 2, d2 / (d2 + d1 * f), d1 * f / (d2 + d1 * f))
 
 
 def t_two_sided(statistic: str | Column, df: str | Column) -> Column:
     """P(|T| > |statistic|)."""
     t, d = as_col(statistic), as_col(df)
-    return _incomplete_beta()(d / 2, F.lit(0.5), d / (d + t * t))
+    return _incomplete_beta()(d / 2, F.lit(0.5), d / (d + t * t), t * t / (d + t * t))
 
 
 def _incomplete_beta():
-    """Regularised incomplete beta I_x(a, b) by its continued fraction (one row per test)."""
-    from math import exp, lgamma, log
+    """Regularised incomplete beta I_x(a, b) by its continued fraction (one row per test); takes a, b, x and 1 - x."""
+    from math import exp, lgamma, log, log1p
+
+    def log_beta(a: float, b: float) -> float:
+        """log of gamma(a) gamma(b) / gamma(a + b), without cancellation for large arguments."""
+        a, b = max(a, b), min(a, b)
+        if a < 1e4:
+            return lgamma(a) + lgamma(b) - lgamma(a + b)
+        rise = (a + b - 0.5) * log1p(b / a) + b * log(a) - b + 1 / (12 * (a + b)) - 1 / (12 * a)
+        return lgamma(b) - rise
 
     def fraction(a: float, b: float, x: float) -> float:
         tiny, c, d = 1e-300, 1.0, 1.0 - (a + b) * x / (a + 1)
         d = 1.0 / (d if abs(d) > tiny else tiny)
-        out = d
-        for m in range(1, 500):
+        out, m = d, 0
+        while True:
+            m += 1
             for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
                         -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
                 d = 1.0 + top * d
@@ -99,19 +108,21 @@ def _incomplete_beta():
                 c = c if abs(c) > tiny else tiny
                 out *= c * d
             if abs(c * d - 1.0) < 1e-15:
-                break
-        return out
+                return out
+            if m > 10_000_000:
+                raise ArithmeticError("the continued fraction does not settle")
 
-    def one(a: float, b: float, x: float) -> float:
-        if not 0.0 < x < 1.0:
+    def one(a: float, b: float, x: float, y: float) -> float:
+        if not 0.0 < x < 1.0 or y <= 0.0:
             return 0.0 if x <= 0 else 1.0
-        front = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log(1 - x))
+        log_x, log_y = log1p(-y) if y < 0.5 else log(x), log1p(-x) if x < 0.5 else log(y)
+        front = exp(a * log_x + b * log_y - log_beta(a, b))
         if x < (a + 1) / (a + b + 2):
             return front * fraction(a, b, x) / a
-        return 1.0 - front * fraction(b, a, 1 - x) / b
+        return 1.0 - front * fraction(b, a, y) / b
 
     @F.pandas_udf("double")
-    def beta(a: pd.Series, b: pd.Series, x: pd.Series) -> pd.Series:
-        return pd.Series([one(p, q, r) for p, q, r in zip(a, b, x)], dtype="float64")
+    def beta(a: pd.Series, b: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([one(*row) for row in zip(a, b, x, y)], dtype="float64")
 
     return beta

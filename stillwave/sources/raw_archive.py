@@ -84,7 +84,7 @@ def _decode(keep_last: bool):
     return decode
 
 
-def find_recordings(spark: SparkSession, folder: str, pattern: str = "*.gt3x") -> DataFrame:
+def find_recordings(spark: SparkSession, folder: str | list[str], pattern: str = "*.gt3x") -> DataFrame:
     """Recordings below a folder with the subject from the 8 digits of the file name."""
     from stillwave.sources.tables import subject_from_path
 
@@ -101,10 +101,15 @@ def decode_recordings(files: DataFrame, keep_last: bool = False) -> DataFrame:
 
 
 def read_recordings(spark: SparkSession, folder: str, done: DataFrame | None = None, keep_last: bool = False) -> DataFrame:
-    """Decode the recordings of all subjects that are not in ``done``."""
+    """Decode the recordings of all subjects that are not in ``done``.
+
+    Names are compared first; only the files that are left are read.
+    """
     files = find_recordings(spark, folder)
     if done is not None:
-        files = files.join(done.select("subject").distinct(), "subject", "left_anti")
+        names = files.select("path", "subject").join(done.select("subject").distinct(), "subject", "left_anti")
+        paths = [row["path"] for row in names.select("path").collect()]
+        files = find_recordings(spark, paths) if paths else files.filter("false")
     return decode_recordings(files, keep_last)
 
 
