@@ -30,6 +30,14 @@ TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 SUPPORT, TRUST = 3.0, 0.6
 #: An instance is accepted from this score on, with this many patterns behind it.
 ACCEPT, PATTERNS = 0.95, 2
+#: What an instance of a kind looks like at least, whatever its context: an at sign; three groups with points or colons
+#: between them; the digits of a card; seven digits. Contexts alone would also catch ordinary words with a digit.
+LOOKS = {
+    "email": r"^[^\s@]+@[^\s@]+$",
+    "ip": r"^[0-9a-f]*[0-9][0-9a-f]*(?:[.:][0-9a-f]*){2,7}$",
+    "card": r"^[0-9](?:-?[0-9]){11,18}$",
+    "phone": r"^\+?\(?[0-9](?:[().-]*[0-9]){6,14}$",
+}
 #: Rounds of scoring.
 ROUNDS = 3
 #: Lengths are added up in blocks of so many, so that a text with very many matches takes no quadratic time.
@@ -161,7 +169,11 @@ def discover(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         trust = (pairs.join(known, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("weight"))
                  .where(F.col("weight") >= SUPPORT).join(totals, "pattern")
                  .withColumn("trust", F.col("weight") / F.col("n")).where(F.col("trust") >= TRUST))
-        scores = (candidates.join(trust.select("pattern", "kind", "trust"), "pattern").groupBy("instance", "kind").agg(
+        looks = F.lit(False)
+        for kind, form in LOOKS.items():
+            looks = looks | ((F.col("kind") == kind) & F.col("instance").rlike(form))
+        scores = (candidates.join(trust.select("pattern", "kind", "trust"), "pattern").where(looks)
+                  .groupBy("instance", "kind").agg(
             (1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-6)))))).alias("score"),
             F.count("*").alias("patterns")).where((F.col("score") >= ACCEPT) & (F.col("patterns") >= PATTERNS)))
         best = F.max_by("kind", F.struct("score", F.col("patterns"), -F.ascii("kind")))
