@@ -31,6 +31,8 @@ BITS = 512
 SIGMAS = 4.5
 #: Members of a block when a bucket is compared block by block.
 BLOCK = 128
+#: Buckets of up to so many members are compared by a join instead.
+SMALL = 12
 #: Word hashes a task keeps.
 KEPT_WORDS = 400_000
 
@@ -171,6 +173,16 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
+def _couples(members: DataFrame, percent: int, flips: int) -> DataFrame:
+    """Candidates (a, b) of different components in buckets of at most ``SMALL`` members."""
+    columns = ["key", "cls", "root", "n", "sketch"]
+    one, two = (members.select("key", *[F.col(c).alias(f"{side}_{c}") for c in columns[1:]]) for side in "ab")
+    return (one.join(two, "key").where("a_cls < b_cls and a_root <> b_root")
+            .where(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
+            .where(_flips("a_sketch", "b_sketch") <= flips)
+            .select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b")).distinct())
+
+
 def _across(members: DataFrame, percent: int, flips: int) -> DataFrame:
     """Links between different components inside buckets: ``members`` has key, cls, root, minor, n, bands, sketch, set.
 
@@ -199,7 +211,8 @@ def _across(members: DataFrame, percent: int, flips: int) -> DataFrame:
         sketch = np.array(pdf["sketch"].tolist(), np.int64).view(np.uint64)
         bands = np.array(pdf["bands"].tolist(), np.int64)
         size, minor = pdf["n"].to_numpy(), pdf["minor"].to_numpy()
-        sets = [np.frombuffer(s, np.uint64) for s in pdf["set"]]
+        _, values = np.unique(np.concatenate([np.frombuffer(s, np.uint64) for s in pdf["set"]]), return_inverse=True)
+        first = np.cumsum(size) - size
         top = {root: i for i, root in enumerate(pdf["root"])}
         up = [top[root] for root in pdf["root"]]
 
@@ -217,10 +230,16 @@ def _across(members: DataFrame, percent: int, flips: int) -> DataFrame:
             same = bands[others] == bands[i]
             # A pair that shares several bands is looked at in the first of them only.
             others = others[bands[others, same.argmax(axis=1)] == key]
+            others = [j for j in others if find(i) != find(j)]
+            if not others:
+                continue
+            # What every member has in common with this one, at once.
+            own = np.zeros(int(values.max()) + 1, np.int32)
+            own[values[first[i]:first[i] + size[i]]] = 1
+            common = np.add.reduceat(own[values], first)
             for j in others:
-                a, b = find(i), find(j)
-                if a != b and linked(sets[i], sets[j], percent):
-                    up[a] = b
+                if 100 * common[j] >= percent * (size[i] + size[j] - common[j]) and find(i) != find(j):
+                    up[find(i)] = find(j)
                     found.append((pdf["cls"].iat[i], pdf["cls"].iat[j]))
         return pd.DataFrame(found, columns=["a", "b"])
 
@@ -266,10 +285,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         "key", "cls", F.coalesce("root", "cls").alias("root"))
     # Buckets that hold more than one component; the largest component of each is its major one.
     parts = placed.groupBy("key", "root").agg(F.count("*").alias("m"))
-    major = (parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("m", "root")).alias("top"))
-             .where("parts > 1").select("key", F.col("top.root").alias("major")))
-    left = placed.join(major, "key").select("key", "cls", "root", (F.col("root") != F.col("major")).alias("minor"))
-    more = _across(left.join(classes.select("cls", "n", "bands", "sketch"), "cls").join(sets, "cls"), percent, flips)
+    major = (parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("m").alias("m"), F.max(F.struct("m", "root")).alias("top"))
+             .where("parts > 1").select("key", F.col("top.root").alias("major"), "m"))
+    left = stash(placed.join(major, "key").select(
+        "key", "cls", "root", (F.col("root") != F.col("major")).alias("minor"), "m")
+        .join(classes.select("cls", "n", "bands", "sketch"), "cls"))
+    few, many = left.where(F.col("m") <= SMALL), left.where(F.col("m") > SMALL)
+    more = _verify(_couples(few, percent, flips), sets, percent).union(_across(many.join(sets, "cls"), percent, flips))
     roots = connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
     # The smallest id of each component, by class; classes without links have their own.
