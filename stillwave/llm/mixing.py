@@ -99,12 +99,13 @@ def _settle(docs: DataFrame, given: DataFrame) -> DataFrame:
 
     In the seeded order of a pattern's documents the first ones give ``rest`` words more, the last of them only a part.
     The place where the rest runs out is found by adding up cells of the order, step by step inside the cell where it
-    runs out; a step's result is at most 16 ** DIGITS rows a pattern. No window spans a pattern's documents.
+    runs out; a step's result is at most 16 ** DIGITS rows a pattern. No window spans a pattern's documents. ``given`` and the places hold one row a pattern, at
+    most ``MOST_PATTERNS``, and are broadcast, so that a pattern with most documents is no hot key.
     """
     border = given.select("pattern", F.lit("").alias("cell"), "rest")
     depth = 0
     while True:
-        inside = docs.join(border, "pattern").where(F.col("spot").startswith(F.col("cell")))
+        inside = docs.join(F.broadcast(border), "pattern").where(F.col("spot").startswith(F.col("cell")))
         if depth == 30:  # nearly all of the 32 digits: what is left there has one id
             break
         cells = (inside.groupBy("pattern", "rest", F.substring("spot", 1, depth + DIGITS).alias("next"))
@@ -123,8 +124,8 @@ def _settle(docs: DataFrame, given: DataFrame) -> DataFrame:
             break
     # In the last cell, row by row; before it everything, after it nothing.
     order = Window.partitionBy("pattern").orderBy("spot", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = (docs.join(given.select("pattern", "whole"), "pattern", "left").join(
-        border.withColumnRenamed("rest", "rest_here"), "pattern", "left"))
+    joined = (docs.join(F.broadcast(given.select("pattern", "whole")), "pattern", "left").join(
+        F.broadcast(border.withColumnRenamed("rest", "rest_here")), "pattern", "left"))
     at = F.substring("spot", 1, F.length("cell"))
     before = joined.where(F.col("cell").isNull() | (at != F.col("cell"))).withColumn(
         "more", F.when(at < F.col("cell"), F.col("size")).otherwise(F.lit(0)))
@@ -191,7 +192,7 @@ def weighted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     mixed, _ = mix(rows, quotas, F.array("name"), F.col("size"), doc_id, repeats, seed)
     facts = docs.sparkSession.createDataFrame([(r["name"], r["n"], t) for r, t in zip(sums, targets)],
                                               "name string, source_size long, target double")
-    return mixed.join(facts, "name").select(doc_id, "size", "source_size", "target", "taken")
+    return mixed.join(F.broadcast(facts), "name").select(doc_id, "size", "source_size", "target", "taken")
 
 
 def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
