@@ -337,6 +337,31 @@ def test_neighbours_by_graph_search(spark, monkeypatch):
     assert {r.vec_id for r in three.collect()} == {1, 2}
 
 
+def nearest(x, q, k):
+    s = (x[q].astype("f8") * x.astype("f8")).sum(axis=1)
+    return [int(i) for i in np.lexsort((np.arange(len(x)), -s)) if i != q][:k]
+
+
+def found_by(spark, x, every, k):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in nn_descent.search(df, F.col("vec_id") % every == 0, k=k).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    return {q: [i for _, i in sorted(own)] for q, own in got.items()}
+
+
+def test_neighbours_of_equal_vectors_by_id(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "GROUP", 128)
+    x = np.random.default_rng(5).normal(size=(1500, 16)).astype("f4")
+    copied = range(1, 1500, 3)
+    x[copied] = x[1]
+    got = found_by(spark, x, 20, 10)
+    assert list(got) and set(got) == set(range(0, 1500, 20))
+    for q in set(got) & set(copied):
+        assert got[q] == nearest(x, q, 10)  # copies come by id, and the query itself is left out
+    assert sum(len(set(got[q]) & set(nearest(x, q, 10))) for q in got) >= 0.97 * 10 * len(got)
+
+
 # -- 7: fingerprints
 
 def plain_signatures(text):
