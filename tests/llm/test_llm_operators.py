@@ -362,6 +362,22 @@ def test_neighbours_of_equal_vectors_by_id(spark, monkeypatch):
     assert sum(len(set(got[q]) & set(nearest(x, q, 10))) for q in got) >= 0.97 * 10 * len(got)
 
 
+@pytest.mark.parametrize("spread", ["one long", "every norm", "two sizes"])
+def test_neighbours_where_norms_differ_widely(spark, monkeypatch, spread):
+    monkeypatch.setattr(nn_descent, "GROUP", 128)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1500, 16))
+    if spread == "one long":
+        x[7] *= 300
+    elif spread == "every norm":
+        x *= 10 ** rng.uniform(-2, 2, size=(1500, 1))
+    else:
+        x[::2] *= 1000
+    x = x.astype("f4")
+    got = found_by(spark, x, 20, 10)
+    assert len(got) == 75 and sum(len(set(own) & set(nearest(x, q, 10))) for q, own in got.items()) >= 0.97 * 750
+
+
 # -- 7: fingerprints
 
 def plain_signatures(text):
