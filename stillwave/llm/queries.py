@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stillwave.llm import byte_bpe, chat, lang_id, licences, mixing, near_dup, ngram_lm, nn_descent, pii, spotsigs
+from stillwave.llm import byte_bpe, chat, collocations, lang_id, licences, mixing, near_dup, ngram_lm, nn_descent, pii, spotsigs
 from stillwave.llm.common import held_out
 from stillwave.llm.licence_texts import LICENCES, SPELLINGS
 
@@ -150,3 +150,39 @@ FROM d LEFT JOIN k ON k.form = array_to_string(d.lines, ' ') LEFT JOIN n ON n.do
 @query("op10_licence_digests", _licence_sql())
 def op10(spark, sf_dir):
     return licences.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op13_collocations", r"""
+WITH d AS (
+    SELECT coalesce(lang, 'und') AS lang,
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+    FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+t AS (SELECT lang, sum(len(ws))::HUGEINT AS n FROM w GROUP BY lang),
+g AS (
+    SELECT lang, m, unnest(list_transform(range(1, len(ws)::BIGINT - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS phrase
+    FROM w, (SELECT unnest(range(1, 6)) AS m)),
+f AS MATERIALIZED (
+    SELECT lang, phrase, m, count(*)::HUGEINT AS f, string_split(phrase, ' ') AS ws
+    FROM g GROUP BY lang, phrase, m HAVING count(*) >= 100),
+h AS (
+    SELECT lang, f, m, unnest(range(2, m)) AS sub, ws FROM f WHERE m > 2),
+i AS (
+    SELECT lang, f, unnest(list_transform(range(1, m - sub + 2), lambda i: array_to_string(ws[i:i + sub - 1], ' '))) AS phrase
+    FROM h),
+x AS (SELECT lang, phrase, max(f) AS most FROM i GROUP BY lang, phrase),
+c AS (
+    SELECT f.*, unnest(range(1, m)) AS k FROM f LEFT JOIN x USING (lang, phrase)
+    WHERE m > 1 AND (most IS NULL OR 100 * most < 100 * f)),
+s AS (
+    SELECT c.lang, c.phrase, c.f AS a, c.k, l.f AS l, r.f AS r, t.n, (1000 * c.f * t.n) // (l.f * r.f) AS score
+    FROM c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.ws[1:c.k], ' ')
+    JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[c.k + 1:], ' ') JOIN t ON t.lang = c.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM b)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM o WHERE rank <= 2000
+""")
+def op13(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
