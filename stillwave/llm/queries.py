@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stillwave.llm import byte_bpe, chat, collocations, lang_id, licences, mixing, near_dup, ngram_lm, nn_descent, pii, simhash, spotsigs
+from stillwave.llm import byte_bpe, chat, collocations, lang_id, licences, mixing, near_dup, ngram_lm, nn_descent, pii, repair, simhash, spotsigs
 from stillwave.llm.common import held_out
 from stillwave.llm.licence_texts import LICENCES, SPELLINGS
 
@@ -157,6 +157,11 @@ def op11(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), size=4, most=4)
 
 
+@query("op12_conversation_repair")
+def op12(spark, sf_dir):
+    return repair.repaired(table(spark, sf_dir, "conversations"))
+
+
 @query("op13_collocations", r"""
 WITH d AS (
     SELECT coalesce(lang, 'und') AS lang,
