@@ -8,10 +8,11 @@ own count is its element in the stripe of its prefix, the counts of its parts ar
 stripes, and the most common longer phrase is the largest element of the phrase's own stripe (to the right) or among
 the stripes that end in it (to the left).
 
-Stripes grow by one word a pass. A phrase occurs at most as often as what is left of it without its first or last
-word, so a pass only counts where both of these were frequent. Tasks know the frequent ones from a bitmap of a fixed
-size; a bit that is set by chance costs a row and never changes a count. Words and prefixes are 128-bit keys while
-they are counted, and get their words back by joins of the frequent ones.
+A phrase occurs at most as often as any part of it, so stripes only count where the parts were frequent: first words,
+then the pairs of frequent words by one hash, then exactly the phrases of two and three words, then those of four and
+five. Tasks know the frequent parts from a bitmap of a fixed size; a bit that is set by chance costs a row and never
+changes a count. Words and prefixes are 128-bit keys while they are counted, and get their words back by joins of the
+frequent ones.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ from stillwave.llm.common import stash
 #: Bits of the bitmap of frequent phrases, and so the most that a pass sends to each task (8 MB).
 FILTER_BITS = 1 << 26
 #: Words of a window, in which a task counts at once.
-WINDOW = 400_000
+WINDOW = 250_000
+#: Phrases whose stripes a task merges before it hands them on.
+HELD = 1_000_000
 #: Different words that a task keeps numbers for before it counts what it has and starts again.
 KEPT_WORDS = 200_000
 #: Bytes of a text that are cut into words at once.
@@ -46,24 +49,28 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def longer(prefix: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Keys (n, 2) of the phrases that a word makes of prefixes; the order of words counts."""
-    return np.stack([mixed(prefix[:, i] * _STEP[i] + word[:, i]) for i in (0, 1)], axis=1)
+Keys = tuple[np.ndarray, np.ndarray]
 
 
-def keys_of(words: list[bytes]) -> np.ndarray:
-    """128-bit keys (n, 2) of words."""
-    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint64).reshape(-1, 2)
+def longer(prefix: Keys, word: Keys) -> Keys:
+    """Keys of the phrases that words make of prefixes; the order of words counts."""
+    return tuple(mixed(p * step + w) for p, step, w in zip(prefix, _STEP, word))
 
 
-def language_key(lang: str) -> np.ndarray:
+def keys_of(words: list[bytes]) -> Keys:
+    """128-bit keys of words, as two arrays."""
+    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint64)
+    return both[::2].copy(), both[1::2].copy()
+
+
+def language_key(lang: str) -> Keys:
     """The key of the empty prefix of a language, from which all its phrases' keys are made."""
     return keys_of([lang.encode()])
 
 
-def spots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two bits of the bitmap that stand for each key."""
-    return tuple((keys[:, i] % np.uint64(FILTER_BITS)).astype(np.int64) for i in (0, 1))
+def spots(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of the bitmap that stand for the first half of each key."""
+    return tuple(((key >> np.uint64(shift)) & np.uint64(FILTER_BITS - 1)).astype(np.int64) for shift in (0, 32))
 
 
 class Words(dict):
@@ -71,11 +78,20 @@ class Words(dict):
 
     def __init__(self):
         super().__init__({b".": 0})
+        self.listed, self.keys = [b"."], (np.zeros(1, np.uint64), np.zeros(1, np.uint64))
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self)
+        self[word] = number = len(self.listed)
+        self.listed.append(word)
         return number
 
+    def all_keys(self) -> Keys:
+        """Keys by number; only those of new words are made."""
+        made = len(self.keys[0])
+        if made < len(self.listed):
+            self.keys = tuple(np.concatenate(pair) for pair in zip(self.keys, keys_of(self.listed[made:])))
+        return self.keys
+
 
 def slices(text: bytes):
     """A text in parts that end between words."""
@@ -99,13 +115,12 @@ def windows(batches, more: int):
     words, held, total = Words(), {}, 0
 
     def counted(going_on=None):
-        known = list(words)
         for lang, parts in held.items():
             numbers = np.concatenate(parts)
             ends = len(numbers) - more * (lang == going_on)
             for at in range(0, ends, WINDOW):
                 part = np.append(numbers[at:at + WINDOW + more], np.zeros(more, np.int32))
-                yield lang, known, part, min(WINDOW, ends - at)
+                yield lang, words, part, min(WINDOW, ends - at)
 
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -113,7 +128,7 @@ def windows(batches, more: int):
                 continue
             tokens = []
             for part in slices(text.as_buffer().to_pybytes().lower().translate(_ENDS)):
-                if len(words) > KEPT_WORDS or total >= 4 * WINDOW:
+                if total >= 4 * WINDOW or len(words) > 2 * KEPT_WORDS:
                     # Within a text: its last words are seen again, as what phrases may go on with and start from.
                     yield from counted(lang)
                     last = tokens[len(tokens) - min(more, len(tokens)):]
@@ -125,84 +140,138 @@ def windows(batches, more: int):
                 total += len(tokens)
             held.setdefault(lang, []).append(np.zeros(1, np.int32))
             total += 1
-            if total >= WINDOW or len(words) > KEPT_WORDS:
+            if total >= WINDOW:
                 yield from counted()
-                words, held, total = Words(), {}, 0
+                words, held, total = words if len(words) <= KEPT_WORDS else Words(), {}, 0
     yield from counted()
 
 
 def first_stripes(docs: DataFrame) -> DataFrame:
     """Stripes of the empty prefix: (lang, word, n); the row without a word has the stripe's total."""
     def run(batches):
-        for lang, known, numbers, starts in windows(batches, 0):
-            n = np.bincount(numbers[:starts], minlength=len(known))
-            seen = np.flatnonzero(n[1:]) + 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * (len(seen) + 1)),
-                 pa.array([known[i].decode() for i in seen] + [None], pa.string()),
-                 pa.array(np.append(n[seen], n[1:].sum()), pa.int64())], names=["lang", "word", "n"])
+        held, known = {}, None
+
+        def merged_rows():
+            for lang, n in held.items():
+                seen = np.flatnonzero(n[1:]) + 1
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * (len(seen) + 1)),
+                     pa.array([known.listed[i].decode() for i in seen] + [None], pa.string()),
+                     pa.array(np.append(n[seen], n[1:].sum()), pa.int64())], names=["lang", "word", "n"])
+
+        for lang, words, numbers, starts in windows(batches, 0):
+            if words is not known:
+                yield from merged_rows()
+                held, known = {}, words
+            n = np.bincount(numbers[:starts], minlength=len(words))
+            n[:len(held.get(lang, ()))] += held.get(lang, np.zeros(0, np.int64))
+            held[lang] = n
+        yield from merged_rows()
 
     return docs.mapInArrow(run, "lang string, word string, n long")
 
 
-def stripes(docs: DataFrame, size: int, frequent) -> DataFrame:
-    """Stripes of prefixes of ``size - 1`` words: (lang, p1, p2, nexts) with the next words' keys and counts.
+def frequent_starts(words: Words, lang: str, numbers: np.ndarray, starts: int, size: int, most: int, bits: np.ndarray):
+    """Keys of the words and, for each place, of the phrase of ``size`` words there, and whether it is in the bitmap.
 
-    Only where the phrases without the last and without the first word are in the bitmap ``frequent``.
+    ``most - size`` places after the last start are looked at too, for the phrases that go on.
     """
+    n = starts + most - size
+    word = tuple(k[numbers] for k in words.all_keys())
+    whole = np.ones(n, bool)
+    key = tuple(np.repeat(k, n) for k in language_key(lang))
+    for i in range(size):
+        key = longer(key, tuple(w[i:n + i] for w in word))
+        whole &= numbers[i:n + i] > 0
+    for spot in spots(key[0]):
+        whole &= (bits[spot >> 6] >> (spot & 63).astype(np.uint64)) & np.uint64(1) > 0
+    return word, key, whole
+
+
+def pair_hashes(docs: DataFrame, frequent) -> DataFrame:
+    """(h, n): half the key of each pair of words in the bitmap ``frequent``, and its count."""
     def run(batches):
         bits = np.frombuffer(frequent.value, np.uint64)
-        for lang, known, numbers, starts in windows(batches, size - 1):
-            word = np.concatenate([np.zeros((1, 2), np.uint64), keys_of(known[1:])])[numbers]
-            # Keys of the phrases of size - 1 words from each place on, and whether they are whole and frequent.
-            key, whole = np.repeat(language_key(lang), starts + 1, axis=0), np.ones(starts + 1, bool)
-            for i in range(size - 1):
-                key = longer(key, word[i:starts + 1 + i])
-                whole &= numbers[i:starts + 1 + i] > 0
-            for spot in spots(key):
-                whole &= (bits[spot >> 6] >> (spot & 63).astype(np.uint64)) & np.uint64(1) > 0
+        for lang, words, numbers, starts in windows(batches, 1):
+            word, key, whole = frequent_starts(words, lang, numbers, starts, 1, 2, bits)
             at = np.flatnonzero(whole[:-1] & whole[1:])
-            if not len(at):
-                continue
-            prefix, after = key[at], word[at + size - 1]
-            order = np.lexsort((after[:, 1], after[:, 0], prefix[:, 1], prefix[:, 0]))
-            rows = np.concatenate([prefix, after], axis=1)[order]
-            new = np.append(True, (rows[1:] != rows[:-1]).any(axis=1))
-            edge = np.flatnonzero(new)
-            n, rows = np.diff(np.append(edge, len(rows))), rows[edge]
-            stripe = np.flatnonzero(np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)))
-            signed = rows.view(np.int64)
-            offsets = np.append(stripe, len(rows)).astype(np.int32)
-            for a in range(0, len(stripe), 100_000):
-                cut = offsets[a:a + 100_001]
-                own = slice(cut[0], cut[-1])
-                nexts = pa.StructArray.from_arrays(
-                    [pa.array(np.ascontiguousarray(signed[own, 2])), pa.array(np.ascontiguousarray(signed[own, 3])),
-                     pa.array(n[own].astype(np.int64))], names=["w1", "w2", "n"])
-                heads = signed[cut[:-1]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(heads)), pa.array(np.ascontiguousarray(heads[:, 0])),
-                     pa.array(np.ascontiguousarray(heads[:, 1])), pa.ListArray.from_arrays(cut - cut[0], nexts)],
-                    names=["lang", "p1", "p2", "nexts"])
+            h, n = np.unique(longer((key[0][at],), (word[0][at + 1],))[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["h", "n"])
+
+    return docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
-    return docs.mapInArrow(run, "lang string, p1 long, p2 long, nexts array<struct<w1:long,w2:long,n:long>>")
+
+def stripes(docs: DataFrame, known: int, sizes: tuple[int, ...], frequent) -> DataFrame:
+    """Stripes of prefixes: (lang, size, p1, p2, nexts) with the next words' keys and counts.
+
+    For phrases of the given sizes (prefix and next word), where all parts of ``known`` words are in the bitmap.
+    """
+    most = max(sizes)
+
+    def run(batches):
+        bits = np.frombuffer(frequent.value, np.uint64)
+        held, total = {}, 0
+
+        def merged_rows():
+            for (lang, size), parts in held.items():
+                yield from _rows(lang, size, *(np.concatenate(cols) for cols in zip(*parts)))
+
+        for lang, words, numbers, starts in windows(batches, most - 1):
+            if total >= HELD:
+                yield from merged_rows()
+                held, total = {}, 0
+            word, _, whole = frequent_starts(words, lang, numbers, starts, known, most, bits)
+            prefix = tuple(np.repeat(k, starts) for k in language_key(lang))
+            for size in range(1, most + 1):
+                if size > known:  # whole where all parts from here on are
+                    whole = whole[:-1] & parts[size - known:]
+                else:
+                    parts = whole
+                if size in sizes:
+                    at = np.flatnonzero(whole[:starts])
+                    if len(at):
+                        held.setdefault((lang, size), []).append(
+                            (*(k[at] for k in prefix), *(w[at + size - 1] for w in word)))
+                        total += len(at)
+                prefix = longer(prefix, tuple(w[size - 1:size - 1 + starts] for w in word))
+        yield from merged_rows()
+
+    return docs.mapInArrow(run, "lang string, size int, p1 long, p2 long, nexts array<struct<w1:long,w2:long,n:long>>")
+
+
+def _rows(lang: str, size: int, *cols: np.ndarray):
+    """One row for each prefix, with its stripe, of the keys of prefixes and next words."""
+    order = np.lexsort((cols[2], cols[1], cols[0]))
+    cols = [k[order] for k in cols]
+    changed = [np.append(True, c[1:] != c[:-1]) for c in cols]
+    edge = np.flatnonzero(changed[0] | changed[1] | changed[2] | changed[3])
+    n = np.diff(np.append(edge, len(order)))
+    stripe = np.flatnonzero((changed[0] | changed[1])[edge])
+    p1, p2, w1, w2 = (c[edge].view(np.int64) for c in cols)
+    offsets = np.append(stripe, len(edge)).astype(np.int32)
+    for a in range(0, len(stripe), 50_000):
+        cut = offsets[a:a + 50_001]
+        own = slice(cut[0], cut[-1])
+        nexts = pa.StructArray.from_arrays([pa.array(w1[own]), pa.array(w2[own]), pa.array(n[own], pa.int64())],
+                                           names=["w1", "w2", "n"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([lang] * (len(cut) - 1)), pa.array(np.full(len(cut) - 1, size, np.int32)), pa.array(p1[cut[:-1]]),
+             pa.array(p2[cut[:-1]]), pa.ListArray.from_arrays(cut - cut[0], nexts)],
+            names=["lang", "size", "p1", "p2", "nexts"])
 
 
 def merged(of: DataFrame, least: int) -> DataFrame:
-    """Elements of at least ``least`` of the merged stripes: (lang, p1, p2, w1, w2, n, k1, k2), k the phrase's key."""
-    rows = (of.select("lang", "p1", "p2", F.inline("nexts")).groupBy("lang", "p1", "p2", "w1", "w2")
+    """Elements of at least ``least`` of the merged stripes: (lang, size, p1, p2, w1, w2, n, k1, k2), k the phrase's key."""
+    rows = (of.select("lang", "size", "p1", "p2", F.inline("nexts")).groupBy("lang", "size", "p1", "p2", "w1", "w2")
             .agg(F.sum("n").alias("n")).where(F.col("n") >= least))
 
     def run(batches):
         for batch in batches:
-            p, w = (np.stack([batch.column(c).to_numpy().view(np.uint64) for c in names], axis=1)
-                    for names in (("p1", "p2"), ("w1", "w2")))
-            k = longer(p, w).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *(pa.array(np.ascontiguousarray(k[:, i])) for i in (0, 1))],
-                names=[*batch.schema.names, "k1", "k2"])
+            p, w = (tuple(batch.column(c).to_numpy().view(np.uint64) for c in names) for names in (("p1", "p2"), ("w1", "w2")))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(k.view(np.int64)) for k in longer(p, w))],
+                                             names=[*batch.schema.names, "k1", "k2"])
 
-    return rows.mapInArrow(run, "lang string, p1 long, p2 long, w1 long, w2 long, n long, k1 long, k2 long")
+    return rows.mapInArrow(run, "lang string, size int, p1 long, p2 long, w1 long, w2 long, n long, k1 long, k2 long")
 
 
 def _keyed_words(words: DataFrame) -> DataFrame:
@@ -212,18 +281,18 @@ def _keyed_words(words: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             w = keys_of([x.encode() for x in batch.column("word").to_pylist()])
-            p = np.concatenate([language_key(x) for x in batch.column("lang").to_pylist()])
-            cols = np.concatenate([w, longer(p, w)], axis=1).view(np.int64)
+            p = keys_of([x.encode() for x in batch.column("lang").to_pylist()])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *(pa.array(np.ascontiguousarray(cols[:, i])) for i in range(4))],
+                [*batch.columns, *(pa.array(k.view(np.int64)) for k in (*w, *longer(p, w)))],
                 names=[*batch.schema.names, "w1", "w2", "k1", "k2"])
 
     return words.mapInArrow(run, "lang string, word string, n long, w1 long, w2 long, k1 long, k2 long")
 
 
-def _bitmap(frequent: DataFrame) -> bytes | None:
-    """The bitmap of the keys (k1, k2), or None without any. The driver gets at most FILTER_BITS / 64 rows."""
-    spot = F.explode(F.array(*[F.pmod(F.col(c), F.lit(FILTER_BITS)) for c in ("k1", "k2")])).alias("spot")
+def _bitmap(frequent: DataFrame, key: str = "k1") -> bytes | None:
+    """The bitmap of the keys, or None without any. The driver gets at most FILTER_BITS / 64 rows."""
+    mask = F.lit(FILTER_BITS - 1).cast("long")
+    spot = F.explode(F.array(F.col(key).bitwiseAND(mask), F.shiftrightunsigned(key, 32).bitwiseAND(mask))).alias("spot")
     rows = (frequent.select(spot).select(F.shiftright("spot", 6).alias("at"), F.expr("shiftleft(1L, int(spot & 63))").alias("bit"))
             .groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow())
     if not rows.num_rows:
@@ -236,25 +305,33 @@ def _bitmap(frequent: DataFrame) -> bytes | None:
 def counted(docs: DataFrame, least: int, most_words: int) -> tuple[DataFrame, DataFrame]:
     """Frequent phrases (lang, phrase, size, n) of 1 to ``most_words`` words, and the words of each language (lang, n)."""
     spark = docs.sparkSession
-    merged_words = (first_stripes(docs).groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    merged_words = first_stripes(docs).groupBy("lang", "word").agg(F.sum("n").alias("n"))
     first = stash(merged_words.where((F.col("n") >= least) | F.col("word").isNull()))
     totals = first.where("word is null").select("lang", "n")
     words = stash(_keyed_words(first.where("word is not null")))
-    named = words.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "n", "k1", "k2")
-    phrases, frequent = named, words
-    for size in range(2, most_words + 1):
-        bits = _bitmap(frequent)
-        if bits is None:
-            break
-        sent = spark.sparkContext.broadcast(bits)
-        frequent = stash(merged(stripes(docs, size, sent), least))
-        sent.unpersist()
-        prefix = named.select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("phrase").alias("prefix"))
-        named = stash(frequent.join(prefix, ["p1", "p2"]).join(words.select("lang", "w1", "w2", "word"), ["lang", "w1", "w2"])
-                      .select("lang", F.concat_ws(" ", "prefix", "word").alias("phrase"), F.lit(size).alias("size"),
-                              "n", "k1", "k2"))
-        phrases = phrases.union(named)
-    return phrases.select("lang", "phrase", "size", "n"), totals
+    named = {1: words.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "n", "k1", "k2")}
+
+    def sent(frequent, key="k1"):
+        bits = _bitmap(frequent, key)
+        return bits and spark.sparkContext.broadcast(bits)
+
+    frequent = sent(words)
+    if frequent and most_words > 1:
+        frequent = sent(pair_hashes(docs, frequent).where(F.col("n") >= least), "h")
+    known, sizes = 2, (2, 3)
+    while frequent and known <= most_words and sizes:
+        found = stash(merged(stripes(docs, known, sizes, frequent), least))
+        for size in sizes:
+            prefix = named[size - 1].select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("phrase").alias("prefix"))
+            word = words.select("lang", "w1", "w2", "word")
+            named[size] = stash(found.where(F.col("size") == size).join(prefix, ["p1", "p2"]).join(word, ["lang", "w1", "w2"])
+                                .select("lang", F.concat_ws(" ", "prefix", "word").alias("phrase"), "size", "n", "k1", "k2"))
+        known, sizes = sizes[-1], tuple(x for x in (sizes[-1] + 1, sizes[-1] + 2) if x <= most_words)
+        frequent = sent(named[known])
+    phrases = None
+    for part in named.values():
+        phrases = part if phrases is None else phrases.union(part)
+    return phrases.where(F.col("size") <= most_words).select("lang", "phrase", "size", "n"), totals
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 100, most_words: int = 5,
