@@ -9,7 +9,7 @@ from checks.tables import EPOCHS_SQL, MINUTE, SIGNAL_SQL
 from stillwave.functions.expressions import moving_average
 from stillwave.functions.metrics import confusion, with_metrics
 from stillwave.operators import blocks as B, detectors as D, episodes as E, segments as S
-from stillwave.operators.chunked import OWN, chunk_window, spread
+from stillwave.operators.chunked import OWN, sliding_extremes, spread
 
 HECHT = dict(threshold=5, interval_mins=20, min_count=1)
 TROIANO = dict(activity_threshold=0, min_period_len=24, spike_tolerance=1, spike_stoplevel=20)
@@ -127,9 +127,8 @@ def _(t):
   WINDOW w AS ({W_ALL} ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING)""")
 def _(t):
     rows = spread(t.epochs, ("subject",), "epoch_idx", 65_536, 5, 4)
-    frame = chunk_window(("subject",), "epoch_idx").rowsBetween(-5, 4)
-    return rows.select("subject", "epoch_idx", F.min("axis1").over(frame).alias("low"),
-                       F.max("axis1").over(frame).alias("high"), OWN).filter(OWN).drop(OWN)
+    ends = sliding_extremes(rows, ("subject",), "epoch_idx", 5, 4, {"low": ("min", "axis1"), "high": ("max", "axis1")})
+    return ends.filter(OWN).select("subject", "epoch_idx", "low", "high")
 
 
 def std_sql(c):

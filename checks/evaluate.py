@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from checks.detect import (
     grown_sql,
-    CHOI, HECHT, HOUR, TROIANO, choi, choi_sql, hecht, hecht_sql, runs_sql, troiano, troiano_sql,
+    CHOI, HECHT, HEES_SQL, HOUR, TROIANO, choi, choi_sql, hecht, hecht_sql, hees, runs_sql, troiano, troiano_sql,
 )
 from checks.registry import query, r6, s6
 from checks.tables import EPOCHS_SQL, MINUTE, SIGNAL_SQL
 from stillwave.functions.expressions import parameter_key
 from stillwave.functions.metrics import METRICS, sum_confusion, with_metrics
-from stillwave.operators import align as A, blocks as B, chunked, detectors as D, episodes as E
+from stillwave.operators import align as A, blocks as B, chunked, detectors as D, episodes as E, overlay
 from stillwave.plans.detection import detect_counts
 from stillwave.plans import cv, grid as G, models, reports
 
@@ -36,18 +36,22 @@ def metrics6(df, *keys):
 # ---- label matrix and totals -----------------------------------------------------------
 
 MATRIX = f"""
-h AS ({hecht_sql()}), tr AS ({troiano_sql()}), c AS ({choi_sql()}),
-lm AS (SELECT h.subject, h.epoch_idx, h.truth, 1 - h.wear AS hecht, 1 - tr.wear AS troiano, 1 - c.wear AS choi
+h AS MATERIALIZED ({hecht_sql()}), tr AS MATERIALIZED ({troiano_sql()}), c AS MATERIALIZED ({choi_sql()}),
+lm AS MATERIALIZED (SELECT h.subject, h.epoch_idx, h.truth, 1 - h.wear AS hecht, 1 - tr.wear AS troiano, 1 - c.wear AS choi
   FROM h JOIN tr ON h.subject = tr.subject AND h.epoch_idx = tr.epoch_idx JOIN c ON h.subject = c.subject AND h.epoch_idx = c.epoch_idx)"""
 
 
 def matrix(t):
     """One pass per detector over the same rows; no join back."""
+    return matrix_with_vmu(t).select("subject", "epoch_idx", "truth", *METHODS)
+
+
+def matrix_with_vmu(t):
     return detect_counts(t.epochs, {
         "hecht": lambda df: D.hecht(df, F.col("vmu"), epoch_sec=60, **HECHT),
         "troiano": lambda df: D.troiano(df, F.col("axis1"), **TROIANO),
         "choi": lambda df: D.choi(df, F.col("axis1"), **CHOI),
-    }).select("subject", "epoch_idx", "truth", *METHODS)
+    }).select("subject", "epoch_idx", "truth", "vmu", *METHODS)
 
 
 METHODS = ["hecht", "troiano", "choi"]
@@ -83,6 +87,77 @@ def _(t):
     return metrics6(totals(t), "variant", "method", "tn", "fp", "fn", "tp")
 
 
+# ---- four methods on one clock ---------------------------------------------------------
+# An epoch is three ticks and five samples of the signal are one, so that both directions of scaling are used.
+
+TICKS, EVERY = 3, 5
+FOUR = [*METHODS, "hees"]
+SECONDS_SQL = f"""{MATRIX},
+hs AS MATERIALIZED ({HEES_SQL}),
+sig AS MATERIALIZED (SELECT subject, idx // {EVERY} AS sec, CAST(CASE WHEN y = 0 THEN 1 ELSE 0 END AS INTEGER) AS truth FROM signal WHERE idx % {EVERY} = 0),
+sc AS MATERIALIZED (SELECT g.subject, g.sec, g.truth, lm.hecht, lm.troiano, lm.choi, 1 - hs.wear AS hees
+  FROM sig g JOIN lm ON lm.subject = g.subject AND lm.epoch_idx = g.sec // {TICKS}
+  JOIN hs ON hs.subject = g.subject AND hs.block = g.sec * {EVERY} // {MINUTE})"""
+
+
+def four_methods(t):
+    """Counts and raw signal of the same subjects, every label as change points."""
+    counts = matrix(t).drop("truth")
+    raw = t.signal.select("subject", "idx", F.when(F.col("y") == 0, 1).otherwise(0).alias("truth"))
+    blocks = hees(t).select("subject", "block", (1 - F.col("wear")).cast("int").alias("hees"))
+    return overlay.overlay({
+        "raw": overlay.scaled(overlay.change_points(raw, ["truth"]), every=EVERY),
+        "counts": overlay.scaled(overlay.change_points(counts, METHODS, "epoch_idx"), repeat=TICKS),
+        "blocks": overlay.scaled(overlay.change_points(blocks, ["hees"], "block"), repeat=MINUTE, every=EVERY)})
+
+
+@query("v2_label_matrix_four_methods", f"WITH {EPOCHS_SQL}, {SIGNAL_SQL}, {SECONDS_SQL} SELECT * FROM sc")
+def _(t):
+    return overlay.per_tick(four_methods(t)).select("subject", "sec", "truth", *FOUR)
+
+
+@query("v2_label_vector_counts", f"WITH {EPOCHS_SQL}, {SIGNAL_SQL}, {SECONDS_SQL} SELECT subject, truth, hecht, troiano, choi, hees, count(*) AS n FROM sc GROUP BY ALL")
+def _(t):
+    return overlay.vector_counts(four_methods(t), ["truth", *FOUR])
+
+
+FOUR_TOTALS = f"""{SECONDS_SQL}, lng AS ({' UNION ALL '.join(f"SELECT subject, sec, truth, '{m}' AS method, {m} AS p FROM sc" for m in FOUR)}),
+  vr AS (SELECT 'all' AS variant, * FROM lng UNION ALL SELECT 'daytime', * FROM lng WHERE (sec + subject * 977) % 86400 BETWEEN 25200 AND 82800),
+  tot AS (SELECT variant, method, {cells('truth', 'p')} FROM vr GROUP BY 1, 2),
+  res AS (SELECT *, {METRIC_SQL} FROM tot)"""
+
+
+def four_totals(t):
+    """Clocks start at a time of day that the subject tells."""
+    return reports.overlay_totals(four_methods(t), FOUR, F.pmod(F.col("subject") * 977, F.lit(86_400)))
+
+
+@query("v3_v4_four_method_totals", f"WITH {EPOCHS_SQL}, {SIGNAL_SQL}, {FOUR_TOTALS} SELECT variant, method, tn, fp, fn, tp, {M6} FROM res")
+def _(t):
+    return metrics6(four_totals(t), "variant", "method", "tn", "fp", "fn", "tp")
+
+
+@query("q10_timeline_with_raw_and_hees", f"""WITH {EPOCHS_SQL}, {SIGNAL_SQL}, {MATRIX}, hs AS MATERIALIZED ({HEES_SQL}),
+  l AS (SELECT subject, epoch_idx * {MINUTE} AS idx, hecht, troiano, choi FROM lm),
+  c AS (SELECT subject, epoch_idx * {MINUTE} AS idx, vmu FROM epochs),
+  h AS (SELECT subject, block * {MINUTE} AS idx, 1 - wear AS hees FROM hs),
+  k AS (SELECT subject, idx FROM signal UNION SELECT subject, idx FROM l)
+  SELECT k.subject, k.idx, s.y, s.x, s.z, CAST(CASE WHEN s.y = 0 THEN 1 WHEN s.y IS NOT NULL THEN 0 END AS INTEGER) AS truth,
+    CAST(l.hecht AS INTEGER) AS hecht, CAST(l.troiano AS INTEGER) AS troiano, CAST(l.choi AS INTEGER) AS choi, CAST(h.hees AS INTEGER) AS hees, {s6('c.vmu', 'vmu')}
+  FROM k LEFT JOIN signal s ON s.subject = k.subject AND s.idx = k.idx LEFT JOIN l ON l.subject = k.subject AND l.idx = k.idx
+  LEFT JOIN c ON c.subject = k.subject AND c.idx = k.idx LEFT JOIN h ON h.subject = k.subject AND h.idx = k.idx""")
+def _(t):
+    """Each table of any rate comes in once; what it has at a time is one struct."""
+    blocks = hees(t).select("subject", "block", (1 - F.col("wear")).cast("int").alias("hees"))
+    raw = t.signal.withColumn("truth", F.when(F.col("y") == 0, 1).otherwise(0))
+    line = A.outer_timeline({
+        "raw": raw.select("subject", "idx", F.struct("y", "x", "z", "truth").alias("value")),
+        "counts": matrix_with_vmu(t).select("subject", (F.col("epoch_idx") * MINUTE).alias("idx"), F.struct("vmu", *METHODS).alias("value")),
+        "blocks": blocks.select("subject", (F.col("block") * MINUTE).alias("idx"), F.struct("hees").alias("value"))}, ("subject", "idx"))
+    return line.select("subject", "idx", "raw.y", "raw.x", "raw.z", "raw.truth", *[f"counts.{m}" for m in METHODS], "blocks.hees",
+                       r6(F.col("counts.vmu"), "vmu"))
+
+
 @query("v5_confidence_half_widths", f"WITH {EPOCHS_SQL}, {TOTALS} SELECT variant, method, {', '.join(s6(f'1.96 * sqrt({m} * (1 - {m}) / 583)', f'{m}_ci') for m in METRICS)} FROM res")
 def _(t):
     return reports.intervals(totals(t), 583).select("variant", "method", *[r6(f"{m}_ci") for m in METRICS])

@@ -45,7 +45,7 @@ filled AS (
     CAST(coalesce(cb, 0) // 100 AS BIGINT) AS b_counts, CAST(coalesce(ch, 0) // 100 AS BIGINT) AS h_counts,
     coalesce(nb, 0) AS nb
   FROM grid g LEFT JOIN hourly h ON g.subject = h.subject AND g.epoch_idx = h.epoch_idx),
-epochs AS (
+epochs AS MATERIALIZED (
   SELECT subject, epoch_idx, axis1, axis2, axis3, steps, b_counts, h_counts,
     sqrt(CAST(axis1 * axis1 + axis2 * axis2 + axis3 * axis3 AS DOUBLE)) AS vmu,
     CAST(CASE WHEN sum(nb) OVER (PARTITION BY subject ORDER BY epoch_idx ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING) = 0
@@ -61,7 +61,7 @@ daily AS (
 calendar AS (
   SELECT s.subject, CAST(g.i AS BIGINT) AS idx
   FROM (SELECT DISTINCT l_suppkey AS subject FROM lineitem) s, range({DAYS}) g(i)),
-signal AS (
+signal AS MATERIALIZED (
   SELECT c.subject, c.idx, CAST(coalesce(q, 0) AS DOUBLE) / 64 AS y, CAST(coalesce(d, 0) AS DOUBLE) / 16 AS x,
     CAST(coalesce(t, 0) AS DOUBLE) / 16 AS z
   FROM calendar c LEFT JOIN daily l ON c.subject = l.subject AND c.idx = l.idx)"""

@@ -83,7 +83,7 @@ def outer_timeline(parts: Mapping[str, DataFrame], on: Sequence[str] = ("subject
     """
     stacked = None
     for name, df in parts.items():
-        row = df.select(*on, *[(F.col("value") if n == name else F.lit(None).cast(df.schema["value"].dataType)).alias(n)
+        row = df.select(*on, *[(F.col("value") if n == name else F.lit(None).cast(parts[n].schema["value"].dataType)).alias(n)
                                for n in parts])
         stacked = row if stacked is None else stacked.unionByName(row)
     return stacked.groupBy(*on).agg(*[F.max(n).alias(n) for n in parts])

@@ -80,6 +80,45 @@ def leading_sum(running: str, offset: int, window, whole) -> Column:
     return F.coalesce(F.lead(running, offset).over(window), F.max(running).over(whole))
 
 
+def sliding_extremes(
+    rows: DataFrame, keys: Sequence[str], idx: str, before: int, after: int, outputs: Mapping[str, tuple[str, str]],
+) -> DataFrame:
+    """Add minima and maxima of the row frame ``[-before, +after]`` inside the chunk, at the same cost for any length.
+
+    ``outputs`` maps a column to ``(kind, source)`` with kind ``min`` or ``max``. A chunk is cut into pieces as long as
+    the frame, so a frame is the end of one piece and the beginning of the next: its extreme is that of a running
+    extreme from the piece's end at the first row and one from the piece's start at the last row. A frame that the
+    chunk's border cuts short is the beginning of the first piece, or the end of the last one.
+    """
+    length = before + after + 1
+    window, whole = chunk_window(keys, idx), W.partitionBy(*keys, CHUNK)
+    kept = rows.columns
+    rows = rows.withColumn("_piece", div(F.row_number().over(window) - 1, length))
+    piece = W.partitionBy(*keys, CHUNK, "_piece")
+    kinds = {"min": (F.min, F.least), "max": (F.max, F.greatest)}
+    running = lambda out, order: kinds[outputs[out][0]][0](outputs[out][1]).over(
+        piece.orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.select("*", *[running(out, F.desc(idx)).alias(f"_to_end_{out}") for out in outputs])
+    rows = rows.select("*", *[running(out, F.asc(idx)).alias(f"_so_far_{out}") for out in outputs])
+    first = F.lag("_piece", before).over(window)
+    last = F.lead("_piece", after).over(window)
+    at_end = window.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    rows = rows.select(
+        "*", first.alias("_first"), last.alias("_last"), F.max("_piece").over(whole).alias("_end"),
+        *[F.lag(f"_to_end_{out}", before).over(window).alias(f"_a_{out}") for out in outputs],
+        *[F.lead(f"_so_far_{out}", after).over(window).alias(f"_b_{out}") for out in outputs],
+        *[F.last(f"_so_far_{out}").over(at_end).alias(f"_e_{out}") for out in outputs])
+
+    def extreme(out: str) -> Column:
+        join = kinds[outputs[out][0]][1]
+        a, b, end = (F.col(f"_{p}_{out}") for p in "abe")
+        return (F.when(F.col("_first").isNull(), F.when(F.col("_last").isNull(), end).otherwise(b))
+                .when(F.col("_last").isNotNull(), join(a, b))
+                .when(F.col("_first") == F.col("_end"), a).otherwise(join(a, end)))
+
+    return rows.select(*kept, *[extreme(out).alias(out) for out in outputs])
+
+
 def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Add the columns of a global aggregate (always exactly one row, hence broadcast)."""
     return df.withColumn("_one", F.lit(1)).join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one")

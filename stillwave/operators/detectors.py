@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from stillwave.operators.blocks import AXES, pooled_std
 from stillwave.operators.chunked import (
-    CHUNK, DEFAULT_SIZE, OWN, chunk_window, div, flag_periods, lagged_sum, leading_sum, spread,
+    CHUNK, DEFAULT_SIZE, OWN, chunk_window, div, flag_periods, lagged_sum, leading_sum, sliding_extremes, spread,
 )
 
 SUBJECT = ("subject",)
@@ -183,15 +183,16 @@ def hees_windows(
     upto = window.rowsBetween(W.unboundedPreceding, 0)
     summed = ["n", *[f"sum_{a}" for a in AXES], *[f"sumsq_{a}" for a in AXES]]
     rows = rows.select("*", *[F.sum(c).over(upto).alias(f"_c_{c}") for c in summed])
-    ahead = window.rowsBetween(0, window_blocks - 1)
+    ends = {f"_{kind}_{a}": (kind, f"{kind}_{a}") for kind in ("min", "max") for a in AXES}
     rows = rows.select(
         *[c for c in rows.columns if not c.startswith("_c_")],
         *[(leading_sum(f"_c_{c}", window_blocks - 1, window, whole) - lagged_sum(f"_c_{c}", 1, window)).alias(f"_w_{c}")
           for c in summed],
-        *[(F.max(f"max_{a}").over(ahead) - F.min(f"min_{a}").over(ahead)).alias(f"range_{a}") for a in AXES],
     )
+    rows = sliding_extremes(rows, keys, block, 0, window_blocks - 1, ends)
     return rows.select(
-        *[c for c in rows.columns if not c.startswith("_w_")],
+        *[c for c in rows.columns if not c.startswith(("_w_", "_min_", "_max_"))],
+        *[(F.col(f"_max_{a}") - F.col(f"_min_{a}")).alias(f"range_{a}") for a in AXES],
         (F.col("_w_n") == window_rows).alias("full"),
         *[pooled_std("_w_n", f"_w_sum_{a}", f"_w_sumsq_{a}").alias(f"std_{a}") for a in AXES],
     )
@@ -206,6 +207,15 @@ def axes_below(prefix: str, threshold: float | Column, strict: bool = True) -> C
     return total
 
 
+def _covered_by_quiet(rows: DataFrame, quiet: Column, window_blocks: int, keys: Sequence[str], block: str) -> DataFrame:
+    """Add ``wear``: 0 where any of the windows that cover the block is quiet, by running counts."""
+    window = chunk_window(keys, block)
+    upto = window.rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("_quiet", F.sum(F.coalesce(quiet, F.lit(False)).cast("int")).over(upto))
+    covering = F.col("_quiet") - lagged_sum("_quiet", window_blocks, window)
+    return rows.withColumn("wear", _as_wear(covering > 0))
+
+
 def hees_blocks(
     blocks: DataFrame, step_rows: int, window_blocks: int, std_threshold: float, std_min_axes: int,
     range_threshold: float, range_min_axes: int, keys: Sequence[str] = SUBJECT,
@@ -221,10 +231,8 @@ def hees_blocks(
     quiet = F.col("full") & (
         (axes_below("std", std_threshold) >= std_min_axes)
         | (axes_below("range", range_threshold) >= range_min_axes))
-    rows = rows.withColumn("_quiet", quiet.cast("int"))
-    covering = chunk_window(keys, block).rowsBetween(1 - window_blocks, 0)
     return (
-        rows.withColumn("wear", _as_wear(F.max("_quiet").over(covering) == 1))
+        _covered_by_quiet(rows, quiet, window_blocks, keys, block)
         .filter(OWN).drop(CHUNK, OWN, "_quiet", "full", *[f"{p}_{a}" for p in ("std", "range") for a in AXES])
     )
 
@@ -265,10 +273,8 @@ def hees_blocks_uneven(
     quiet = starts_here & F.col("full") & (
         (axes_below("std", std_threshold) >= std_min_axes)
         | (axes_below("range", range_threshold) >= range_min_axes))
-    rows = rows.withColumn("_quiet", quiet.cast("int"))
-    covering = chunk_window(keys, "block").rowsBetween(1 - window_blocks, 0)
     return (
-        rows.withColumn("wear", _as_wear(F.max("_quiet").over(covering) == 1))
+        _covered_by_quiet(rows, quiet, window_blocks, keys, "block")
         .filter(OWN).drop(CHUNK, OWN, "_quiet", "full", *[f"{p}_{a}" for p in ("std", "range") for a in AXES])
     )
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from stillwave.functions.expressions import in_daytime
 from stillwave.functions.metrics import METRICS, confusion, half_width, with_interval_text, with_metrics
 from stillwave.operators.align import edge_windows
+from stillwave.operators.overlay import weighted_variants
 from stillwave.plans.grid import best_row
 
 
@@ -24,6 +25,15 @@ def method_totals(matrix: DataFrame, methods: Sequence[str], ts: str | None = "t
     return with_metrics(long.groupBy("variant", "method").agg(*confusion("_y", "_p")))
 
 
+def overlay_totals(ranges: DataFrame, methods: Sequence[str], started: str | Column, truth: str = "truth",
+                   first: int = 7 * 3600, last: int = 23 * 3600) -> DataFrame:
+    """As ``method_totals`` for ranges with one label vector each, which count as often as they are long."""
+    counted = weighted_variants(ranges, started, first, last).groupBy("variant", truth, *methods).agg(F.sum("n").alias("n"))
+    long = counted.select(F.col(truth).alias("_y"), "variant", "n", *methods).unpivot(
+        ["_y", "variant", "n"], list(methods), "method", "_p")
+    return with_metrics(long.groupBy("variant", "method").agg(*confusion("_y", "_p", F.col("n"))))
+
+
 def intervals(results: DataFrame, n: int | Column, metrics: Sequence[str] = METRICS) -> DataFrame:
     """Half-width of the 95 % interval of every metric, as ``<metric>_ci``."""
     return results.select("*", *[half_width(m, n).alias(f"{m}_ci") for m in metrics])
