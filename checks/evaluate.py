@@ -138,14 +138,14 @@ def _(t):
 
 
 @query("q10_timeline_with_raw_and_hees", f"""WITH {EPOCHS_SQL}, {SIGNAL_SQL}, {MATRIX}, hs AS MATERIALIZED ({HEES_SQL}),
-  l AS (SELECT subject, epoch_idx * {MINUTE} AS idx, hecht, troiano, choi FROM lm),
-  c AS (SELECT subject, epoch_idx * {MINUTE} AS idx, vmu FROM epochs),
-  h AS (SELECT subject, block * {MINUTE} AS idx, 1 - wear AS hees FROM hs),
-  k AS (SELECT subject, idx FROM signal UNION SELECT subject, idx FROM l)
+  lv AS (SELECT subject, epoch_idx * {MINUTE} AS idx, hecht, troiano, choi FROM lm),
+  cv AS (SELECT subject, epoch_idx * {MINUTE} AS idx, vmu FROM epochs),
+  hv AS (SELECT subject, block * {MINUTE} AS idx, 1 - wear AS hees FROM hs),
+  k AS (SELECT subject, idx FROM signal UNION SELECT subject, idx FROM lv)
   SELECT k.subject, k.idx, s.y, s.x, s.z, CAST(CASE WHEN s.y = 0 THEN 1 WHEN s.y IS NOT NULL THEN 0 END AS INTEGER) AS truth,
-    CAST(l.hecht AS INTEGER) AS hecht, CAST(l.troiano AS INTEGER) AS troiano, CAST(l.choi AS INTEGER) AS choi, CAST(h.hees AS INTEGER) AS hees, {s6('c.vmu', 'vmu')}
-  FROM k LEFT JOIN signal s ON s.subject = k.subject AND s.idx = k.idx LEFT JOIN l ON l.subject = k.subject AND l.idx = k.idx
-  LEFT JOIN c ON c.subject = k.subject AND c.idx = k.idx LEFT JOIN h ON h.subject = k.subject AND h.idx = k.idx""")
+    CAST(lv.hecht AS INTEGER) AS hecht, CAST(lv.troiano AS INTEGER) AS troiano, CAST(lv.choi AS INTEGER) AS choi, CAST(hv.hees AS INTEGER) AS hees, {s6('cv.vmu', 'vmu')}
+  FROM k LEFT JOIN signal s ON s.subject = k.subject AND s.idx = k.idx LEFT JOIN lv ON lv.subject = k.subject AND lv.idx = k.idx
+  LEFT JOIN cv ON cv.subject = k.subject AND cv.idx = k.idx LEFT JOIN hv ON hv.subject = k.subject AND hv.idx = k.idx""")
 def _(t):
     """Each table of any rate comes in once; what it has at a time is one struct."""
     blocks = hees(t).select("subject", "block", (1 - F.col("wear")).cast("int").alias("hees"))

@@ -187,15 +187,15 @@ def hees_windows(
     rows = rows.select(
         *[c for c in rows.columns if not c.startswith("_c_")],
         *[(leading_sum(f"_c_{c}", window_blocks - 1, window, whole) - lagged_sum(f"_c_{c}", 1, window)).alias(f"_w_{c}")
-          for c in summed],
-    )
+          for c in summed])
+    rows = rows.select(
+        *[c for c in rows.columns if not c.startswith("_w_")], (F.col("_w_n") == window_rows).alias("full"),
+        *[pooled_std("_w_n", f"_w_sum_{a}", f"_w_sumsq_{a}").alias(f"std_{a}") for a in AXES])
+    ends = {f"_{kind}_{a}": (kind, f"{kind}_{a}") for kind in ("min", "max") for a in AXES}
     rows = sliding_extremes(rows, keys, block, 0, window_blocks - 1, ends)
     return rows.select(
-        *[c for c in rows.columns if not c.startswith(("_w_", "_min_", "_max_"))],
-        *[(F.col(f"_max_{a}") - F.col(f"_min_{a}")).alias(f"range_{a}") for a in AXES],
-        (F.col("_w_n") == window_rows).alias("full"),
-        *[pooled_std("_w_n", f"_w_sum_{a}", f"_w_sumsq_{a}").alias(f"std_{a}") for a in AXES],
-    )
+        *[c for c in rows.columns if c not in ends],
+        *[(F.col(f"_max_{a}") - F.col(f"_min_{a}")).alias(f"range_{a}") for a in AXES])
 
 
 def axes_below(prefix: str, threshold: float | Column, strict: bool = True) -> Column:

@@ -14,6 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from stillwave.operators.chunked import CHUNK, DEFAULT_SIZE, as_col, chunk_window, div, settle, with_chunk
+from stillwave.session import cut_lineage
 
 SUBJECT = ("subject",)
 DAY = 86_400
@@ -61,9 +62,9 @@ def overlay(
             (F.struct(F.col(raw).alias("raw"), *own[other], F.col("upto").alias("upto")) if other == name
              else F.lit(None).cast(_point_type(sets[other], own[other]))).alias(f"_p_{other}") for other in sets])
         stacked = row if stacked is None else stacked.unionByName(row)
-    # The last point of each set at each time, then everything by chunks of time.
+    # The last point of each set at each time, made once; then everything by chunks of time.
     points = stacked.groupBy(*keys, "at").agg(*[F.max(f"_p_{n}").alias(f"_p_{n}") for n in sets])
-    points = settle(points.withColumn(CHUNK, div("at", size)), keys)
+    points = settle(cut_lineage(points).withColumn(CHUNK, div("at", size)), keys)
 
     last = lambda n: F.max_by(f"_p_{n}", F.when(F.col(f"_p_{n}").isNotNull(), F.col("at")))
     chunks = points.groupBy(*keys, CHUNK).agg(

@@ -24,7 +24,7 @@ from stillwave.operators.align import with_parameters
 from stillwave.operators.blocks import AXES, pooled_std
 from stillwave.operators.chunked import (
     CHUNK, DEFAULT_SIZE, OWN, chunk_window, div, lagged_sum, leading_sum, list_periods, merge_runs, running_total,
-    spread,
+    sliding_extremes, spread,
 )
 from stillwave.operators.detectors import CHOI_SPIKE_RUN, hecht_support
 
@@ -290,23 +290,28 @@ def _quietest_windows(blocks: DataFrame, lengths: Mapping[int, int], block_rows:
     rows = rows.select("*", *[F.sum(c).over(window.rowsBetween(W.unboundedPreceding, 0)).alias(f"_c_{c}") for c in summed])
     columns = []
     for mw, w in lengths.items():
-        ahead = window.rowsBetween(0, w - 1)
         columns += [(leading_sum(f"_c_{c}", w - 1, window, whole) - lagged_sum(f"_c_{c}", 1, window)).alias(f"_{c}_{mw}")
                     for c in summed]
-        columns += [(F.max(f"max_{a}").over(ahead) - F.min(f"min_{a}").over(ahead)).alias(f"_range_{a}_{mw}") for a in AXES]
-    rows = rows.select(*keys, CHUNK, OWN, "block", *columns)
-    ordered = []
+    ends = [f"{kind}_{a}" for kind in ("min", "max") for a in AXES]
+    rows = rows.select(*keys, CHUNK, OWN, "block", *ends, *columns)
+    std = lambda mw: F.array_sort(F.array(
+        *[pooled_std(f"_n_{mw}", f"_sum_{a}_{mw}", f"_sumsq_{a}_{mw}") for a in AXES]))
+    full = lambda mw, w: F.col(f"_n_{mw}") == w * block_rows
+    rows = rows.select(*keys, CHUNK, OWN, "block", *ends, *[c for mw, w in lengths.items() for c in (
+        full(mw, w).alias(f"_full_{mw}"), *[F.when(full(mw, w), std(mw)[k]).alias(f"_std_{k}_{mw}") for k in range(3)])])
+    # The extremes of a window and the quietest of the windows over a block, at the same cost for any length.
     for mw, w in lengths.items():
-        full = F.col(f"_n_{mw}") == w * block_rows
-        spreads = {
-            "std": F.array_sort(F.array(*[pooled_std(f"_n_{mw}", f"_sum_{a}_{mw}", f"_sumsq_{a}_{mw}") for a in AXES])),
-            "range": F.array_sort(F.array(*[F.col(f"_range_{a}_{mw}") for a in AXES]))}
-        ordered += [F.when(full, spreads[p][k]).alias(f"_{p}_{k}_{mw}") for p, k in kinds]
-    rows = rows.select(*keys, CHUNK, OWN, "block", *ordered)
-    best = F.array(*[
-        F.struct(F.lit(mw).alias("mw"), *[
-            F.min(f"_{p}_{k}_{mw}").over(window.rowsBetween(1 - w, 0)).alias(f"_{p}_{k}") for p, k in kinds])
-        for mw, w in lengths.items()])
+        rows = sliding_extremes(rows, keys, "block", 0, w - 1, {f"_e_{c}": (c[:3], c) for c in ends})
+        spread_of = F.array_sort(F.array(*[F.col(f"_e_max_{a}") - F.col(f"_e_min_{a}") for a in AXES]))
+        rows = rows.select(*[c for c in rows.columns if not c.startswith("_e_")],
+                           *[F.when(F.col(f"_full_{mw}"), spread_of[k]).alias(f"_range_{k}_{mw}") for k in range(3)])
+    rows = rows.drop(*ends, *[f"_full_{mw}" for mw in lengths])
+    for mw, w in lengths.items():
+        names = {f"_{p}_{k}_{mw}": ("min", f"_{p}_{k}_{mw}") for p, k in kinds}
+        least = sliding_extremes(rows, keys, "block", w - 1, 0, {f"_m{n}": of for n, of in names.items()})
+        rows = least.select(*[c for c in rows.columns if c not in names], *[F.col(f"_m{n}").alias(n) for n in names])
+    best = F.array(*[F.struct(F.lit(mw).alias("mw"), *[F.col(f"_{p}_{k}_{mw}").alias(f"_{p}_{k}") for p, k in kinds])
+                     for mw in lengths])
     return rows.select(*keys, "block", OWN, best.alias("_b")).filter(OWN).select(
         *keys, "block", F.explode("_b").alias("_b")).select(*keys, "block", "_b.*")
 
