@@ -451,7 +451,7 @@ edges AS (SELECT subject, counter, max(pos) FILTER (way = 1) AS b, min(pos) FILT
 
 
 def refined(t):
-    return S.refine_edges(t.signal, candidate_episodes(t), EDGE_THR, HZ, first_look=8)
+    return S.refine_edges(t.signal, candidate_episodes(t), EDGE_THR, HZ)
 
 
 @query("t7_refined_edges", f"""WITH RECURSIVE {SIGNAL_SQL}, {CANDIDATES}, {EPISODES}, {REFINED}

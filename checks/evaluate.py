@@ -556,7 +556,7 @@ def _(t):
 
 @query("m3_split_seed_search")
 def _(t):
-    return models.split_seed_search(t.raw("labels").withColumnRenamed("quality", "label"), "doc_id", "label", trials=200, test_share=0.3)
+    return models.split_seed_search(t.raw("labels").withColumnRenamed("quality", "label"), "doc_id", "label")
 
 
 @query("m8_window_network")

@@ -119,6 +119,18 @@ def sliding_extremes(
     return rows.select(*kept, *[extreme(out).alias(out) for out in outputs])
 
 
+def join_per_key(rows: DataFrame, small: DataFrame, keys: Sequence[str], idx: str, size: int = DEFAULT_SIZE,
+                 how: str = "inner") -> DataFrame:
+    """Join a table with a few rows a key to one with very many, on (keys, chunk) in place of the keys alone.
+
+    The few rows are copied to each chunk that their key has, so the rows of a large key stay spread over tasks. The
+    chunks come from one aggregation over ``idx``, folded before the shuffle.
+    """
+    chunk = div(idx, size)
+    chunks = rows.select(*keys, chunk.alias(CHUNK)).distinct()
+    return rows.withColumn(CHUNK, chunk).join(small.join(chunks, list(keys)), [*keys, CHUNK], how).drop(CHUNK)
+
+
 def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Add the columns of a global aggregate (always exactly one row, hence broadcast)."""
     return df.withColumn("_one", F.lit(1)).join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one")

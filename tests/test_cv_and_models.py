@@ -130,3 +130,53 @@ def test_history_tables(spark):
                               "net string, epoch int, precision double, recall double, val_precision double, val_recall double")
     last = reports.last_epoch(reports.history_f1(h), ["net"]).first()
     assert last.epoch == 2 and last.f1 == pytest.approx(.96 / 1.4) and last.val_f1 is None
+
+
+def test_seed_search_adds_up_vectors(spark):
+    rows = spark.range(300).selectExpr("id AS key", "int(id % 3) AS label").repartition(5)
+    got = models.split_seed_search(rows, "key", "label", trials=1500, test_share=0.25).first()
+    zero = rows.filter("label = 0")
+    best = None
+    for first in range(0, 1500, 500):
+        sums = zero.agg(*[F.sum(models.hashed_split(zero, "key", seed, 0.25).cast("int")).alias(str(seed))
+                          for seed in range(first, first + 500)]).first().asDict()
+        best = max([x for x in [best, *((n, -int(seed)) for seed, n in sums.items())] if x is not None])
+    assert (got.zeros_in_test, -got.seed) == best
+    assert models.split_seed_search(rows.limit(0), "key", "label", trials=10).first().seed is None
+
+
+def test_edge_grid_by_one_refinement_is_the_one_of_each_distance(spark):
+    """Every distance merged, refined and classified by itself gives the same counts."""
+    import numpy as np
+
+    from stillwave.operators.align import edge_windows
+    from stillwave.operators.episodes import group_near, overlap_confusion, to_episodes, union_intervals
+    from stillwave.operators.segments import refine_edges
+
+    rng = np.random.default_rng(4)
+    signal = spark.createDataFrame(
+        [(s, i, *(float(v) for v in rng.choice([0.0, 0.0, 0.5], 3))) for s in (1, 2, 3) for i in range(400)],
+        "subject long, idx long, y double, x double, z double")
+    spans = []
+    for s in (1, 2, 3):
+        cuts = sorted(rng.choice(np.arange(10, 390), 20, replace=False).tolist())
+        spans += [(s, c, a, b) for c, (a, b) in enumerate(zip(cuts[::2], cuts[1::2]))]
+    episodes = spark.createDataFrame(spans, "subject long, counter int, start_index long, stop_index long")
+    truth = signal.selectExpr("subject", "idx", "int(y = 0) AS truth")
+    windows = edge_windows(signal, episodes.withColumn("label", (F.col("start_index") % 2).cast("int")), 4)
+    model = models.fit_windows(windows, 4, layers=(3,), epochs=5)
+    space = {"edge": [True, False], "op": ["or", "and"], "distance": [1, 4]}
+    got = {(r.edge, r.op, r.distance): (r.tn, r.fp, r.fn, r.tp) for r in models.edge_decision_grid(
+        signal, episodes, truth, model, 4, space, hz=2, std_threshold=0.3, samples_per_min=5, max_steps=6).collect()}
+    runs = to_episodes(truth, F.col("truth") == 1, ts=None, counter=False).selectExpr(
+        "subject", "start_index AS start", "stop_index + 1 AS stop")
+    n = truth.groupBy("subject").agg(F.count(F.lit(1)).alias("n"))
+    for distance in space["distance"]:
+        grouped = refine_edges(signal, group_near(episodes, distance, 3, 2, samples_per_min=5), 0.3, 2, 6)
+        for edge in space["edge"]:
+            for op in space["op"]:
+                chosen = models.edge_decision(signal, grouped, model, 4, op, edge).filter("nw = 1").selectExpr(
+                    "subject", "start_index AS start", "stop_index AS stop")
+                conf = overlap_confusion(union_intervals(chosen, ("subject",)), runs, n)
+                want = conf.agg(*[F.sum(c) for c in ("tn", "fp", "fn", "tp")]).first()
+                assert got[edge, op, distance] == tuple(want), (edge, op, distance)

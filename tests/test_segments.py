@@ -51,7 +51,7 @@ def test_refine_edges(spark):
     rows = [(k, c, int(a), int(b)) for k, v in data.items() for c in range(3)
             for a, b in [sorted(rng.integers(0, len(v), 2))]]
     episodes = spark.createDataFrame(rows, "subject string, counter int, start_index long, stop_index long")
-    out = S.refine_edges(samples, episodes, 0.03, hz, max_steps=9, first_look=2, block_rows=10).collect()
+    out = S.refine_edges(samples, episodes, 0.03, hz, max_steps=9, block_rows=4).collect()
     assert len(out) == len(rows)
     moved = 0
     before = {(r[0], r[1]): r[2:] for r in rows}
