@@ -6,6 +6,9 @@ next one. All stages but the last return the columns of ``documents``, in their
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stillwave.llm import byte_bpe, lang_id, mixing, near_dup, pii
@@ -15,6 +18,26 @@ from stillwave.llm.common import held_out, stash
 LEAST_SHARE = 0.3
 
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def others_aside(stage: Callable) -> Callable:
+    """Other columns than those of ``documents`` pass a stage in one struct, so that their names clash with nothing."""
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = docs.columns
+        others = [c for c in names if c not in COLUMNS]
+        if not others:
+            return stage(spark, docs, sf_dir)
+        own = [c for c in names if c in COLUMNS]
+        packed = docs.select(*own, F.struct(*[F.col(f"`{c}`") for c in others]).alias("_others"))
+        back = {c: F.col("_others").getField(c) if c in others else F.col(c) for c in names}
+        return stage(spark, packed, sf_dir).select(*[column.alias(c) for c, column in back.items()])
+
+    return run
+
+
+@others_aside
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in a language: those without a letter, or where no language prevails, go.
 
@@ -27,25 +50,40 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return lang_id.label(docs, model).where(kept).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+@others_aside
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near copies (five-word shingles, similarity 0.8)."""
-    found = near_dup.near_duplicates(docs.select("doc_id", "text"), size=5, percent=80)
-    kept = found.where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """Keep the row with the smallest id of each group of near copies (five-word shingles, similarity 0.8).
+
+    Of rows that repeat id and text one stays; rows that repeat an id only are documents of their own; a missing id
+    comes after all others. Texts without a word are nobody's copies and stay. A row is known by a hash of its id and
+    text, which is the same whenever it is read.
+    """
+    rows = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    found = near_dup.near_duplicates(rows.select("_row", "text"), doc_id="_row", size=5, percent=80)
+    ids = rows.groupBy("_row").agg(F.min("doc_id").alias("doc_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first")
+    kept = (found.groupBy("_row").agg(F.min("component_id").alias("component_id")).join(ids, "_row")
+            .groupBy("component_id").agg(first).select(F.col("first._row").alias("_row")))
+    return rows.dropDuplicates(["_row"]).join(kept, "_row", "left_semi").select(*docs.columns)
 
 
+@others_aside
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data by its kind; no document goes."""
     return pii.redact(docs, n_chars="n_chars")
 
 
+@others_aside
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or leave out documents so that the sources have their weights."""
+    """Repeat or leave out documents so that the sources have their weights.
+
+    A null source is a source of its own; texts without a word go; repeated rows are documents of their own.
+    """
     return mixing.repeated(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with the digests of ids and decoded bytes."""
+    """Token counts of each document, with the digests of ids and decoded bytes; a null text has no tokens."""
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")

@@ -40,9 +40,9 @@ BYTES = [bytes((i,)) for i in range(256)]
 
 
 class Transducer:
-    """Encodes pieces byte by byte. ``encode`` gives ranks; ``states`` are kept up to ``most``."""
+    """Encodes pieces byte by byte. ``encode`` gives ranks; ``states`` (about 1 KB each) are kept up to ``most``."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 120_000):
+    def __init__(self, ranks: dict[bytes, int], most: int = 60_000):
         self.ranks, self.most = ranks, most
         self.starts = {token[:n] for token in ranks for n in range(1, len(token))}
         self.longest = max(map(len, ranks), default=1)
@@ -176,18 +176,23 @@ class Transducer:
 
 
 class Packed(dict):
-    """Text -> its ids as little-endian 32-bit integers; filled by ``make``, emptied when ``most`` are held."""
+    """Text -> its ids as little-endian 32-bit integers; filled by ``make``, emptied when it has ``most`` bytes."""
+
+    #: Bytes of an entry beyond its text and ids: two objects' heads and its share of the table.
+    ENTRY = 200
 
     def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.held = make, most, 0
 
     def __missing__(self, piece: str) -> bytes:
         packed = self.make(piece)
-        if len(self) >= self.most:
+        if self.held >= self.most:
             self.clear()
+            self.held = 0
         if len(piece) <= 64:
             self[piece] = packed
+            self.held += self.ENTRY + len(piece) + len(packed)
         return packed
 
 
@@ -198,13 +203,13 @@ class Encoder:
     such a stretch becomes is kept, up to a bound, since most come again.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 500_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 60 << 20):
         import re
 
         import regex
 
         self.find, self.encode = regex.compile(pattern).findall, Transducer(ranks).encode
-        self.pieces = Packed(lambda piece: self.encode(piece.encode()), most // 20)
+        self.pieces = Packed(lambda piece: self.encode(piece.encode()), most // 8)
         self.cut = re.compile(r" (?=\S)(?<=\S )").split
         self.later = Packed(self.stretch, most)
 
@@ -292,6 +297,13 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
 
     def run(batches):
         gc.disable()  # the tables are large and hold few cycles; forget() collects those
+        try:
+            yield from encoded(batches)
+        finally:  # the worker may be used again
+            gc.enable()
+            gc.collect()
+
+    def encoded(batches):
         encode, tokens = Encoder(ranks.value, pattern), token_bytes(ranks.value)
         for batch in batches:
             counts, digests, decoded, lists = [], [], [], []

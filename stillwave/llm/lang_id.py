@@ -188,7 +188,8 @@ def label(docs: DataFrame, model: dict, text: str = "text", penalty: float = PEN
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "n_spans")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    # The text goes to the workers once, whether it is returned or not.
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"`{text}`")] * (text not in kept))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept]
                        + ["lang_pred string, score double, n_spans int"])
 
@@ -210,8 +211,8 @@ def label(docs: DataFrame, model: dict, text: str = "text", penalty: float = PEN
 
         for batch in batches:
             done, group, held = [], [], 0
-            for value in batch.column("__text"):
-                group.append(word_scores(value.as_py(), model, kinds))
+            for value in batch.column(text):
+                group.append(word_scores(value.as_py() or "", model, kinds))
                 held += len(group[-1][1])
                 if held > BLOCK:  # bounds what Viterbi holds, whatever the batch
                     done += results(group)

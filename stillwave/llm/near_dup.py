@@ -31,6 +31,10 @@ BITS = 512
 SIGMAS = 4.5
 #: Members of a block when a bucket is compared block by block.
 BLOCK = 128
+#: Shingles of all members of a block, unless one member alone has more.
+BLOCK_SHINGLES = 2_000_000
+#: Parts that the pairs of one class are dealt to.
+SALTS = 16
 #: Buckets of up to so many members are compared by a join instead.
 SMALL = 12
 #: Word hashes a task keeps.
@@ -168,7 +172,10 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]],
                                              names=["a", "b"])
 
-    joined = (pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("x")), "a")
+    # A class with very many pairs is dealt to several tasks, each with a copy of its set.
+    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    heads = dealt.select("a", "salt").distinct().join(sets.select(F.col("cls").alias("a"), F.col("set").alias("x")), "a")
+    joined = (dealt.join(heads, ["a", "salt"])
               .join(sets.select(F.col("cls").alias("b"), F.col("set").alias("y")), "b"))
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
@@ -187,11 +194,13 @@ def _across(members: DataFrame, percent: int, flips: int) -> DataFrame:
     """Links between different components inside buckets: ``members`` has key, cls, root, minor, n, bands, sketch, set.
 
     The buckets' largest components are only met by the members outside them. Rows are dealt to pairs of blocks; a
-    block pair holds at most about twice ``BLOCK`` rows and returns a spanning forest of the links that it finds.
+    block pair holds at most about twice ``BLOCK`` rows, and twice ``BLOCK_SHINGLES`` shingles, and returns a spanning forest of the links that it finds.
     """
-    sizes = (members.groupBy("key").agg(F.sum(F.col("minor").cast("long")).alias("minors"),
-                                        F.sum((~F.col("minor")).cast("long")).alias("majors")))
-    n_blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK))
+    # Blocks are bounded by their members and by their shingles.
+    count = lambda part: F.greatest(F.ceil(F.count(F.when(part, 1)) / BLOCK),
+                                    F.ceil(F.coalesce(F.sum(F.when(part, F.col("n"))), F.lit(0)) / BLOCK_SHINGLES))
+    sizes = members.groupBy("key").agg(count(F.col("minor")).alias("minors"), count(~F.col("minor")).alias("majors"))
+    n_blocks = lambda c: F.greatest(F.lit(1), F.col(c))
     rows = members.join(sizes, "key").withColumn("spot", F.pmod(F.xxhash64("cls", "key"), F.lit(1 << 40)))
     own = rows.where("minor").withColumn("blk", F.col("spot") % n_blocks("minors"))
     minor_minor = own.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks("minors") - 1))).select(

@@ -62,3 +62,26 @@ def test_stages_keep_columns_and_take_nothing(spark):
         out = stage(spark, empty, "")
         assert out.columns == empty.columns and out.count() == 0
     assert pipeline.STAGES[-1][1](spark, empty, "").count() == 0
+
+
+def test_stages_with_filled_columns_of_any_name(spark):
+    """Own columns named like helpers come through as they were, whatever they hold."""
+    names = ("last", "cuts", "xid", "__times", "__copy", "__id", "_row", "score", "lang_pred", "n_spans", "cls", "_others",
+             "component_id", "id", "name", "size", "taken", "base", "extra", "kind", "pattern", "first")
+    rows = [(i, f"{speech('en', i, 30)} write to a{i}@mail.org", "en", f"s{i % 2}", 1) for i in range(12)]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    for _, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        found = out.collect()
+        assert out.columns == docs.columns and found
+        assert all(r[n] == f"{n}{r.doc_id}" for r in found for n in names)
+    assert pipeline.STAGES[-1][1](spark, docs, "").count() == 12
+
+
+def test_one_row_of_each_class_stays(spark):
+    text, other = speech("en", 1, 40), speech("de", 2, 40)
+    rows = [(3, text), (3, text), (3, text), (None, text), (None, text + " more"), (4, text + " x"), (None, other), (None, other),
+            (5, "  "), (6, None), (6, None), (9, other + " y"), (2, "one"), (2, "two words")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    got = Counter((r.doc_id, r.text) for r in pipeline.near_copies(spark, docs, "").collect())
+    assert got == Counter([(3, text), (9, other + " y"), (5, "  "), (6, None), (2, "one"), (2, "two words")])
