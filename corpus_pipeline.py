@@ -12,7 +12,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stillwave.llm import byte_bpe, lang_id, mixing, near_dup, pii
-from stillwave.llm.common import held_out, stash
+from stillwave.llm.common import held_out, small_batches, stash
 
 #: Share of a document's letters that its language must have. Below it no language prevails.
 LEAST_SHARE = 0.3
@@ -43,6 +43,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Learned from the labelled documents outside one hash fold; a corpus without labels keeps all its documents.
     """
+    small_batches(spark)
     model = lang_id.learn(docs.where(~held_out("doc_id", 3, 1)))
     if not model["langs"]:
         return docs
@@ -100,6 +101,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = stash(stage(spark, docs, sf_dir))

@@ -38,6 +38,14 @@ def cut(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches of this session have at most ``rows`` rows: whole texts or sets in batches of 10,000 rows take
+    hundreds of MB beside the heap, in Spark and again in Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def held_out(doc_id: str, modulus: int, remainder: int) -> Column:
     """Whether crc32 of the id as text leaves ``remainder``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus == remainder

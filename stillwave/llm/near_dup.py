@@ -21,7 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stillwave.llm.common import connected, stash
+from stillwave.llm.common import connected, small_batches, stash
 
 #: MinHash bands and rows. A pair of similarity 0.85 shares no band with probability (1 - 0.85^6)^32, below 3e-7.
 BANDS, ROWS = 32, 6
@@ -266,6 +266,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     id gets the component of its text's class, and is kept only if no row with an id is in it. Other columns are
     not looked at. An empty table gives an empty one. ``percent`` is 80 or more: bands are laid out for that.
     """
+    small_batches(docs.sparkSession)
     rows = stash(signatures(docs, doc_id, text, size))
     classes = stash(rows.where("cls is not null").groupBy("cls").agg(
         F.min("id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"),
