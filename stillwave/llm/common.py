@@ -38,12 +38,13 @@ def cut(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Let Arrow batches of this session have at most ``rows`` rows: whole texts or sets in batches of 10,000 rows take
-    hundreds of MB beside the heap, in Spark and again in Python."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8_000_000) -> None:
+    """Let Arrow batches of this session have at most ``rows`` rows, and end soon after ``size`` bytes: whole texts or
+    sets in batches of 10,000 rows take hundreds of MB beside the heap, in Spark and again in Python."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{size}b")
 
 
 def held_out(doc_id: str, modulus: int, remainder: int) -> Column:

@@ -17,11 +17,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from stillwave.llm.common import stash
+from stillwave.llm.common import small_batches, stash
 from stillwave.llm.near_dup import WordHashes, mixed
 
 #: Bytes of text of a chunk, and of the whole for each shard.
-CHUNK_BYTES, SHARD_BYTES = 8_000_000, 16_000_000
+CHUNK_BYTES, SHARD_BYTES = 4_000_000, 16_000_000
 #: Context-frequency buckets: powers of two of the count. Bins of the logarithms that expectation-maximisation sees.
 BUCKETS, BINS, STEPS = 14, 96, 8
 #: Rounds of expectation-maximisation at most, and the change of a weight that ends it.
@@ -214,6 +214,7 @@ def score(docs: DataFrame, train, doc_id: str = "doc_id", text: str = "text") ->
     text counts as empty: its end alone is scored. Repeated rows count as often as they come. Other columns are not
     looked at. An empty table gives an empty result; without training rows every token has the uniform probability.
     """
+    small_batches(docs.sparkSession)
     packed = stash(pack(docs, doc_id, text, train))
     total, n_starts = packed.agg(F.sum("size"), F.coalesce(F.sum("starts"), F.lit(0))).first()
     n_shards = max(4, -(-(total or 0) // SHARD_BYTES))
