@@ -10,6 +10,7 @@ from checks.detect import (
 )
 from checks.registry import query, r6, s6
 from checks.tables import EPOCHS_SQL, MINUTE, SIGNAL_SQL
+from stillwave.functions.fixed_values import CHOI_SPACE, HECHT_SPACE, TROIANO_SPACE
 from stillwave.functions.expressions import parameter_key
 from stillwave.functions.metrics import METRICS, sum_confusion, with_metrics
 from stillwave.operators import align as A, blocks as B, chunked, detectors as D, episodes as E, overlay
@@ -193,14 +194,14 @@ def values(name, items):
     return f"(VALUES {', '.join(f'({str(i).lower() if isinstance(i, bool) else i})' for i in items)}) {name.strip(chr(34))}_({name})"
 
 
-def hecht_grid_sql():
+def hecht_grid_sql(space=HECHT_GRID):
     parts = []
-    for w in HECHT_GRID["i"]:
+    for w in space["i"]:
         parts.append(f"""SELECT subject, t, {w} AS i, m, truth, CASE WHEN vmu > t THEN greatest(f, p) ELSE least(f, p) END < m AS nw FROM (
       SELECT subject, t, vmu, truth,
         count(*) FILTER (vmu > t) OVER (PARTITION BY subject, t ORDER BY epoch_idx ROWS BETWEEN 1 FOLLOWING AND {w} FOLLOWING) AS f,
         count(*) FILTER (vmu > t) OVER (PARTITION BY subject, t ORDER BY epoch_idx ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING) AS p
-      FROM epochs, {values('t', HECHT_GRID['t'])}), {values('m', HECHT_GRID['m'])}""")
+      FROM epochs, {values('t', space['t'])}), {values('m', space['m'])}""")
     body = " UNION ALL ".join(parts)
     return f"SELECT subject, t, i, m, {cells('truth', 'CAST(nw AS INTEGER)')} FROM ({body}) GROUP BY ALL"
 
@@ -293,6 +294,26 @@ def _(t):
 
 
 HP, TP_ = ("t", "i", "m"), ("at", "mpl", "st", "ss", "vm")
+
+
+# The whole published spaces, summed over subjects. The SQL of Hecht reads a row for each threshold and window; the other
+# two would multiply the rows by hundreds there, so tests hold combinations of theirs against the detectors run alone.
+@query("g2_hecht_whole_space", f"""WITH {EPOCHS_SQL}, gs AS ({hecht_grid_sql(HECHT_SPACE)})
+  SELECT t, i, m, CAST(sum(tn) AS BIGINT) AS tn, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, CAST(sum(tp) AS BIGINT) AS tp FROM gs GROUP BY 1, 2, 3""")
+def _(t):
+    return sum_confusion(G.hecht_grid(t.epochs, HECHT_SPACE), *HECHT_SPACE)
+
+
+@query("g2_troiano_whole_space")
+def _(t):
+    return sum_confusion(G.troiano_grid(t.epochs, TROIANO_SPACE), *TROIANO_SPACE)
+
+
+@query("g2_choi_whole_space")
+def _(t):
+    return sum_confusion(G.choi_grid(t.epochs, CHOI_SPACE), *CHOI_SPACE)
+
+
 GRID_TOTALS = f"gs AS ({hecht_grid_sql()}), gt AS (SELECT t, i, m, sum(tn) AS tn, sum(fp) AS fp, sum(fn) AS fn, sum(tp) AS tp FROM gs GROUP BY 1, 2, 3), gm AS (SELECT *, {METRIC_SQL} FROM gt)"
 
 
@@ -372,12 +393,16 @@ def _(t):
 
 # ---- cross-validation ------------------------------------------------------------------
 
-CLASSES = f"""
+def classes_sql(folds=3):
+    return f"""
 rn AS (SELECT subject, count(*) AS n FROM ({runs_sql('epochs', 'truth = 1')}) GROUP BY 1),
 sb AS (SELECT s.subject, CASE WHEN coalesce(n, 0) <= 13 THEN 0 ELSE 1 END AS cls FROM (SELECT DISTINCT subject FROM epochs) s LEFT JOIN rn ON s.subject = rn.subject),
 sp AS (SELECT *, row_number() OVER (ORDER BY subject) - 1 AS pos, count(*) OVER () AS n FROM sb),
 pt AS (SELECT subject, cls, CASE WHEN pos < n - ceil(n * 0.3) THEN 'train' ELSE 'test' END AS part FROM sp),
-fd AS (SELECT subject, cls, CAST(ntile(3) OVER (PARTITION BY cls ORDER BY subject) - 1 AS INTEGER) AS fold FROM pt WHERE part = 'train')"""
+fd AS (SELECT subject, cls, CAST(ntile({folds}) OVER (PARTITION BY cls ORDER BY subject) - 1 AS INTEGER) AS fold FROM pt WHERE part = 'train')"""
+
+
+CLASSES = classes_sql()
 
 
 def classed(t):
@@ -408,7 +433,8 @@ def _(t):
     return cv.plain_folds(s, ["subject"], BLOCK(), 7).select("subject", "fold")
 
 
-FOLDS = f"""gs AS ({hecht_grid_sql()}), {CLASSES},
+def folds_sql(space=HECHT_GRID, folds=3):
+    return f"""gs AS ({hecht_grid_sql(space)}), {classes_sql(folds)},
 cf AS (SELECT g.*, fold FROM gs g JOIN fd ON g.subject = fd.subject),
 te AS (SELECT fold, t, i, m, sum(tn) AS tn, sum(fp) AS fp, sum(fn) AS fn, sum(tp) AS tp FROM cf GROUP BY 1, 2, 3, 4),
 tr0 AS (SELECT f.fold, c.t, c.i, c.m, sum(tn) AS tn, sum(fp) AS fp, sum(fn) AS fn, sum(tp) AS tp FROM cf c JOIN (SELECT DISTINCT fold FROM fd) f ON c.fold <> f.fold GROUP BY 1, 2, 3, 4),
@@ -417,6 +443,9 @@ fr AS (SELECT bst.train_f1, te.*, FROM bst JOIN te ON bst.fold = te.fold AND bst
 fm AS (SELECT *, {METRIC_SQL} FROM fr)"""
 
 
+FOLDS = folds_sql()
+
+
 def validated(t):
     return cv.cross_validate(conf_hecht(t), classed(t), ["subject"], BLOCK(), HP, folds=3)
 
@@ -426,6 +455,12 @@ def _(t):
     return metrics6(validated(t)["folds"], "fold", *HP, r6("train_f1"))
 
 
+@query("g4_hecht_whole_space_ten_folds", f"WITH {EPOCHS_SQL}, {folds_sql(HECHT_SPACE, 10)} SELECT fold, t, i, m, {s6('train_f1', 'train_f1')}, {M6} FROM fm")
+def _(t):
+    found = cv.cross_validate(G.hecht_grid(t.epochs, HECHT_SPACE), classed(t), ["subject"], BLOCK(), HP, folds=10)
+    return metrics6(found["folds"], "fold", *HP, r6("train_f1"))
+
+
 @query("g4_mean_of_test_folds", f"WITH {EPOCHS_SQL}, {FOLDS} SELECT {', '.join(s6(f'avg({m})', m) for m in METRICS)} FROM fm")
 def _(t):
     return metrics6(validated(t)["training"])
