@@ -32,6 +32,15 @@ def stash(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """``df`` as a table in the shared folder, in buckets of ``key``: joins on the key read it without a shuffle."""
+    spark = df.sparkSession
+    name = f"table_{uuid.uuid4().hex}"
+    (df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key)
+     .option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name))
+    return spark.table(name)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint of a small table."""
     shared_folder(df.sparkSession)
