@@ -32,13 +32,13 @@ SIGMAS = 4.5
 #: Members of a block when a bucket is compared block by block.
 BLOCK = 128
 #: Shingles of all members of a block, unless one member alone has more.
-BLOCK_SHINGLES = 2_000_000
+BLOCK_SHINGLES = 500_000
 #: Parts that the pairs of one class are dealt to.
 SALTS = 16
 #: Buckets of up to so many members are compared by a join instead.
 SMALL = 12
 #: Word hashes a task keeps.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 100_000
 
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
