@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stillwave.session import cut_lineage
@@ -56,6 +60,22 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8_000_000)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{size}b")
 
 
+def lean(run: Callable) -> Callable:
+    """``run`` over Arrow batches; at its end the worker gives back what it has freed. Workers live on for a while after
+    their tasks, and what they keep adds up beside those of the next stage."""
+    def outer(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+            if trim:
+                trim(0)
+
+    return outer
+
+
 def held_out(doc_id: str, modulus: int, remainder: int) -> Column:
     """Whether crc32 of the id as text leaves ``remainder``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus == remainder

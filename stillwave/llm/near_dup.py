@@ -21,7 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stillwave.llm.common import connected, small_batches, stash
+from stillwave.llm.common import connected, lean, small_batches, stash
 
 #: MinHash bands and rows. A pair of similarity 0.85 shares no band with probability (1 - 0.85^6)^32, below 3e-7.
 BANDS, ROWS = 32, 6
@@ -139,18 +139,19 @@ def signatures(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
                 names=["id", "cls", "n", "bands", "sketch"])
 
     return (docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
-            .mapInArrow(run, "id long, cls binary, n long, bands array<long>, sketch array<long>"))
+            .mapInArrow(lean(run), "id long, cls binary, n long, bands array<long>, sketch array<long>"))
 
 
-def shingle_sets(docs: DataFrame, text: str, size: int) -> DataFrame:
-    """(cls, set) with the set as sorted packed 64-bit hashes; for classes given as column ``cls``."""
+def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
+    """(cls, set) of each text of the only column: the class as its set names it, the set as sorted packed 64-bit hashes."""
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            sets = [shingles(value.as_py(), size, hashes).tobytes() for value in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["cls", "set"])
+            sets = [shingles(value.as_py(), size, hashes).tobytes() for value in batch.column(0)]
+            cls = [hashlib.blake2b(own, digest_size=16).digest() for own in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array(sets, pa.binary())], names=["cls", "set"])
 
-    return docs.select("cls", F.col(text).alias("t")).mapInArrow(run, "cls binary, set binary")
+    return texts.mapInArrow(lean(run), "cls binary, set binary")
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -177,7 +178,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     heads = dealt.select("a", "salt").distinct().join(sets.select(F.col("cls").alias("a"), F.col("set").alias("x")), "a")
     joined = (dealt.join(heads, ["a", "salt"])
               .join(sets.select(F.col("cls").alias("b"), F.col("set").alias("y")), "b"))
-    return joined.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    return joined.select("a", "b", "x", "y").mapInArrow(lean(run), "a binary, b binary")
 
 
 def _couples(members: DataFrame, percent: int, flips: int) -> DataFrame:
@@ -328,14 +329,6 @@ def _texts_of(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame, rows:
     """
     ids = wanted.select(F.col("id").alias("__id")).distinct()
     texts = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("t"))
-    named = texts.join(ids, texts["__id"].eqNullSafe(ids["__id"]), "left_semi").select(
-        F.lit(b"").alias("cls"), "t")
-    made = shingle_sets(named, "t", size)
-
-    def digest(batches):
-        for batch in batches:
-            cls = [hashlib.blake2b(s.as_buffer(), digest_size=16).digest() for s in batch.column("set")]
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), batch.column("set")], names=["cls", "set"])
-
-    return (made.mapInArrow(digest, "cls binary, set binary").join(wanted.select("cls"), "cls", "left_semi")
+    named = texts.join(ids, texts["__id"].eqNullSafe(ids["__id"]), "left_semi").select("t")
+    return (shingle_sets(named, size).join(wanted.select("cls"), "cls", "left_semi")
             .groupBy("cls").agg(F.first("set").alias("set")))
