@@ -8,4 +8,4 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 from checks.registry import ORACLE, QUERIES
-from checks import detect, relational, evaluate, files  # noqa: F401  (registration)
+from checks import detect, relational, evaluate, files, stored  # noqa: F401  (registration)
