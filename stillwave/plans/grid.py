@@ -5,8 +5,8 @@ really change and shares the rest:
 
 * Hecht: a row is non-wear for every minimum count above one number, so the
   rows collapse to a histogram of that number;
-* Troiano, Choi: rows collapse to runs, parameters are applied to runs, and a
-  period counts for every minimum length up to its own;
+* Troiano, Choi: a chunk's rows are scanned once for all combinations together,
+  and a period counts for every minimum length up to its own;
 * van Hees: a block only needs the k-th smallest spread over its windows.
 
 Epoch input: ``(subject, epoch_idx, axis1, vmu, truth)`` with ``truth`` 1 for
@@ -15,18 +15,20 @@ non-wear. Counts are in rows; multiply by the row length for seconds.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from stillwave.operators.align import with_parameters
 from stillwave.operators.blocks import AXES, pooled_std
 from stillwave.operators.chunked import (
-    CHUNK, DEFAULT_SIZE, OWN, chunk_window, div, lagged_sum, leading_sum, list_periods, merge_runs, running_total,
-    sliding_extremes, spread,
+    CHUNK, DEFAULT_SIZE, OWN, chunk_window, div, lagged_sum, leading_sum, list_periods, settle, sliding_extremes, spread,
 )
 from stillwave.operators.detectors import CHOI_SPIKE_RUN, hecht_support
+from stillwave.session import cut_lineage
 
 SUBJECT = ("subject",)
 Space = Mapping[str, Sequence]
@@ -38,7 +40,7 @@ def combinations(space: Space) -> list[dict]:
 
 
 def subject_totals(epochs: DataFrame, keys: Sequence[str] = SUBJECT) -> DataFrame:
-    return epochs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum("truth").alias("_t"))
+    return epochs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum("truth").alias("_t")).filter("_n > 0")
 
 
 def confusion_of(marked: DataFrame, totals: DataFrame, space: Space, keys: Sequence[str] = SUBJECT) -> DataFrame:
@@ -68,14 +70,17 @@ def _at_least(counted: DataFrame, level: str, thresholds: Sequence, name: str, k
 
 
 def hecht_grid(epochs: DataFrame, space: Space, epoch_sec: int = 60, keys: Sequence[str] = SUBJECT,
-               size: int = DEFAULT_SIZE) -> DataFrame:
-    """Confusion per subject and (t, i, m)."""
+               size: int = DEFAULT_SIZE, by: Sequence[str] | None = None) -> DataFrame:
+    """Confusion per subject and (t, i, m); per ``by`` in place of the subject, if given."""
     from stillwave.operators.detectors import quiet_window
 
+    by = keys if by is None else by
     minimums = sorted(space["m"])
     windows = {i: quiet_window(i, epoch_sec) for i in space["i"]}
     reach = max(windows.values())
-    rows = spread(epochs.select(*keys, "epoch_idx", F.col("vmu").alias("_value"), "truth"), keys, "epoch_idx", size, reach, reach)
+    # Rows without a key mark nothing, whatever the counts are added up by.
+    known = epochs.select(*keys, "epoch_idx", F.col("vmu").alias("_value"), "truth").dropna(subset=list(keys))
+    rows = spread(known, keys, "epoch_idx", size, reach, reach)
     rows = rows.withColumn("t", F.explode(F.array(*[F.lit(t) for t in space["t"]])))
     part = [*keys, CHUNK, "t"]
     window = W.partitionBy(*part).orderBy("epoch_idx")
@@ -96,30 +101,29 @@ def hecht_grid(epochs: DataFrame, space: Space, epoch_sec: int = 60, keys: Seque
     for m in minimums:
         level = level + (hecht_support(F.col("t")) < m).cast("int")
     descending = sorted(minimums, reverse=True)
-    counted = rows.withColumn("_level", level).groupBy(*keys, "t", "i", "_level").agg(
+    counted = rows.withColumn("_level", level).groupBy(*by, "t", "i", "_level").agg(
         F.count(F.lit(1)).alias("_pred"), F.sum("truth").alias("tp"))
-    marked = _at_least(counted, "_level", descending, "m", [*keys, "t", "i"])
-    return confusion_of(marked, subject_totals(epochs, keys), {k: space[k] for k in ("t", "i", "m")}, keys)
+    marked = _at_least(counted, "_level", descending, "m", [*by, "t", "i"])
+    return confusion_of(marked, subject_totals(epochs, by), {k: space[k] for k in ("t", "i", "m")}, by)
 
 
 def _with_truth_position(epochs: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
-    """Add ``_p``: true non-wear rows before this one."""
-    rows = epochs.select(*keys, "epoch_idx", "axis1", "vmu", F.col("truth").cast("long").alias("truth"))
-    return running_total(rows, keys, ["epoch_idx"], div("epoch_idx", size), {"_p": F.col("truth")}).withColumn(
-        "_p", F.col("_p") - F.col("truth"))
+    """Add ``_p``: true non-wear rows before this one, and whether the row's chunk is the first or the last of its key."""
+    rows = settle(epochs.select(
+        *keys, "epoch_idx", "axis1", "vmu", F.col("truth").cast("long").alias("truth")).withColumn(CHUNK, div("epoch_idx", size)), keys)
+    along = W.partitionBy(*keys).orderBy(CHUNK)
+    offsets = rows.groupBy(*keys, CHUNK).agg(F.sum("truth").alias("_t")).select(
+        *keys, CHUNK, F.coalesce(F.sum("_t").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_o"),
+        F.lag(CHUNK).over(along).isNull().alias("_first"), F.lead(CHUNK).over(along).isNull().alias("_last"))
+    upto = chunk_window(keys, "epoch_idx").rowsBetween(W.unboundedPreceding, 0)
+    return rows.select("*", F.sum("truth").over(upto).alias("_r")).join(offsets, [*keys, CHUNK]).select(
+        *keys, "epoch_idx", "axis1", "vmu", (F.col("_r") + F.col("_o") - F.col("truth")).alias("_p"), "_first", "_last")
 
 
 #: Bits for the truth position in a packed spot; row numbers use the bits above.
 SPOT_BITS = 31
 
 
-def _spot(idx: str | Column, p: str | Column = "_p") -> Column:
-    """Row number and truth position in one ordered long, so that minima stay primitive aggregates."""
-    i = F.col(idx) if isinstance(idx, str) else idx
-    p = F.col(p) if isinstance(p, str) else p
-    return F.shiftleft(i.cast("long"), SPOT_BITS) + p.cast("long")
-
-
 def _row(spot: str) -> Column:
     return F.shiftright(F.col(spot), SPOT_BITS)
 
@@ -128,111 +132,182 @@ def _hits(spot: str) -> Column:
     return F.col(spot).bitwiseAND(F.lit((1 << SPOT_BITS) - 1))
 
 
-def _score_periods(events: DataFrame, keys: Sequence[str], names: Sequence[str], lengths: Sequence[int],
-                   totals: DataFrame, space: Space, size: int) -> DataFrame:
-    """Periods from events, then their rows and hits for every minimum length."""
-    periods = list_periods(events, [*keys, *names], "epoch_idx", "opens", "closes", size)
-    length = _row("stop") - _row("start")
+#: Rows of a chunk whose marks are made at a time: a bit for each row and combination.
+ROWS_AT_A_TIME = 1024
+#: Opens and closes ``(rows, combinations)`` of the rows from one position up to another.
+Marks = Callable[[int, int], tuple[np.ndarray, np.ndarray]]
+
+
+def _scan(spots: np.ndarray, own: np.ndarray, marks: Marks, lengths: np.ndarray, width: int, first: bool, last: bool,
+          close_at_end: bool) -> tuple[np.ndarray, np.ndarray, list]:
+    """The periods of one chunk, for all combinations in one pass over its rows.
+
+    Gives rows and hits ``(combination, level)`` of the periods that are settled here, and the events
+    ``(combinations, spots, closes)`` that concern other chunks: the first opening and the first close if a chunk
+    precedes, the last opening if one follows.
+    """
+    rows, hits = np.zeros((2, width, len(lengths) + 1), np.int64)
+    opened, settled = np.full(width, -1, np.int64), np.full(width, first)
+    events, before = [], np.zeros(width, bool)
+    mask, every, end = (1 << SPOT_BITS) - 1, np.flatnonzero(own), None
+    for lo in range(0, len(every), ROWS_AT_A_TIME):
+        start, stop = every[lo], every[min(lo + ROWS_AT_A_TIME, len(every)) - 1] + 1
+        opens, closes = marks(start, stop)
+        if close_at_end and last and stop == every[-1] + 1:
+            closes = closes.copy()
+            closes[-1] = True
+        # A row that opens like the one before it changes nothing.
+        fresh = opens & ~np.concatenate([before[None, :], opens[:-1]])
+        before = opens[-1]
+        closing = closes.any(axis=1)
+        for r in np.flatnonzero(closing | fresh.any(axis=1)):
+            spot = spots[start + r]
+            if closing[r]:
+                shut = closes[r]
+                done = np.flatnonzero(shut & settled & (opened >= 0))
+                long = (spot >> SPOT_BITS) - (opened[done] >> SPOT_BITS)
+                level = np.searchsorted(lengths, long, side="right")
+                rows[done, level] += long
+                hits[done, level] += (spot & mask) - (opened[done] & mask)
+                if not settled.all():
+                    begun = np.flatnonzero(shut & ~settled & (opened >= 0))
+                    events.append((begun, opened[begun], False))
+                    ended = np.flatnonzero(shut & ~settled)
+                    events.append((ended, np.full(len(ended), spot), True))
+                    settled |= shut
+                opened[shut] = -1
+            opened[fresh[r] & (opened < 0)] = spot
+    if not last:
+        left = np.flatnonzero(opened >= 0)
+        events.append((left, opened[left], False))
+    return rows, hits, events
+
+
+def _score_chunks(rows: DataFrame, keys: Sequence[str], by: Sequence[str], names: Mapping[str, Sequence], vm: Sequence[bool],
+                  lengths: Sequence[int], marks_of: Callable[[np.ndarray], Marks], close_at_end: bool, totals: DataFrame,
+                  space: Space, size: int) -> DataFrame:
+    """Periods of all combinations, then their rows and hits for every minimum length.
+
+    A chunk of rows (with the copies its frames need) goes through once, for all combinations of ``names``. Only
+    subjects of more than one chunk have events left; those go by ``list_periods``.
+    """
     lengths = sorted(lengths)
+    steps, width = np.array(lengths), int(np.prod([len(v) for v in names.values()]))
+    kept = T.StructType([rows.schema[k] for k in keys])
+    schema = T.StructType([*kept, *[T.StructField(n, t) for n, t in [
+        ("vm", T.BooleanType()), ("_combo", T.IntegerType()), ("_level", T.IntegerType()), ("_pred", T.LongType()),
+        ("tp", T.LongType()), ("epoch_idx", T.LongType()), ("opens", T.LongType()), ("closes", T.LongType())]]])
+
+    def score(table: pa.Table) -> pa.Table:
+        table = table.sort_by("epoch_idx")
+        column = lambda c: table.column(c).to_numpy()
+        own = column(OWN)
+        spots = (column("epoch_idx").astype(np.int64) << SPOT_BITS) + column("_p")
+        at = int(own.argmax())
+        flag = lambda c: table.column(c)[at].as_py()
+        out = {c: [] for c in ("vm", "_combo", "_level", "_pred", "tp", "spot", "closes")}
+
+        def add(count: int, **values) -> None:
+            for c, v in values.items():
+                out[c].append(np.broadcast_to(np.asarray(v, np.int64), count))
+
+        for use in vm if own.any() else ():
+            marks = marks_of(column("vmu" if use else "axis1"))
+            length, hit, events = _scan(spots, own, marks, steps, width, flag("_first"), flag("_last"), close_at_end)
+            combo, level = np.nonzero(length[:, 1:])
+            add(len(combo), vm=use, _combo=combo, _level=level + 1, _pred=length[combo, level + 1], tp=hit[combo, level + 1],
+                spot=0, closes=0)
+            for which, spot, closes in events:
+                add(len(which), vm=use, _combo=which, _level=0, _pred=0, tp=0, spot=spot, closes=closes)
+        done = {c: np.concatenate(v) if v else np.zeros(0, np.int64) for c, v in out.items()}
+        event, closes = done["_level"] == 0, done["closes"] == 1
+        n = len(event)
+        return pa.table({
+            **{k: pa.repeat(table.column(k)[0], n) for k in keys}, "vm": pa.array(done["vm"] == 1),
+            "_combo": pa.array(done["_combo"].astype(np.int32)), "_level": pa.array(done["_level"].astype(np.int32), mask=event),
+            "_pred": pa.array(done["_pred"], mask=event), "tp": pa.array(done["tp"], mask=event),
+            "epoch_idx": pa.array(done["spot"] >> SPOT_BITS, mask=~event),
+            "opens": pa.array(done["spot"], mask=~event | closes), "closes": pa.array(done["spot"], mask=~event | ~closes)})
+
+    found = rows.groupBy(*keys, CHUNK).applyInArrow(score, schema)
+    # What is settled is added up without the keys that are not asked for; the frame is read twice, for both kinds of rows.
+    found = found.select(*[k if k in by else F.when(F.col("_level").isNull(), F.col(k)).alias(k) for k in keys],
+                         *[f.name for f in schema if f.name not in keys])
+    found = cut_lineage(found.groupBy(*keys, "vm", "_combo", "_level", "epoch_idx", "opens", "closes").agg(
+        F.sum("_pred").alias("_pred"), F.sum("tp").alias("tp")))
+    events = found.filter("_level IS NULL").select(*keys, "vm", "_combo", "epoch_idx", "opens", "closes")
+    periods = list_periods(events, [*keys, "vm", "_combo"], "epoch_idx", "opens", "closes", size)
+    length = _row("stop") - _row("start")
     level = F.lit(0)
     for m in lengths:
         level = level + (length >= m).cast("int")
-    counted = periods.select(
-        *keys, *names, level.alias("_level"), length.alias("_len"), (_hits("stop") - _hits("start")).alias("_hit"),
-    ).groupBy(*keys, *names, "_level").agg(F.sum("_len").alias("_pred"), F.sum("_hit").alias("tp"))
-    marked = _at_least(counted, "_level", lengths, "mpl", [*keys, *names])
-    return confusion_of(marked, totals, space, keys)
-
-
-def troiano_grid(epochs: DataFrame, space: Space, keys: Sequence[str] = SUBJECT, size: int = DEFAULT_SIZE) -> DataFrame:
-    """Confusion per subject and (at, mpl, st, ss, vm)."""
-    tolerances, stops = sorted(space["st"]), sorted(space["ss"])
-    levels = sorted({min(a, s) for a in space["at"] for s in stops})
-    placed = _with_truth_position(epochs, keys, size)
-    rows = spread(placed, keys, "epoch_idx", size, 0, max(tolerances))
-    window = chunk_window(keys, "epoch_idx")
-    ahead = [f"_ahead_{k}" for k in range(len(tolerances))]
-    rows = rows.select("*", *[F.lead("_p", n).over(window).alias(c) for n, c in zip(tolerances, ahead)]).filter(OWN)
-    # The own copy of a row is in the chunk of its index, so the chunk column stays valid for the runs.
-    rows = with_parameters(rows.drop(OWN), {"vm": space["vm"], "_u": levels})
-    value = F.when(F.col("vm"), F.col("vmu")).otherwise(F.col("axis1"))
-    rows = rows.select(
-        *keys, CHUNK, "vm", "_u", (value > F.col("_u")).alias("_busy"), *ahead, "_p",
-        F.col("epoch_idx").alias("_a"), F.col("epoch_idx").alias("_b"),
-        *[F.when(value > s, _spot("epoch_idx")).alias(f"_over_{k}") for k, s in enumerate(stops)])
-    runs = merge_runs(
-        rows, [*keys, "vm", "_u"], "_a", "_b", size, same=["_busy"],
-        aggs={"_p": ("first", "_p"), **{c: ("first", c) for c in ahead},
-              **{f"_over_{k}": ("min", f"_over_{k}") for k in range(len(stops))}})
-    over = F.array(*[F.col(f"_over_{k}") for k in range(len(stops))])
-    params = with_parameters(
-        runs.withColumn("_over", over), {"at": space["at"], "_ks": list(range(len(stops))), "_kt": list(range(len(tolerances)))})
-    params = params.withColumn("ss", F.element_at(F.array(*[F.lit(s) for s in stops]), F.col("_ks") + 1)).withColumn(
-        "st", F.element_at(F.array(*[F.lit(t) for t in tolerances]), F.col("_kt") + 1)).filter(
-        F.least("at", "ss") == F.col("_u"))
-    spike = F.when(
-        F.col("_b") - F.col("_a") + 1 > F.col("st"),
-        _spot(F.col("_a") + F.col("st"), F.when(F.col("st") == 0, F.col("_p")).otherwise(
-            F.element_at(F.array(*ahead), F.col("_kt") + 1))))
-    ends = F.when(F.col("ss") < F.col("at"), _spot("_a")).otherwise(
-        F.least(F.element_at("_over", F.col("_ks") + 1), spike))
-    names = ["at", "st", "ss", "vm"]
-    events = params.select(
-        *keys, *names, F.col("_a").alias("epoch_idx"),
-        F.when(~F.col("_busy"), _spot("_a")).alias("opens"), F.when(F.col("_busy"), ends).alias("closes"))
-    last = placed.groupBy(*keys).agg(F.max(_spot("epoch_idx")).alias("closes"))
-    final = with_parameters(last, {n: space[n] for n in names}).select(
-        *keys, *names, _row("closes").alias("epoch_idx"), F.lit(None).cast("long").alias("opens"), "closes")
-    order = ("at", "mpl", "st", "ss", "vm")
-    return _score_periods(events.unionByName(final), keys, names, space["mpl"], subject_totals(epochs, keys),
-                          {k: space[k] for k in order}, size)
-
-
-def choi_grid(epochs: DataFrame, space: Space, keys: Sequence[str] = SUBJECT, size: int = DEFAULT_SIZE) -> DataFrame:
-    """Confusion per subject and (at, mpl, st, mwl, wst, vm)."""
-    placed = _with_truth_position(epochs, keys, size)
-    rows = with_parameters(placed, {"vm": space["vm"]}).withColumn(
-        "_v", F.when(F.col("vm"), F.col("vmu")).otherwise(F.col("axis1")))
+    across = periods.select(*by, "vm", "_combo", level.alias("_level"), length.alias("_pred"),
+                            (_hits("stop") - _hits("start")).alias("tp"))
+    counted = found.filter("_level IS NOT NULL").select(*across.columns).unionByName(across).groupBy(
+        *by, "vm", "_combo", "_level").agg(F.sum("_pred").alias("_pred"), F.sum("tp").alias("tp"))
+    rest = width
+    for n, values in names.items():
+        rest //= len(values)
+        counted = counted.withColumn(n, F.element_at(
+            F.array(*[F.lit(v) for v in values]), (div("_combo", rest) % len(values) + 1).cast("int")))
+    marked = _at_least(counted, "_level", lengths, "mpl", [*by, *names, "vm"])
+    return confusion_of(marked, totals, space, by)
+
+
+def troiano_grid(epochs: DataFrame, space: Space, keys: Sequence[str] = SUBJECT, size: int = DEFAULT_SIZE,
+                 by: Sequence[str] | None = None) -> DataFrame:
+    """Confusion per subject and (at, mpl, st, ss, vm); per ``by`` in place of the subject, if given."""
+    by = keys if by is None else by
+    names = {n: list(space[n]) for n in ("at", "st", "ss")}
+    at, st, ss = (x.ravel() for x in np.meshgrid(*names.values(), indexing="ij"))
+    levels, which = np.unique(np.minimum(at, ss), return_inverse=True)
+
+    def marks_of(value: np.ndarray) -> Marks:
+        number = np.arange(1, len(value) + 1)[:, None]
+        busy = value[:, None] > levels
+        place = number - np.maximum.accumulate(np.where(busy, 0, number), axis=0)  # in its run of busy rows, from 1
+
+        def marks(lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+            return ~busy[lo:hi, which], (value[lo:hi, None] > ss) | (place[lo:hi, which] == st + 1)
+        return marks
+
+    rows = spread(_with_truth_position(epochs, keys, size), keys, "epoch_idx", size, int(st.max()) + 1, 0)
+    return _score_chunks(rows, keys, by, names, space["vm"], space["mpl"], marks_of, True, subject_totals(epochs, by),
+                         {k: space[k] for k in ("at", "mpl", "st", "ss", "vm")}, size)
+
+
+def choi_grid(epochs: DataFrame, space: Space, keys: Sequence[str] = SUBJECT, size: int = DEFAULT_SIZE,
+              by: Sequence[str] | None = None) -> DataFrame:
+    """Confusion per subject and (at, mpl, st, mwl, wst, vm); per ``by`` in place of the subject, if given."""
+    by = keys if by is None else by
+    names = {n: list(space[n]) for n in ("at", "st", "mwl", "wst")}
+    thresholds, tolerances, windows = (np.array(names[n]) for n in ("at", "st", "mwl"))
+    which = [x.ravel() for x in np.meshgrid(*[np.arange(len(v)) for v in names.values()], indexing="ij")]
+    third_of, crowd_of, allowed = which[0], which[1] * len(windows) + which[2], np.array(names["wst"])[which[3]]
+
+    def marks_of(value: np.ndarray) -> Marks:
+        busy, i = value > 0, np.arange(len(value))
+        seen = np.cumsum(busy)
+        ahead = lambda k: seen[np.minimum(i + k, len(i) - 1)]
+        back = lambda k: np.where(i >= k, seen[np.maximum(i - k, 0)], 0)
+        crowd = np.stack([np.maximum(ahead(w) - (back(1) if t == 0 else ahead(t - 1)), back(2) - back(w + 1))
+                          for t in tolerances for w in windows], axis=1)
+        over = value[:, None] > thresholds
+        third = np.zeros_like(over)
+        run = np.ones_like(over[CHOI_SPIKE_RUN:])
+        for k in range(CHOI_SPIKE_RUN):
+            run = run & over[CHOI_SPIKE_RUN - k:len(over) - k]
+        third[CHOI_SPIKE_RUN:] = run & ~over[:-CHOI_SPIKE_RUN]
+
+        def marks(lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+            closes = (busy[lo:hi, None] & (crowd[lo:hi, crowd_of] > allowed)) | third[lo:hi, third_of]
+            return np.broadcast_to(~busy[lo:hi, None], closes.shape), closes
+        return marks
+
     reach = max(max(space["mwl"]), CHOI_SPIKE_RUN)
-    rows = spread(rows, keys, "epoch_idx", size, reach, max(space["mwl"]))
-    part = [*keys, CHUNK, "vm"]
-    window = W.partitionBy(*part).orderBy("epoch_idx")
-    whole = W.partitionBy(*part)
-    rows = rows.withColumn("_seen", F.sum((F.col("_v") > 0).cast("int")).over(window.rowsBetween(W.unboundedPreceding, 0)))
-    last3 = window.rowsBetween(1 - CHOI_SPIKE_RUN, 0)
-    crowd = []
-    for st in space["st"]:
-        base = (lagged_sum("_seen", 1, window) if st == 0 else F.col("_seen") if st == 1
-                else leading_sum("_seen", st - 1, window, whole))
-        for mwl in space["mwl"]:
-            later = leading_sum("_seen", mwl, window, whole) - base
-            earlier = lagged_sum("_seen", 2, window) - lagged_sum("_seen", mwl + 1, window)
-            crowd.append(F.struct(F.lit(st).alias("st"), F.lit(mwl).alias("mwl"), F.greatest(later, earlier).alias("c")))
-    thirds = [
-        (F.sum((F.col("_v") > a).cast("int")).over(last3) == CHOI_SPIKE_RUN)
-        & F.coalesce(F.lag(F.col("_v") <= a, CHOI_SPIKE_RUN).over(window), F.lit(False)) for a in space["at"]]
-    rows = (
-        rows.withColumn("_crowd", F.array(*crowd)).withColumn("_third", F.array(*thirds)).filter(OWN)
-        .withColumn("_c", F.explode("_crowd"))
-    )
-    rows = rows.select(
-        *keys, CHUNK, "vm", F.col("_c.st").alias("st"), F.col("_c.mwl").alias("mwl"), (F.col("_v") > 0).alias("_busy"), "_p",
-        F.col("epoch_idx").alias("_a"), F.col("epoch_idx").alias("_b"),
-        *[F.when((F.col("_v") > 0) & (F.col("_c.c") > w), _spot("epoch_idx")).alias(f"_w_{k}") for k, w in enumerate(space["wst"])],
-        *[F.when(F.col("_third")[k], _spot("epoch_idx")).alias(f"_t_{k}") for k in range(len(space["at"]))])
-    firsts = [f"_w_{k}" for k in range(len(space["wst"]))] + [f"_t_{k}" for k in range(len(space["at"]))]
-    runs = merge_runs(rows, [*keys, "vm", "st", "mwl"], "_a", "_b", size, same=["_busy"],
-                      aggs={"_p": ("first", "_p"), **{c: ("min", c) for c in firsts}})
-    options = F.array(*[
-        F.struct(F.lit(a).alias("at"), F.lit(w).alias("wst"), F.least(f"_t_{i}", f"_w_{j}").alias("e"))
-        for i, a in enumerate(space["at"]) for j, w in enumerate(space["wst"])])
-    names = ["at", "st", "mwl", "wst", "vm"]
-    events = runs.withColumn("_o", F.explode(options)).select(
-        *keys, F.col("_o.at").alias("at"), "st", "mwl", F.col("_o.wst").alias("wst"), "vm", F.col("_a").alias("epoch_idx"),
-        F.when(~F.col("_busy"), _spot("_a")).alias("opens"), F.when(F.col("_busy"), F.col("_o.e")).alias("closes"))
-    order = ("at", "mpl", "st", "mwl", "wst", "vm")
-    return _score_periods(events, keys, names, space["mpl"], subject_totals(epochs, keys),
-                          {k: space[k] for k in order}, size)
+    rows = spread(_with_truth_position(epochs, keys, size), keys, "epoch_idx", size, reach, max(space["mwl"]))
+    return _score_chunks(rows, keys, by, names, space["vm"], space["mpl"], marks_of, False, subject_totals(epochs, by),
+                         {k: space[k] for k in ("at", "mpl", "st", "mwl", "wst", "vm")}, size)
 
 
 def hees_grid(blocks: DataFrame, block_truth: DataFrame, space: Space, block_rows: int,

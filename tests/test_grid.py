@@ -93,3 +93,19 @@ def test_space_sizes():
     sizes = [len(G.combinations(s)) for s in (
         FV.HECHT_SPACE, FV.TROIANO_SPACE, FV.CHOI_SPACE, FV.HEES_SPACE, FV.EDGE_DECISION_SPACE, FV.BASELINE_SPACE)]
     assert sizes == [1100, 9900, 10500, 5103, 20, 32]
+
+
+@pytest.mark.parametrize("size", [6, 1000])
+@pytest.mark.parametrize("grid, space", [
+    ("hecht", {"t": [0, 3], "i": [2, 5], "m": [1, 2]}),
+    ("troiano", {"at": [0, 4], "mpl": [1, 3], "st": [0, 3], "ss": [2, 11], "vm": [True, False]}),
+    ("choi", {"at": [0, 3], "mpl": [1, 4], "st": [0, 2], "mwl": [3, 6], "wst": [0, 2], "vm": [True]})])
+def test_counts_over_all_subjects_are_the_sum_of_theirs(spark, epochs, grid, space, size):
+    # A row without a subject counts as one, but is never marked.
+    more = epochs.unionByName(spark.createDataFrame([(None, 0, 0.0, 0.0, 1)], epochs.schema))
+    run = getattr(G, f"{grid}_grid")
+    counts = [F.sum(c).alias(c) for c in ("tn", "fp", "fn", "tp")]
+    each = run(more, space, size=size).groupBy(*space).agg(*counts).collect()
+    whole = run(more, space, size=size, by=()).select(*space, "tn", "fp", "fn", "tp").collect()
+    assert sorted(map(tuple, each)) == sorted(map(tuple, whole))
+    assert len(whole) == np.prod([len(v) for v in space.values()])
