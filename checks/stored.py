@@ -12,7 +12,7 @@ from checks.tables import EPOCHS_SQL, MONTH_START_SEC
 from stillwave.functions import expressions as X
 from stillwave.functions.fixed_values import CHOI_SPACE, HECHT_SPACE, HEES_SPACE, TROIANO_SPACE
 from stillwave.operators import align as A
-from stillwave.session import shared_folder
+from stillwave.session import shared_folder, spread_keys
 from stillwave.sources import tables as S
 
 
@@ -86,7 +86,8 @@ def _(t):
   SELECT subject, method, n FROM s, (VALUES ('hecht', CAST(1100 AS BIGINT)), ('troiano', 9900), ('choi', 10500), ('hees', 5103)) v(method, n)""")
 def _(t):
     # Different combinations that each subject gets; the results of the methods are one table.
-    subjects, out = S.subjects(t.epochs.select("subject")), None
+    # Subjects are dealt before the combinations are made, so their rows are counted where they are made.
+    subjects, out = spread_keys(S.subjects(t.epochs.select("subject")), ["subject"]), None
     for method, space in {"hecht": HECHT_SPACE, "troiano": TROIANO_SPACE, "choi": CHOI_SPACE, "hees": HEES_SPACE}.items():
         every = A.with_parameters(subjects, space).groupBy("subject", *space).agg(F.count(F.lit(1)).alias("times"))
         part = every.filter("times = 1").groupBy("subject").agg(F.count(F.lit(1)).alias("n")).select(
