@@ -135,3 +135,41 @@ def test_several_growth_rounds(spark):
     want = candidate_loop(v, 0.006, minute)
     assert (1 - got.marked).tolist() == want.tolist()
     assert (want == 0).sum() > 80 * minute + 10
+
+
+def test_growth_takes_one_round_and_stops_at_a_missing_minute(spark, monkeypatch):
+    blocks = [b for b in range(400) if b != 150]
+    minutes = spark.createDataFrame(
+        [("a", b, 6, *[0.0] * 9) for b in blocks],
+        "subject string, block long, n long, sum_y double, sum_x double, sum_z double, sumsq_y double, sumsq_x double, "
+        "sumsq_z double, last_y double, last_x double, last_z double")
+    islands = minutes.filter("block = 300").withColumnRenamed("block", "b0").selectExpr("*", "b0 AS b1", "n AS n_last")
+    rounds = []
+    kept = S.stash
+    monkeypatch.setattr(S, "stash", lambda df: rounds.append(1) or kept(df))
+    row = S.grow_islands(islands, minutes, 0.1, 6).collect()
+    assert [(r.lo, r.b1, r.n) for r in row] == [(151, 399, 6 * 249)]
+    assert len(rounds) == 1
+    far = S.grow_islands(islands, minutes, 0.1, 6, look_ahead=2).collect()
+    assert [(r.lo, r.b1, r.n) for r in far] == [(151, 399, 6 * 249)]
+
+
+def test_quiet_runs_at_chunk_borders(spark):
+    hz = 3
+    data = signals(23, subjects=3, minute=6, hi=200)
+    samples = frame(spark, data)
+    rows = [(k, c, a, a + 40 + c) for k in data for c in range(3) for a in [c]]
+    episodes = spark.createDataFrame(rows, "subject string, counter int, start_index long, stop_index long")
+    seen = {tuple(r) for r in S.quiet_runs(samples, episodes, 0.03, hz, size=4).collect()}
+    want = set()
+    for k, v in data.items():
+        for offset in range(hz):
+            quiet = [s for s in range((len(v) - offset) // hz)
+                     if (v[s * hz + offset:(s + 1) * hz + offset].std(axis=0) <= 0.03).all()]
+            for s in quiet:
+                if s - 1 not in quiet:
+                    stop = s
+                    while stop + 1 in quiet:
+                        stop += 1
+                    want.add((k, offset, s, stop))
+    assert seen == want and want
