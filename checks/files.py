@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from checks.registry import query, r6
 from checks.tables import EPOCHS_SQL, MONTH_START_SEC, SIGNAL_SQL
 from stillwave.operators.filtering import butterworth_bandpass, resample
+from stillwave.session import stash
 from stillwave.sources import edf, epoch_csv, raw_archive
 
 RATE = 4  # samples per packed second; the calendar bounds a packed file to 2,500 samples
@@ -28,8 +29,12 @@ def pack_triples(values: np.ndarray) -> bytes:
 def pack_archive(values: np.ndarray, start: int, rate: int) -> bytes:
     log = io.BytesIO()
     log.write(struct.pack("<cbLH", b"\x1e", 6, start, 3) + b"abc" + b"\x00")
-    for k in range(len(values) // rate):
-        payload = pack_triples(values[k * rate:(k + 1) * rate])
+    seconds = len(values) // rate
+    even = rate * 3 % 2 == 0  # a payload of whole bytes: all seconds are packed together
+    packed = pack_triples(values[:seconds * rate]) if even else b""
+    size = len(packed) // max(seconds, 1)
+    for k in range(seconds):
+        payload = packed[k * size:(k + 1) * size] if even else pack_triples(values[k * rate:(k + 1) * rate])
         log.write(struct.pack("<cbLH", b"\x1e", 0, start + k, len(payload)) + payload + b"\x00")
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
@@ -116,15 +121,16 @@ def pack_edf(channels: dict, seconds: int, notes: list) -> bytes:
              "physical_max": [3276.7] * len(labels), "digital_min": [-32768] * len(labels), "digital_max": [32767] * len(labels),
              "prefilter": [""] * len(labels), "samples": per, "reserved": [""] * len(labels)}
     out += "".join(field(v, w) for k, w in edf.CHANNEL_FIELDS.items() for v in value[k])
-    body = io.BytesIO()
-    for s in range(seconds):
-        for (name, v), n in zip(channels.items(), per):
-            body.write(np.asarray(v[s * n:(s + 1) * n], dtype="<i2").tobytes())
-        text = f"+{s}\x14\x14\x00"
-        if s < len(notes):
-            text += f"+{s}\x15{notes[s][0]}\x14{notes[s][1]}\x14\x00"
-        body.write(text.encode().ljust(64, b"\x00"))
-    return out.encode("ascii") + body.getvalue()
+    body = np.zeros((seconds, 2 * sum(per)), np.uint8)
+    at = 0
+    for v, n in zip(channels.values(), per):
+        part = np.asarray(v[:seconds * n]).astype("<i2").reshape(seconds, n)
+        body[:, at:at + 2 * n] = np.ascontiguousarray(part).view(np.uint8).reshape(seconds, 2 * n)
+        at += 2 * n
+    texts = [f"+{s}\x14\x14\x00" + (f"+{s}\x15{notes[s][0]}\x14{notes[s][1]}\x14\x00" if s < len(notes) else "")
+             for s in range(seconds)]
+    body[:, at:] = np.frombuffer(b"".join(x.encode().ljust(64, b"\x00") for x in texts), np.uint8).reshape(seconds, 64)
+    return out.encode("ascii") + body.tobytes()
 
 
 def edf_files(t):
@@ -139,14 +145,14 @@ def edf_files(t):
 @query("s3_s3b_edf_channels", f"""WITH {EPOCHS_SQL} SELECT CAST(subject AS VARCHAR) AS subject, epoch_idx AS idx, round(axis2 * 0.101972, 3) + 0.0 AS y, round(axis1 * 0.101972, 3) + 0.0 AS x,
   round(axis3 * 0.101972, 3) + 0.0 AS z, round(CAST(h_counts AS DOUBLE), 3) + 0.0 AS hr FROM epochs""")
 def _(t):
-    d = edf.device_tables(edf.read_samples(edf_files(t)))
+    d = edf.device_tables(stash(edf.decode_samples(edf_files(t))))  # decoded once for all tables
     r3 = lambda c: (F.round(F.col(c).cast("double"), 3) + F.lit(0.0)).alias(c)
     return d["acc"].join(d["hr"], ["subject", "idx"]).select("subject", "idx", r3("y"), r3("x"), r3("z"), r3("hr"))
 
 
 @query("s3_edf_metadata", """SELECT DISTINCT CAST(user_id AS VARCHAR) AS subject, '720' AS records, '6' AS signals, '[{"onset":0.0,"dur":5.0,"text":"Vertical"},{"onset":1.0,"dur":7.0,"text":"Slouched"}]' AS annotations FROM events""")
 def _(t):
-    meta = edf.read_metadata(edf_files(t))
+    meta = stash(edf.read_metadata(edf_files(t)))
     return meta.select("subject", F.col("meta")["records"].alias("records"), F.col("meta")["signals"].alias("signals")).join(
         edf.annotations_json(meta), "subject")
 

@@ -13,6 +13,7 @@ from math import gcd
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from stillwave.operators.chunked import CHUNK, div
@@ -28,6 +29,15 @@ def _overlapping(signal: DataFrame, keys: Sequence[str], idx: str, columns: Sequ
                          F.explode(F.sequence(low, high)).alias(CHUNK))
 
 
+def _in_pandas(step):
+    """A step on the data frame of a chunk as a step on its Arrow table, which costs less for each of very many chunks."""
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        out = step(tuple(k.as_py() for k in key), pd.DataFrame({c: rows.column(c).to_numpy() for c in rows.column_names}))
+        types = {c: rows.schema.field(c).type if c in rows.column_names else pa.int64() for c in out.columns}
+        return pa.table({c: pa.array(out[c].to_numpy(), types[c], from_pandas=True) for c in out.columns})
+    return run
+
+
 def _end_in_sight(position: np.ndarray, chunk: int, chunk_rows: int, margin: int) -> int | None:
     """Last index of the subject when it lies before the end of the chunk's margin."""
     last = int(position.max())
@@ -51,6 +61,11 @@ def resample(
     chunk_rows = chunk_secs * from_hz
     out_rows = chunk_secs * to_hz
     columns = list(columns)
+    # Outputs have one of ``up`` phases, so a tap has as many weights.
+    weights = []
+    for k in range(-half, half + 2):
+        x = (k - np.arange(up) / up) * scale
+        weights.append(np.where(np.abs(x) <= zeros, np.sinc(x) * (0.5 + 0.5 * np.cos(np.pi * x / zeros)), 0.0) * scale)
 
     def convert(key, pdf: pd.DataFrame) -> pd.DataFrame:
         chunk = int(key[-1])
@@ -62,12 +77,10 @@ def resample(
         values = np.zeros((chunk_rows + 2 * half + 5, len(columns)))
         values[pdf["_i"].to_numpy() - base] = pdf[columns].to_numpy()
         centre = outs * down // up
-        phase = (outs * down % up) / up
+        phase = outs * down % up
         result = np.zeros((len(outs), len(columns)))
-        for k in range(-half, half + 2):
-            x = (k - phase) * scale
-            weight = np.where(np.abs(x) <= zeros, np.sinc(x) * (0.5 + 0.5 * np.cos(np.pi * x / zeros)), 0.0) * scale
-            result += weight[:, None] * values[centre + k - base]
+        for k, weight in zip(range(-half, half + 2), weights):
+            result += weight[phase][:, None] * values[centre + k - base]
         frame = pd.DataFrame(result, columns=columns)
         frame.insert(0, idx, outs)
         for name, value in zip(keys, key):
@@ -77,7 +90,7 @@ def resample(
     types = dict(signal.dtypes)
     schema = ", ".join([f"{k} {types[k]}" for k in keys] + [f"{idx} bigint"] + [f"{c} double" for c in columns])
     rows = _overlapping(signal, keys, idx, columns, chunk_rows, half + 2)
-    return rows.groupBy(*keys, CHUNK).applyInPandas(convert, schema)
+    return rows.groupBy(*keys, CHUNK).applyInArrow(_in_pandas(convert), schema)
 
 
 def butterworth_sections(order: int, low: float, high: float, hz: float) -> np.ndarray:
@@ -105,7 +118,16 @@ def butterworth_sections(order: int, low: float, high: float, hz: float) -> np.n
     return sections
 
 
-def _respond(sections: np.ndarray, x: np.ndarray, settle: int) -> np.ndarray:
+def _transfer(sections: np.ndarray, size: int) -> np.ndarray:
+    """Transfer function of the cascade at the frequencies of a transform of ``size`` rows."""
+    w = np.exp(-2j * np.pi * np.arange(size // 2 + 1) / size)
+    transfer = np.ones_like(w)
+    for b0, b1, b2, a1, a2 in sections:
+        transfer *= (b0 + w * (b1 + w * b2)) / (1 + w * (a1 + w * a2))
+    return transfer
+
+
+def _respond(sections: np.ndarray, x: np.ndarray, settle: int, known: dict[int, np.ndarray]) -> np.ndarray:
     """Response of the cascade to rows of ``x`` that start from rest at their first value.
 
     A band-pass ignores a constant, so that value is taken off first. The
@@ -114,10 +136,9 @@ def _respond(sections: np.ndarray, x: np.ndarray, settle: int) -> np.ndarray:
     """
     n = len(x)
     size = 1 << int(np.ceil(np.log2(n + settle)))
-    w = np.exp(-2j * np.pi * np.arange(size // 2 + 1) / size)
-    transfer = np.ones_like(w)
-    for b0, b1, b2, a1, a2 in sections:
-        transfer *= (b0 + w * (b1 + w * b2)) / (1 + w * (a1 + w * a2))
+    if size not in known:  # chunks of a task have the same few sizes
+        known[size] = _transfer(sections, size)
+    transfer = known[size]
     spectrum = np.fft.rfft(x - x[0], size, axis=0)
     return np.fft.irfft(spectrum * transfer[:, None], size, axis=0)[:n]
 
@@ -144,6 +165,8 @@ def butterworth_bandpass(
     rows_per_chunk = chunk_rows or max(4 * margin, 65_536)
     columns = list(columns)
 
+    known: dict[int, np.ndarray] = {}
+
     def apply(key, pdf: pd.DataFrame) -> pd.DataFrame:
         chunk = int(key[-1])
         pdf = pdf.sort_values("_i")
@@ -154,8 +177,8 @@ def butterworth_bandpass(
         before = 2 * x[0] - x[edge:0:-1] if position[0] == 0 else x[:0]
         after = 2 * x[-1] - x[-2:-edge - 2:-1] if position[-1] == last else x[:0]
         y = np.concatenate([before, x, after])
-        y = _respond(sections, y, margin)
-        y = _respond(sections, y[::-1], margin)[::-1]
+        y = _respond(sections, y, margin, known)
+        y = _respond(sections, y[::-1], margin, known)[::-1]
         y = y[len(before):len(before) + len(x)]
         own = position // rows_per_chunk == chunk
         frame = pd.DataFrame(y[own], columns=columns)
@@ -167,4 +190,4 @@ def butterworth_bandpass(
     types = dict(signal.dtypes)
     schema = ", ".join([f"{k} {types[k]}" for k in keys] + [f"{idx} bigint"] + [f"{c} double" for c in columns])
     rows = _overlapping(signal, keys, idx, columns, rows_per_chunk, margin)
-    return rows.groupBy(*keys, CHUNK).applyInPandas(apply, schema)
+    return rows.groupBy(*keys, CHUNK).applyInArrow(_in_pandas(apply), schema)

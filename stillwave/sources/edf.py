@@ -7,6 +7,7 @@ Samples leave the decoder record by record in bounded batches.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -59,6 +60,8 @@ def _layout(content: bytes):
 
 
 def _samples(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ("subject", "channel", "first_idx", "values")
+    rows, held = [], 0
     for frame in frames:
         for subject, content in zip(frame["subject"], frame["content"]):
             _, channels, offsets, data = _layout(content)
@@ -70,15 +73,29 @@ def _samples(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 raw = data[:, offsets[i]:offsets[i + 1]].reshape(-1)
                 for s in range(0, len(raw), BATCH_VALUES):
                     part = (raw[s:s + BATCH_VALUES] - low) * (pmax - pmin) / (high - low) + pmin
-                    yield pd.DataFrame({"subject": [subject], "channel": [c["label"]], "first_idx": [s],
-                                        "values": [part.astype(np.float32)]})
+                    rows.append((subject, c["label"], s, part.astype(np.float32)))
+                    held += len(part)
+                    if held >= BATCH_VALUES:
+                        yield pd.DataFrame(dict(zip(names, zip(*rows))))
+                        rows, held = [], 0
+    if rows:
+        yield pd.DataFrame(dict(zip(names, zip(*rows))))
+
+
+def decode_samples(files: DataFrame) -> DataFrame:
+    """``(subject, content)`` -> ``(subject, channel, first_idx, values)``: arrays of a channel that start at multiples of a batch."""
+    return files.select("subject", "content").mapInPandas(_samples, SAMPLE_SCHEMA)
+
+
+def spread_samples(packed: DataFrame) -> DataFrame:
+    """One row per value of what ``decode_samples`` gives."""
+    return packed.select("subject", "channel", "first_idx", F.posexplode("values").alias("_p", "value")).select(
+        "subject", "channel", (F.col("first_idx") + F.col("_p")).alias("idx"), "value", "first_idx")
 
 
 def read_samples(files: DataFrame) -> DataFrame:
     """``(subject, content)`` -> ``(subject, channel, idx, value)`` in physical units."""
-    packed = files.select("subject", "content").mapInPandas(_samples, SAMPLE_SCHEMA)
-    return packed.select("subject", "channel", "first_idx", F.posexplode("values").alias("_p", "value")).select(
-        "subject", "channel", (F.col("first_idx") + F.col("_p")).alias("idx"), "value")
+    return spread_samples(decode_samples(files)).drop("first_idx")
 
 
 def _annotation_rows(subject: str, content: bytes) -> list:
@@ -87,14 +104,16 @@ def _annotation_rows(subject: str, content: bytes) -> list:
     for i, c in enumerate(channels):
         if c["label"] != ANNOTATIONS:
             continue
-        for record in data[:, offsets[i]:offsets[i + 1]]:
-            for item in record.astype("<i2").tobytes().split(b"\x00"):
+        # A zero after each record keeps its last text apart from the next record.
+        text = np.pad(data[:, offsets[i]:offsets[i + 1]], ((0, 0), (0, 1))).tobytes()
+        for item in re.findall(rb"[^\x00]+", text):
+            if not item.endswith(b"\x14\x14") or item.count(b"\x14") > 2:  # else only the time of the record
                 time, *texts = item.split(b"\x14")
                 onset, _, length = time.partition(b"\x15")
-                for text in texts:
-                    if text:
+                for note in texts:
+                    if note:
                         out.append({"onset": float(onset), "dur": float(length) if length else -1.0,
-                                    "text": text.decode("utf-8", "replace")})
+                                    "text": note.decode("utf-8", "replace")})
     return out
 
 
@@ -131,10 +150,18 @@ def complete_recordings(samples: DataFrame) -> DataFrame:
 
 
 def device_tables(samples: DataFrame) -> dict[str, DataFrame]:
-    """Acceleration in g (y, x, z), heart rate and ECG of complete recordings."""
+    """Acceleration in g (y, x, z), heart rate and ECG of complete recordings.
+
+    ``samples`` come from ``read_samples``, or from ``decode_samples`` if they
+    are stored: then arrays are shuffled and spread where they have arrived.
+    """
     usable = samples.join(complete_recordings(samples), "subject", "left_semi")
+    packed = "values" in samples.columns
+    spread = spread_samples if packed else lambda df: df
+    group = ["subject", "first_idx"] if packed else ["subject"]
     axis = lambda c: F.max(F.when(F.col("channel") == c, F.col("value"))) * MS2_TO_G
-    acc = usable.filter(F.col("channel").isin("X", "Y", "Z")).groupBy("subject", "idx").agg(
-        *[axis(c).alias(c.lower()) for c in ("Y", "X", "Z")])
-    one = lambda c, n: usable.filter(F.col("channel") == c).select("subject", "idx", F.col("value").alias(n))
+    moved = usable.filter(F.col("channel").isin("X", "Y", "Z"))
+    acc = spread(moved.repartition(*group) if packed else moved).groupBy(*group, "idx").agg(
+        *[axis(c).alias(c.lower()) for c in ("Y", "X", "Z")]).select("subject", "idx", "y", "x", "z")
+    one = lambda c, n: spread(usable.filter(F.col("channel") == c)).select("subject", "idx", F.col("value").alias(n))
     return {"acc": acc, "hr": one("Estimated HR", "hr"), "ecg": one("ECG0", "ecg")}

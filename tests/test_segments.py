@@ -173,3 +173,13 @@ def test_quiet_runs_at_chunk_borders(spark):
                         stop += 1
                     want.add((k, offset, s, stop))
     assert seen == want and want
+
+
+def test_overlap_confusion_does_not_repeat_the_truth(spark):
+    predicted = spark.createDataFrame([("a", 1, 0, 7), ("a", 2, 3, 12), ("b", 1, 2, 4)], "subject string, p int, start long, stop long")
+    truth = spark.createDataFrame([("a", 5, 10), ("c", 0, 3)], "subject string, start long, stop long")
+    totals = spark.createDataFrame([(s, p, 20) for s in "abc" for p in (1, 2)], "subject string, p int, n long")
+    options = truth.withColumn("p", F.explode(F.array(F.lit(1), F.lit(2))))
+    want = E.overlap_confusion(predicted, options, totals, 4, ("subject", "p")).collect()
+    got = E.overlap_confusion(predicted, truth, totals, 4, ("subject", "p"), truth_keys=("subject",)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 6

@@ -1,4 +1,6 @@
+import io
 import struct
+import zipfile
 
 import numpy as np
 import pandas as pd
@@ -141,3 +143,30 @@ def test_loaders_lookups_and_pairs(spark, tmp_path):
     assert {tuple(r) for r in spark.read.csv(str(tmp_path / "pairs")).collect()} == {("tp", "1"), ("f1", "0.5")}
     tables.write_rows_csv(signal, str(tmp_path / "rows"))
     assert tables.read_rows_csv(spark, str(tmp_path / "rows"), "subject string, idx long, y double, x double, z double").count() == 2
+
+
+def test_edf_tables_from_stored_arrays(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    ch = {"ECG0": rng.integers(-999, 999, 40), **{c: rng.integers(-999, 999, 20) for c in "XYZ"}, "Estimated HR": rng.integers(0, 99, 20)}
+    files = spark.createDataFrame([
+        ("a", pack_edf(ch, 20, [(5, "Vertical")])), ("b", pack_edf({k: v for k, v in ch.items() if k != "Z"}, 20, []))],
+        "subject string, content binary")
+    monkeypatch.setattr(edf, "BATCH_VALUES", 8)
+    whole, packed = edf.device_tables(edf.read_samples(files)), edf.device_tables(edf.decode_samples(files))
+    for name, df in packed.items():
+        rows = lambda d: sorted(map(tuple, d.select(*whole[name].columns).collect()))
+        assert rows(df) == rows(whole[name]) and rows(df)
+
+
+def test_edf_notes_that_fill_their_record():
+    body = pack_edf({"X": np.arange(3)}, 3, [(1, "n" * (64 - 12)), (2, "second")])
+    assert len(body) == 256 * 3 + 3 * (2 + 64)
+    assert [n["text"] for n in edf._annotation_rows("a", body)] == ["n" * 52, "second"]
+
+
+def test_equal_payloads_unpack_as_single_ones():
+    content = pack_archive(np.random.default_rng(5).integers(-2000, 2000, (24, 3)), 100, 4)
+    out = pd.concat(raw_archive._decode(True)(iter([pd.DataFrame({"subject": ["a"], "content": [content]})])))
+    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        each = [raw_archive.unpack_triples(p) for _, p in raw_archive.records(archive.open("log.bin"))]
+    assert [list(v) for v in out.y] == [v[:, 0].tolist() for v in each] and len(out) == 6
