@@ -1,12 +1,13 @@
 """Collocated phrases by stripes: each prefix keys an associative counter of the words that follow it.
 
 A task cuts its texts into windows of words and makes, for each prefix that it sees, a stripe: the next words and how
-often each followed. Stripes of one prefix are merged element by element; an element is a row of the shuffle, so that
-the stripe of a very common prefix is never held by one task. The stripe of the empty prefix holds the words
-themselves, and its total is the number of words. All that is asked later is read from the merged stripes: a phrase's
-own count is its element in the stripe of its prefix, the counts of its parts are elements of shorter prefixes'
-stripes, and the most common longer phrase is the largest element of the phrase's own stripe (to the right) or among
-the stripes that end in it (to the left).
+often each followed. Stripes of one prefix are merged element by element. Elements are dealt to a fixed number of parts
+by their phrases' keys, so that the stripe of a very common prefix is spread over many; a task sends a part all it has
+for it in one block, and not a row for each prefix, of which more are frequent in more text. The stripe of the empty
+prefix holds the words themselves, and its total is the number of words. All that is asked later is read from the merged
+stripes: a phrase's own count is its element in the stripe of its prefix, the counts of its parts are elements of
+shorter prefixes' stripes, and the most common longer phrase is the largest element of the phrase's own stripe (to the
+right) or among the stripes that end in it (to the left).
 
 A phrase occurs at most as often as any part of it, so stripes only count where the parts were frequent: first words,
 then the pairs of frequent words by one hash, then exactly the phrases of two and three words, then those of four and
@@ -17,19 +18,23 @@ frequent ones.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from stillwave.llm.common import stash
+from stillwave.llm.common import lean, small_batches, stash
 
 #: Bits of the bitmap of frequent phrases, and so the most that a pass sends to each task (8 MB).
 FILTER_BITS = 1 << 26
 #: Words of a window, in which a task counts at once.
 WINDOW = 250_000
-#: Phrases whose stripes a task merges before it hands them on.
-HELD = 1_000_000
+#: Elements that a task holds before it adds them up; it hands them on if more than half are left.
+HELD = 800_000
+#: Elements are dealt to two to this power parts, by the highest bits of their phrases' keys.
+DEAL_BITS = 10
 #: Different words that a task keeps numbers for before it counts what it has and starts again.
 KEPT_WORDS = 200_000
 #: Bytes of a text that are cut into words at once.
@@ -168,7 +173,7 @@ def first_stripes(docs: DataFrame) -> DataFrame:
             held[lang] = n
         yield from merged_rows()
 
-    return docs.mapInArrow(run, "lang string, word string, n long")
+    return docs.mapInArrow(lean(run), "lang string, word string, n long")
 
 
 def frequent_starts(words: Words, lang: str, numbers: np.ndarray, starts: int, size: int, most: int, bits: np.ndarray):
@@ -198,80 +203,88 @@ def pair_hashes(docs: DataFrame, frequent) -> DataFrame:
             h, n = np.unique(longer((key[0][at],), (word[0][at + 1],))[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["h", "n"])
 
-    return docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(lean(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def stripes(docs: DataFrame, known: int, sizes: tuple[int, ...], frequent) -> DataFrame:
-    """Stripes of prefixes: (lang, size, p1, p2, nexts) with the next words' keys and counts.
+def added_up(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Elements (p1, p2, w1, w2, n), each once with its whole count and its phrase's key (k1, k2), by which they go."""
+    cols = [np.concatenate(parts) for parts in zip(*held)]
+    k = longer(cols[:2], cols[2:4])
+    order = np.lexsort(k[::-1])
+    k1, k2 = k[0][order], k[1][order]
+    edge = np.flatnonzero(np.append(True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])))
+    n = np.add.reduceat(cols[4][order], edge)
+    return (*(c[order[edge]] for c in cols[:4]), n, k1[edge], k2[edge])
+
+
+def blocks(batches, known: int, sizes: tuple[int, ...], bits: np.ndarray):
+    """Stripes of the texts' prefixes, cut up: (part, elements), the rows p1, p2, w1, w2, n of a part's elements.
 
     For phrases of the given sizes (prefix and next word), where all parts of ``known`` words are in the bitmap.
     """
     most = max(sizes)
+    held, total = [], 0
+
+    def cut_up(p1, p2, w1, w2, n, k1, _):
+        part = (k1 >> np.uint64(64 - DEAL_BITS)).astype(np.int32)
+        edge = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        rows = np.stack([p1, p2, w1, w2, n], axis=1)
+        offsets = (np.append(edge, len(part)) * rows.itemsize * rows.shape[1]).astype(np.int32)
+        cut = pa.Array.from_buffers(pa.binary(), len(edge), [None, pa.py_buffer(offsets), pa.py_buffer(rows)])
+        batch = pa.RecordBatch.from_arrays([pa.array(part[edge]), cut], names=["part", "elements"])
+        for at in range(0, len(edge), 128):
+            yield batch.slice(at, 128)
+
+    for lang, words, numbers, starts in windows(batches, most - 1):
+        word, _, whole = frequent_starts(words, lang, numbers, starts, known, most, bits)
+        prefix = tuple(np.repeat(k, starts) for k in language_key(lang))
+        for size in range(1, most + 1):
+            if size > known:  # whole where all parts from here on are
+                whole = whole[:-1] & parts[size - known:]
+            else:
+                parts = whole
+            if size in sizes:
+                at = np.flatnonzero(whole[:starts])
+                if len(at):
+                    held.append((*(k[at] for k in prefix), *(w[at + size - 1] for w in word), np.ones(len(at), np.uint64)))
+                    total += len(at)
+            prefix = longer(prefix, tuple(w[size - 1:size - 1 + starts] for w in word))
+        if total >= HELD:
+            once = added_up(held)
+            held, total = [once[:5]], len(once[0])
+            if total > HELD // 2:
+                yield from cut_up(*once)
+                held, total = [], 0
+    if held:
+        yield from cut_up(*added_up(held))
 
-    def run(batches):
-        bits = np.frombuffer(frequent.value, np.uint64)
-        held, total = {}, 0
-
-        def merged_rows():
-            for (lang, size), parts in held.items():
-                yield from _rows(lang, size, *(np.concatenate(cols) for cols in zip(*parts)))
 
-        for lang, words, numbers, starts in windows(batches, most - 1):
-            if total >= HELD:
-                yield from merged_rows()
-                held, total = {}, 0
-            word, _, whole = frequent_starts(words, lang, numbers, starts, known, most, bits)
-            prefix = tuple(np.repeat(k, starts) for k in language_key(lang))
-            for size in range(1, most + 1):
-                if size > known:  # whole where all parts from here on are
-                    whole = whole[:-1] & parts[size - known:]
-                else:
-                    parts = whole
-                if size in sizes:
-                    at = np.flatnonzero(whole[:starts])
-                    if len(at):
-                        held.setdefault((lang, size), []).append(
-                            (*(k[at] for k in prefix), *(w[at + size - 1] for w in word)))
-                        total += len(at)
-                prefix = longer(prefix, tuple(w[size - 1:size - 1 + starts] for w in word))
-        yield from merged_rows()
+def stripes(docs: DataFrame, known: int, sizes: tuple[int, ...], frequent) -> DataFrame:
+    """The ``blocks`` of all tasks."""
+    def run(batches):
+        yield from blocks(batches, known, sizes, np.frombuffer(frequent.value, np.uint64))
 
-    return docs.mapInArrow(run, "lang string, size int, p1 long, p2 long, nexts array<struct<w1:long,w2:long,n:long>>")
-
-
-def _rows(lang: str, size: int, *cols: np.ndarray):
-    """One row for each prefix, with its stripe, of the keys of prefixes and next words."""
-    order = np.lexsort((cols[2], cols[1], cols[0]))
-    cols = [k[order] for k in cols]
-    changed = [np.append(True, c[1:] != c[:-1]) for c in cols]
-    edge = np.flatnonzero(changed[0] | changed[1] | changed[2] | changed[3])
-    n = np.diff(np.append(edge, len(order)))
-    stripe = np.flatnonzero((changed[0] | changed[1])[edge])
-    p1, p2, w1, w2 = (c[edge].view(np.int64) for c in cols)
-    offsets = np.append(stripe, len(edge)).astype(np.int32)
-    for a in range(0, len(stripe), 50_000):
-        cut = offsets[a:a + 50_001]
-        own = slice(cut[0], cut[-1])
-        nexts = pa.StructArray.from_arrays([pa.array(w1[own]), pa.array(w2[own]), pa.array(n[own], pa.int64())],
-                                           names=["w1", "w2", "n"])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([lang] * (len(cut) - 1)), pa.array(np.full(len(cut) - 1, size, np.int32)), pa.array(p1[cut[:-1]]),
-             pa.array(p2[cut[:-1]]), pa.ListArray.from_arrays(cut - cut[0], nexts)],
-            names=["lang", "size", "p1", "p2", "nexts"])
+    return docs.mapInArrow(lean(run), "part int, elements binary")
 
 
 def merged(of: DataFrame, least: int) -> DataFrame:
-    """Elements of at least ``least`` of the merged stripes: (lang, size, p1, p2, w1, w2, n, k1, k2), k the phrase's key."""
-    rows = (of.select("lang", "size", "p1", "p2", F.inline("nexts")).groupBy("lang", "size", "p1", "p2", "w1", "w2")
-            .agg(F.sum("n").alias("n")).where(F.col("n") >= least))
-
-    def run(batches):
+    """Elements of at least ``least`` of the merged stripes: (p1, p2, w1, w2, n, k1, k2), k the phrase's key."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total, merge_at = [], 0, HELD
         for batch in batches:
-            p, w = (tuple(batch.column(c).to_numpy().view(np.uint64) for c in names) for names in (("p1", "p2"), ("w1", "w2")))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(k.view(np.int64)) for k in longer(p, w))],
-                                             names=[*batch.schema.names, "k1", "k2"])
+            for block in batch.column("elements"):
+                held.append(tuple(np.frombuffer(block.as_buffer(), np.uint64).reshape(-1, 5).T))
+                total += len(held[-1][0])
+                if total >= merge_at:  # what is held stays near the number of different elements
+                    held = [added_up(held)[:5]]
+                    total = len(held[0][0])
+                    merge_at = max(HELD, 2 * total)
+        cols = added_up(held)
+        often = cols[4] >= least
+        yield pa.RecordBatch.from_arrays([pa.array(c[often].view(np.int64)) for c in cols],
+                                         names=["p1", "p2", "w1", "w2", "n", "k1", "k2"])
 
-    return rows.mapInArrow(run, "lang string, size int, p1 long, p2 long, w1 long, w2 long, n long, k1 long, k2 long")
+    return of.groupBy("part").applyInArrow(run, "p1 long, p2 long, w1 long, w2 long, n long, k1 long, k2 long")
 
 
 def _keyed_words(words: DataFrame) -> DataFrame:
@@ -322,10 +335,11 @@ def counted(docs: DataFrame, least: int, most_words: int) -> tuple[DataFrame, Da
     while frequent and known <= most_words and sizes:
         found = stash(merged(stripes(docs, known, sizes, frequent), least))
         for size in sizes:
-            prefix = named[size - 1].select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("phrase").alias("prefix"))
+            prefix = named[size - 1].select("lang", F.col("k1").alias("p1"), F.col("k2").alias("p2"),
+                                            F.col("phrase").alias("prefix"))
             word = words.select("lang", "w1", "w2", "word")
-            named[size] = stash(found.where(F.col("size") == size).join(prefix, ["p1", "p2"]).join(word, ["lang", "w1", "w2"])
-                                .select("lang", F.concat_ws(" ", "prefix", "word").alias("phrase"), "size", "n", "k1", "k2"))
+            named[size] = stash(found.join(prefix, ["p1", "p2"]).join(word, ["lang", "w1", "w2"]).select(
+                "lang", F.concat_ws(" ", "prefix", "word").alias("phrase"), F.lit(size).alias("size"), "n", "k1", "k2"))
         known, sizes = sizes[-1], tuple(x for x in (sizes[-1] + 1, sizes[-1] + 2) if x <= most_words)
         frequent = sent(named[known])
     phrases = None
@@ -347,6 +361,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     A null text is empty, a null language is ``und``, as is a language of that name; repeated rows count each time;
     other columns are not looked at. Texts of any length are read in slices. An empty table gives an empty one.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
     phrases, totals = counted(docs, least, most_words)
     phrases = stash(phrases)

@@ -263,3 +263,51 @@ def test_windows_cut_long_texts_without_loss(monkeypatch):
                 words = piece.split()
                 want.update(" ".join(words[i:i + size]).encode() for i in range(len(words) - size + 1))
         assert seen == want
+
+
+def test_stripes_are_sent_in_blocks(spark):
+    """Rows sent don't grow with the number of prefixes, nor with how often a prefix comes."""
+    rnd = random.Random(5)
+    rows = [("en", " ".join(f"w{rnd.randint(0, 20_000)}" for _ in range(30_000))) for _ in range(2)] * 2
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(4)
+    every = spark.sparkContext.broadcast(b"\xff" * (collocations.FILTER_BITS // 8))
+    sent = collocations.stripes(df, 2, (2, 3), every)
+    assert sent.count() <= 4 * 2 ** collocations.DEAL_BITS
+    got = collocations.merged(sent, 2)
+    want = Counter()
+    for _, text in rows:
+        words = text.split()
+        want.update(tuple(words[i:i + size]) for size in (2, 3) for i in range(len(words) - size + 1))
+    often = sorted(n for n in want.values() if n >= 2)
+    assert sorted(r.n for r in got.collect()) == often and len(often) > 1000
+    assert got.select("k1", "k2").distinct().count() == len(often)
+
+
+@pytest.mark.parametrize("held", [10, 300, 10 ** 6])
+def test_blocks_add_up_to_all_places(monkeypatch, held):
+    """Whether a task hands on often, adds up what it goes on holding, or does so once at its end."""
+    import pyarrow as pa
+
+    rnd = random.Random(6)
+    rows = [(rnd.choice(["en", "de"]), " ".join(rnd.choice("abcdefgh") + rnd.choice(["", "."]) for _ in range(500))) for _ in range(6)]
+    monkeypatch.setattr(collocations, "WINDOW", 37)
+    monkeypatch.setattr(collocations, "HELD", held)
+    batch = pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows]), pa.array([x for _, x in rows])], names=["lang", "text"])
+    seen = Counter()
+    for out in collocations.blocks([batch], 2, (2, 3), np.full(collocations.FILTER_BITS // 64, -1, np.int64).view(np.uint64)):
+        for part, block in zip(out.column("part").to_pylist(), out.column("elements").to_pylist()):
+            for *element, n in np.frombuffer(block, np.uint64).reshape(-1, 5):
+                key = collocations.longer(*(tuple(np.array([x]) for x in pair) for pair in (element[:2], element[2:])))
+                assert int(key[0][0]) >> (64 - collocations.DEAL_BITS) == part
+                seen[tuple(element)] += int(n)
+    want = Counter()
+    for lang, text in rows:
+        for piece in text.split("."):
+            words = piece.encode().split()
+            for size in (2, 3):
+                for i in range(len(words) - size + 1):
+                    prefix = collocations.language_key(lang)
+                    for word in words[i:i + size - 1]:
+                        prefix = collocations.longer(prefix, collocations.keys_of([word]))
+                    want[tuple(k[0] for k in (*prefix, *collocations.keys_of([words[i + size - 1]])))] += 1
+    assert seen == want
