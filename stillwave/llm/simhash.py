@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from stillwave.llm.common import connected, stash
+from stillwave.llm.common import connected, join_by_measure, stash
 
 BITS = 64
 #: Buckets of up to so many fingerprints are compared pair by pair.
@@ -163,6 +163,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     if not 0 <= most <= 6:
         raise ValueError("most must be from 0 to 6")
+    join_by_measure(docs.sparkSession)
     rows = stash(fingerprints(docs, doc_id, text, size))
     nodes = stash(rows.groupBy("fp").agg(F.min("id").alias("least")))
     roots = connected(links(nodes, most, nodes.count()))

@@ -97,6 +97,23 @@ def test_any_close_pair_shares_a_choice_of_blocks():
             assert any(flip & m == 0 for m in masks)
 
 
+def test_exploded_fingerprints_are_not_broadcast_by_estimate(spark):
+    """Each fingerprint comes once for every choice of blocks, which the planner's sizes don't see."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {n: spark.conf.get(n, None) for n in names}
+    try:
+        spark.conf.set(names[0], "10m")
+        spark.conf.unset(names[1])
+        df = spark.range(3).select(F.col("id").alias("doc_id"), F.lit("one two three four").alias("text"))
+        assert {r.component_id for r in simhash.near_duplicates(df).collect()} == {0}
+        nodes = common.stash(spark.range(50_000).select(F.xxhash64("id").alias("fp")))
+        plan = simhash.links(nodes, 4, 50_000)._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan, plan
+    finally:
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
 # -- 12: conversation repair
 
 def plain_repair(rows):
