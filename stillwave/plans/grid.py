@@ -3,8 +3,8 @@
 No detector runs once per combination. Each plan finds what the parameters
 really change and shares the rest:
 
-* Hecht: a row is non-wear for every minimum count above one number, so the
-  rows collapse to a histogram of that number;
+* Hecht: a row is non-wear for every minimum count above one number, so a
+  chunk's rows collapse to a histogram of that number for each window;
 * Troiano, Choi: a chunk's rows are scanned once for all combinations together,
   and a period counts for every minimum length up to its own;
 * van Hees: a block only needs the k-th smallest spread over its windows.
@@ -20,6 +20,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from stillwave.operators.align import with_parameters
@@ -27,7 +28,7 @@ from stillwave.operators.blocks import AXES, pooled_std
 from stillwave.operators.chunked import (
     CHUNK, DEFAULT_SIZE, OWN, chunk_window, div, lagged_sum, leading_sum, list_periods, settle, sliding_extremes, spread,
 )
-from stillwave.operators.detectors import CHOI_SPIKE_RUN, hecht_support
+from stillwave.operators.detectors import CHOI_SPIKE_RUN
 from stillwave.session import cut_lineage
 
 SUBJECT = ("subject",)
@@ -50,9 +51,12 @@ def confusion_of(marked: DataFrame, totals: DataFrame, space: Space, keys: Seque
     """
     names = list(space)
     every = with_parameters(totals, space)
-    joined = every.join(marked, [*keys, *names], "left").na.fill(0, ["_pred", "tp"])
+    return _confusion(every.join(marked, [*keys, *names], "left").na.fill(0, ["_pred", "tp"]), [*keys, *names])
+
+
+def _confusion(joined: DataFrame, kept: Sequence[str]) -> DataFrame:
     return joined.select(
-        *keys, *names,
+        *kept,
         (F.col("_n") - F.col("_pred") - F.col("_t") + F.col("tp")).cast("long").alias("tn"),
         (F.col("_pred") - F.col("tp")).cast("long").alias("fp"),
         (F.col("_t") - F.col("tp")).cast("long").alias("fn"),
@@ -71,40 +75,96 @@ def _at_least(counted: DataFrame, level: str, thresholds: Sequence, name: str, k
 
 def hecht_grid(epochs: DataFrame, space: Space, epoch_sec: int = 60, keys: Sequence[str] = SUBJECT,
                size: int = DEFAULT_SIZE, by: Sequence[str] | None = None) -> DataFrame:
-    """Confusion per subject and (t, i, m); per ``by`` in place of the subject, if given."""
+    """Confusion per subject and (t, i, m); per ``by`` in place of the subject, if given.
+
+    A chunk of rows goes through once, for all combinations together, and leaves one row with two counts for each
+    combination. Those of a subject are added up in one place, where its total is too.
+    """
     from stillwave.operators.detectors import quiet_window
 
     by = keys if by is None else by
-    minimums = sorted(space["m"])
-    windows = {i: quiet_window(i, epoch_sec) for i in space["i"]}
-    reach = max(windows.values())
+    names = {n: list(space[n]) for n in ("t", "i", "m")}
+    windows = [quiet_window(i, epoch_sec) for i in names["i"]]
+    reach = max(windows)
     # Rows without a key mark nothing, whatever the counts are added up by.
-    known = epochs.select(*keys, "epoch_idx", F.col("vmu").alias("_value"), "truth").dropna(subset=list(keys))
+    known = epochs.select(*keys, "epoch_idx", F.col("vmu").cast("double").alias("_value"),
+                          F.col("truth").cast("long").alias("truth")).dropna(subset=list(keys))
     rows = spread(known, keys, "epoch_idx", size, reach, reach)
-    rows = rows.withColumn("t", F.explode(F.array(*[F.lit(t) for t in space["t"]])))
-    part = [*keys, CHUNK, "t"]
-    window = W.partitionBy(*part).orderBy("epoch_idx")
-    whole = W.partitionBy(*part)
-    rows = rows.withColumn("_seen", F.sum((F.col("_value") > F.col("t")).cast("int")).over(
-        window.rowsBetween(W.unboundedPreceding, 0)))
-    sides = F.array(*[
-        F.struct(
-            F.lit(i).alias("i"),
-            (leading_sum("_seen", w, window, whole) - F.col("_seen")).alias("following"),
-            (lagged_sum("_seen", 1, window) - lagged_sum("_seen", w + 1, window)).alias("preceding"))
-        for i, w in windows.items()])
-    rows = rows.withColumn("_sides", sides).filter(OWN).select(
-        *keys, "t", "_value", "truth", F.explode("_sides").alias("_s")).select(
-        *keys, "t", "_value", "truth", "_s.i", "_s.following", "_s.preceding")
-    # Non-wear for minimum m iff support < m: the number of minimums above the support.
-    level = F.lit(0)
-    for m in minimums:
-        level = level + (hecht_support(F.col("t")) < m).cast("int")
-    descending = sorted(minimums, reverse=True)
-    counted = rows.withColumn("_level", level).groupBy(*by, "t", "i", "_level").agg(
-        F.count(F.lit(1)).alias("_pred"), F.sum("truth").alias("tp"))
-    marked = _at_least(counted, "_level", descending, "m", [*by, "t", "i"])
-    return confusion_of(marked, subject_totals(epochs, by), {k: space[k] for k in ("t", "i", "m")}, by)
+    schema = T.StructType([*[rows.schema[k] for k in keys], *[
+        T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("_preds", "_tps")]])
+    found = rows.groupBy(*keys, CHUNK).applyInArrow(_hecht_counts(keys, names["t"], windows, names["m"]), schema)
+    totals = subject_totals(epochs, by)
+    width = int(np.prod([len(v) for v in names.values()]))
+    if set(by) == set(keys):
+        # Each subject is one packed row until its total is beside it.
+        zeros = F.array_repeat(F.lit(0).cast("long"), width)
+        add = lambda c: F.aggregate(F.collect_list(c), zeros, lambda a, b: F.zip_with(a, b, lambda x, y: x + y)).alias(c)
+        packed = totals.join(found.groupBy(*keys).agg(add("_preds"), add("_tps")), list(keys), "left")
+        cells = F.posexplode(F.arrays_zip(F.coalesce("_preds", zeros).alias("_pred"), F.coalesce("_tps", zeros).alias("tp")))
+        each = packed.select(*keys, "_n", "_t", cells.alias("_combo", "_c")).select(
+            *keys, "_n", "_t", *_values_of("_combo", names), F.col("_c._pred").alias("_pred"), F.col("_c.tp").alias("tp"))
+        return _confusion(each, [*keys, *names])
+    cells = F.posexplode(F.arrays_zip(F.col("_preds").alias("_pred"), F.col("_tps").alias("tp"))).alias("_combo", "_c")
+    marked = found.select(*by, cells).groupBy(*by, "_combo").agg(
+        F.sum("_c._pred").alias("_pred"), F.sum("_c.tp").alias("tp"))
+    marked = marked.select(*by, *_values_of("_combo", names), "_pred", "tp")
+    return confusion_of(marked, totals, {k: space[k] for k in names}, by)
+
+
+def _hecht_counts(keys: Sequence[str], thresholds: Sequence, windows: Sequence[int], minimums: Sequence):
+    """Rows that a chunk marks, and rightly marks, for each threshold, window and minimum.
+
+    A row is marked for every minimum above its support, so supports are counted by the number of minimums above them.
+    """
+    limits, ordered, reach = np.array(thresholds, float), np.sort(minimums), max(windows)
+    above = len(ordered) - np.searchsorted(ordered, np.arange(reach + 1), side="right")
+    levels = len(ordered) + 1
+    # Of the sorted minimums the j-th is above the supports with at least ``len - j`` minimums above them.
+    picked = len(ordered) - np.searchsorted(ordered, minimums)
+    first = np.arange(0, len(limits) * levels, levels)[:, None]  # the cells of a threshold
+
+    def count(table: pa.Table) -> pa.Table:
+        table = table.sort_by("epoch_idx")
+        own = np.flatnonzero(table.column(OWN).to_numpy())
+        if not len(own):
+            return pa.schema(fields(table)).empty_table()
+        v = pc.fill_null(table.column("_value"), -np.inf).to_numpy()
+        busy = (v > limits[:, None]) | np.isnan(v)
+        seen = np.zeros((len(limits), len(v) + 1 + 2 * reach), np.int32)
+        np.cumsum(busy, axis=1, out=seen[:, reach + 1:reach + 1 + len(v)])
+        seen[:, reach + 1 + len(v):] = seen[:, reach + len(v), None]
+        a, b = reach + own[0], reach + own[-1] + 1  # a chunk's own rows follow each other
+        busy = busy[:, own[0]:own[-1] + 1]
+        truth = pc.fill_null(table.column("truth"), 0).to_numpy()[own[0]:own[-1] + 1]
+        weight = np.broadcast_to(truth.astype(float), busy.shape).ravel()
+        shape = (len(limits), levels)
+        preds, tps = np.zeros((2, len(limits), len(windows), len(picked)), np.int64)
+        for i, w in enumerate(windows):
+            following = seen[:, a + 1 + w:b + 1 + w] - seen[:, a + 1:b + 1]
+            preceding = seen[:, a:b] - seen[:, a - w:b - w]
+            support = np.where(busy, np.maximum(following, preceding), np.minimum(following, preceding))
+            cell = (above.take(support) + first).ravel()
+            for out, weights in ((preds, None), (tps, weight)):
+                found = np.bincount(cell, weights, len(limits) * levels).reshape(shape)
+                out[:, i] = found[:, ::-1].cumsum(axis=1)[:, ::-1][:, picked]
+        row = pa.table({k: table.column(k).slice(0, 1) for k in keys})
+        for c, out in (("_preds", preds), ("_tps", tps)):
+            row = row.append_column(c, pa.array([out.ravel()], pa.list_(pa.int32())))
+        return row
+
+    def fields(table: pa.Table) -> list[pa.Field]:
+        return [*[table.schema.field(k) for k in keys], *[pa.field(c, pa.list_(pa.int32())) for c in ("_preds", "_tps")]]
+
+    return count
+
+
+def _values_of(combo: str, names: Mapping[str, Sequence]) -> list[Column]:
+    """The values of a combination's number, the last name's changing first."""
+    out, rest = [], int(np.prod([len(v) for v in names.values()]))
+    for n, values in names.items():
+        rest //= len(values)
+        out.append(F.element_at(F.array(*[F.lit(v) for v in values]), (div(combo, rest) % len(values) + 1).cast("int")).alias(n))
+    return out
 
 
 def _with_truth_position(epochs: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
@@ -245,11 +305,7 @@ def _score_chunks(rows: DataFrame, keys: Sequence[str], by: Sequence[str], names
                             (_hits("stop") - _hits("start")).alias("tp"))
     counted = found.filter("_level IS NOT NULL").select(*across.columns).unionByName(across).groupBy(
         *by, "vm", "_combo", "_level").agg(F.sum("_pred").alias("_pred"), F.sum("tp").alias("tp"))
-    rest = width
-    for n, values in names.items():
-        rest //= len(values)
-        counted = counted.withColumn(n, F.element_at(
-            F.array(*[F.lit(v) for v in values]), (div("_combo", rest) % len(values) + 1).cast("int")))
+    counted = counted.select("*", *_values_of("_combo", names))
     marked = _at_least(counted, "_level", lengths, "mpl", [*by, *names, "vm"])
     return confusion_of(marked, totals, space, by)
 

@@ -109,3 +109,21 @@ def test_counts_over_all_subjects_are_the_sum_of_theirs(spark, epochs, grid, spa
     whole = run(more, space, size=size, by=()).select(*space, "tn", "fp", "fn", "tp").collect()
     assert sorted(map(tuple, each)) == sorted(map(tuple, whole))
     assert len(whole) == np.prod([len(v) for v in space.values()])
+
+
+def test_hecht_rows_are_not_multiplied_by_the_space(spark, epochs, series):
+    """No row is made for a threshold or window: a chunk leaves one row, and the space only comes after it."""
+    space = {"t": [0, 3, 6], "i": [2, 5], "m": [4, 1, 2]}
+    for by in (None, ()):
+        plan = G.hecht_grid(epochs, space, by=by)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        chunks = next(n for n, line in enumerate(plan) if "FlatMapGroupsInArrow" in line)
+        assert not [line for line in plan[chunks + 1:] if "Generate" in line and "_chunk" not in line], plan
+    # A missing count is quiet, one that is no number is not; rows without an index are counted and never marked.
+    v = [0.0, None, float("nan"), 0.0, 9.0, 0.0, 0.0]
+    odd = spark.createDataFrame([("a", i, 0.0, x, 1) for i, x in enumerate(v)] + [("a", None, 0.0, 0.0, 1), ("b", None, 0.0, 0.0, 0)],
+                                "subject string, epoch_idx int, axis1 double, vmu double, truth int")
+    got = {(r.subject, r.m): (r.tn, r.fp, r.fn, r.tp) for r in G.hecht_grid(odd, {"t": [3], "i": [2], "m": [1, 2]}, size=4).collect()}
+    w = np.array([0, 0, 9, 0, 9, 0, 0])
+    for m in (1, 2):
+        marked = int((1 - hecht_loop(w, 3, 2, m)).sum())
+        assert got["a", m] == (0, 0, 8 - marked, marked) and got["b", m] == (1, 0, 0, 0)
