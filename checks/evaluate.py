@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.detect import (
     grown_sql,
-    CHOI, HECHT, HEES_SQL, HOUR, TROIANO, choi, choi_sql, hecht, hecht_sql, hees, runs_sql, troiano, troiano_sql,
+    CHOI, HECHT, HEES_SQL, HOUR, TROIANO, choi, choi_sql, hecht, hecht_sql, hees_of, runs_sql, troiano, troiano_sql,
 )
 from checks.registry import query, r6, s6
 from checks.tables import EPOCHS_SQL, MINUTE, SIGNAL_SQL
@@ -47,11 +47,13 @@ def matrix(t):
     return matrix_with_vmu(t).select("subject", "epoch_idx", "truth", *METHODS)
 
 
-def matrix_with_vmu(t):
-    return detect_counts(t.epochs, {
-        "hecht": lambda df: D.hecht(df, F.col("vmu"), epoch_sec=60, **HECHT),
-        "troiano": lambda df: D.troiano(df, F.col("axis1"), **TROIANO),
-        "choi": lambda df: D.choi(df, F.col("axis1"), **CHOI),
+def matrix_with_vmu(t, epochs=None):
+    # The calendar bounds a subject's rows, so they stay in the task where they are made.
+    epochs = t.placed("epochs")[0] if epochs is None else epochs
+    return detect_counts(epochs, {
+        "hecht": lambda df: D.hecht(df, F.col("vmu"), epoch_sec=60, **HECHT, size=None),
+        "troiano": lambda df: D.troiano(df, F.col("axis1"), **TROIANO, size=None),
+        "choi": lambda df: D.choi(df, F.col("axis1"), **CHOI, size=None),
     }).select("subject", "epoch_idx", "truth", "vmu", *METHODS)
 
 
@@ -103,13 +105,17 @@ sc AS MATERIALIZED (SELECT g.subject, g.sec, g.truth, lm.hecht, lm.troiano, lm.c
 
 def four_methods(t):
     """Counts and raw signal of the same subjects, every label as change points."""
-    counts = matrix(t).drop("truth")
-    raw = t.signal.select("subject", "idx", F.when(F.col("y") == 0, 1).otherwise(0).alias("truth"))
-    blocks = hees(t).select("subject", "block", (1 - F.col("wear")).cast("int").alias("hees"))
+    epochs, signal = t.placed("epochs", "signal")
+    counts = matrix_with_vmu(t, epochs).select("subject", "epoch_idx", *METHODS)
+    raw = signal.select("subject", "idx", F.when(F.col("y") == 0, 1).otherwise(0).alias("truth"))
     return overlay.overlay({
-        "raw": overlay.scaled(overlay.change_points(raw, ["truth"]), every=EVERY),
-        "counts": overlay.scaled(overlay.change_points(counts, METHODS, "epoch_idx"), repeat=TICKS),
-        "blocks": overlay.scaled(overlay.change_points(blocks, ["hees"], "block"), repeat=MINUTE, every=EVERY)})
+        "raw": overlay.scaled(overlay.change_points(raw, ["truth"], size=None), every=EVERY),
+        "counts": overlay.scaled(overlay.change_points(counts, METHODS, "epoch_idx", size=None), repeat=TICKS),
+        "blocks": overlay.scaled(overlay.change_points(placed_blocks(signal), ["hees"], "block", size=None), repeat=MINUTE, every=EVERY)})
+
+
+def placed_blocks(signal):
+    return hees_of(signal, size=None).select("subject", "block", (1 - F.col("wear")).cast("int").alias("hees"))
 
 
 @query("v2_label_matrix_four_methods", f"WITH {EPOCHS_SQL}, {SIGNAL_SQL}, {SECONDS_SQL} SELECT * FROM sc")
@@ -149,11 +155,12 @@ def _(t):
   LEFT JOIN cv ON cv.subject = k.subject AND cv.idx = k.idx LEFT JOIN hv ON hv.subject = k.subject AND hv.idx = k.idx""")
 def _(t):
     """Each table of any rate comes in once; what it has at a time is one struct."""
-    blocks = hees(t).select("subject", "block", (1 - F.col("wear")).cast("int").alias("hees"))
-    raw = t.signal.withColumn("truth", F.when(F.col("y") == 0, 1).otherwise(0))
+    epochs, signal = t.placed("epochs", "signal")
+    blocks = placed_blocks(signal)
+    raw = signal.withColumn("truth", F.when(F.col("y") == 0, 1).otherwise(0))
     line = A.outer_timeline({
         "raw": raw.select("subject", "idx", F.struct("y", "x", "z", "truth").alias("value")),
-        "counts": matrix_with_vmu(t).select("subject", (F.col("epoch_idx") * MINUTE).alias("idx"), F.struct("vmu", *METHODS).alias("value")),
+        "counts": matrix_with_vmu(t, epochs).select("subject", (F.col("epoch_idx") * MINUTE).alias("idx"), F.struct("vmu", *METHODS).alias("value")),
         "blocks": blocks.select("subject", (F.col("block") * MINUTE).alias("idx"), F.struct("hees").alias("value"))}, ("subject", "idx"))
     return line.select("subject", "idx", "raw.y", "raw.x", "raw.z", "raw.truth", *[f"counts.{m}" for m in METHODS], "blocks.hees",
                        r6(F.col("counts.vmu"), "vmu"))

@@ -2,7 +2,8 @@
 
 The count-based methods (Hecht 2009, Troiano 2007, Choi 2011) need a dense
 0-based epoch index per subject. The raw method (van Hees 2013) works on the
-block table of :mod:`stillwave.operators.blocks`.
+block table of :mod:`stillwave.operators.blocks`. ``size`` is that of
+:mod:`stillwave.operators.chunked`, None where a calendar bounds the rows.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ def quiet_window(interval_mins: float, epoch_sec: int) -> int:
 
 def neighbour_counts(
     df: DataFrame, active: Column, window_rows: int, idx: str = "epoch_idx",
-    keys: Sequence[str] = SUBJECT, size: int = DEFAULT_SIZE,
+    keys: Sequence[str] = SUBJECT, size: int | None = DEFAULT_SIZE,
 ) -> DataFrame:
     """Add ``following`` and ``preceding``: active rows in ``(i, i+W]`` and ``[i-W, i)``.
 
@@ -54,7 +55,7 @@ def neighbour_counts(
 def hecht(
     df: DataFrame, value: Column, epoch_sec: int = 60, threshold: float = 5,
     interval_mins: int = 20, min_count: int = 2, idx: str = "epoch_idx",
-    keys: Sequence[str] = SUBJECT, size: int = DEFAULT_SIZE,
+    keys: Sequence[str] = SUBJECT, size: int | None = DEFAULT_SIZE,
 ) -> DataFrame:
     """Hecht 2009 on the vector magnitude.
 
@@ -79,7 +80,7 @@ def hecht_support(threshold: float | Column, value: str = "_value") -> Column:
 def troiano(
     df: DataFrame, value: Column, activity_threshold: float = 0, min_period_len: int = 60,
     spike_tolerance: int = 2, spike_stoplevel: float = 100, idx: str = "epoch_idx",
-    keys: Sequence[str] = SUBJECT, size: int = DEFAULT_SIZE,
+    keys: Sequence[str] = SUBJECT, size: int | None = DEFAULT_SIZE,
 ) -> DataFrame:
     """Troiano 2007.
 
@@ -113,7 +114,7 @@ CHOI_SPIKE_RUN = 3
 
 def choi_window_counts(
     df: DataFrame, value: Column, spike_tolerance: int, min_window_len: int, idx: str,
-    keys: Sequence[str], size: int, keep: bool = False,
+    keys: Sequence[str], size: int | None, keep: bool = False,
 ) -> DataFrame:
     """Add ``_later`` and ``_earlier``: counts of non-zero rows around each row.
 
@@ -138,7 +139,7 @@ def choi_window_counts(
 def choi(
     df: DataFrame, value: Column, activity_threshold: float = 0, min_period_len: int = 90,
     spike_tolerance: int = 2, min_window_len: int = 30, window_spike_tolerance: int = 0,
-    idx: str = "epoch_idx", keys: Sequence[str] = SUBJECT, size: int = DEFAULT_SIZE,
+    idx: str = "epoch_idx", keys: Sequence[str] = SUBJECT, size: int | None = DEFAULT_SIZE,
 ) -> DataFrame:
     """Choi 2011.
 
@@ -168,7 +169,7 @@ def choi(
 
 def hees_windows(
     blocks: DataFrame, window_blocks: int, window_rows: int, keys: Sequence[str] = SUBJECT,
-    block: str = "block", size: int = DEFAULT_SIZE,
+    block: str = "block", size: int | None = DEFAULT_SIZE,
 ) -> DataFrame:
     """Pooled standard deviation and range of the window starting in each block.
 
@@ -219,7 +220,7 @@ def _covered_by_quiet(rows: DataFrame, quiet: Column, window_blocks: int, keys:
 def hees_blocks(
     blocks: DataFrame, step_rows: int, window_blocks: int, std_threshold: float, std_min_axes: int,
     range_threshold: float, range_min_axes: int, keys: Sequence[str] = SUBJECT,
-    block: str = "block", size: int = DEFAULT_SIZE,
+    block: str = "block", size: int | None = DEFAULT_SIZE,
 ) -> DataFrame:
     """van Hees 2013 on a block table whose blocks are one step long.
 
@@ -240,7 +241,7 @@ def hees_blocks(
 def hees(
     signal: DataFrame, hz: int = 100, window_mins: int = 60, step_mins: int = 15,
     std_mg: float = 3.0, std_min_axes: int = 2, range_mg: float = 50.0, range_min_axes: int = 2,
-    idx: str = "idx", keys: Sequence[str] = SUBJECT, size: int = DEFAULT_SIZE, samples_per_min: int | None = None,
+    idx: str = "idx", keys: Sequence[str] = SUBJECT, size: int | None = DEFAULT_SIZE, samples_per_min: int | None = None,
 ) -> DataFrame:
     """van Hees 2013 on raw samples; returns ``(keys, block, wear)`` per step block.
 
@@ -265,7 +266,7 @@ def hees(
 def hees_blocks_uneven(
     blocks: DataFrame, unit_rows: int, step_blocks: int, window_blocks: int, std_threshold: float,
     std_min_axes: int, range_threshold: float, range_min_axes: int,
-    keys: Sequence[str] = SUBJECT, size: int = DEFAULT_SIZE,
+    keys: Sequence[str] = SUBJECT, size: int | None = DEFAULT_SIZE,
 ) -> DataFrame:
     """As ``hees_blocks`` for windows starting only at every ``step_blocks``-th block."""
     rows = hees_windows(blocks, window_blocks, window_blocks * unit_rows, keys, "block", size)

@@ -14,14 +14,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from stillwave.operators.chunked import CHUNK, DEFAULT_SIZE, as_col, chunk_window, div, settle, with_chunk
-from stillwave.session import cut_lineage
+from stillwave.session import stash
 
 SUBJECT = ("subject",)
 DAY = 86_400
 
 
 def change_points(
-    labels: DataFrame, names: Sequence[str], idx: str = "idx", keys: Sequence[str] = SUBJECT, size: int = DEFAULT_SIZE,
+    labels: DataFrame, names: Sequence[str], idx: str = "idx", keys: Sequence[str] = SUBJECT, size: int | None = DEFAULT_SIZE,
 ) -> DataFrame:
     """``(keys, at, upto, names)``: rows whose labels differ from the row before, with the index after the last row seen.
 
@@ -64,7 +64,9 @@ def overlay(
         stacked = row if stacked is None else stacked.unionByName(row)
     # The last point of each set at each time, made once; then everything by chunks of time.
     points = stacked.groupBy(*keys, "at").agg(*[F.max(f"_p_{n}").alias(f"_p_{n}") for n in sets])
-    points = settle(cut_lineage(points).withColumn(CHUNK, div("at", size)), keys)
+    # Rows without a key have no range; left out here, both readers below share one shuffle.
+    points = stash(points.withColumn(CHUNK, div("at", size)))
+    points = settle(points.filter(_all_given([F.col(c) for c in (*keys, CHUNK)])), keys)
 
     last = lambda n: F.max_by(f"_p_{n}", F.when(F.col(f"_p_{n}").isNotNull(), F.col("at")))
     chunks = points.groupBy(*keys, CHUNK).agg(
