@@ -295,9 +295,9 @@ def _(t):
 
 @query("g2_g3_hees_grid", f"WITH {SIGNAL_SQL} {hees_grid_sql()}")
 def _(t):
-    truth = t.signal.groupBy("subject", F.expr(f"idx div {MINUTE}").alias("block")).agg(
-        F.count(F.lit(1)).alias("n"), F.when(F.max("y") == 0, F.count(F.lit(1))).otherwise(0).alias("truth"))
-    return G.hees_grid(B.block_stats(t.signal, MINUTE), truth, HEES_GRID, MINUTE)
+    signal, = t.placed("signal")
+    blocks = B.block_stats(signal, MINUTE).withColumn("truth", F.when(F.col("max_y") == 0, F.col("n")).otherwise(0))
+    return G.hees_grid(blocks, None, HEES_GRID, MINUTE, size=None)
 
 
 HP, TP_ = ("t", "i", "m"), ("at", "mpl", "st", "ss", "vm")

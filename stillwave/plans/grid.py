@@ -7,7 +7,8 @@ really change and shares the rest:
   chunk's rows collapse to a histogram of that number for each window;
 * Troiano, Choi: a chunk's rows are scanned once for all combinations together,
   and a period counts for every minimum length up to its own;
-* van Hees: a block only needs the k-th smallest spread over its windows.
+* van Hees: a block only needs the k-th smallest spread over its windows; a
+  chunk's blocks are counted for all thresholds together.
 
 Epoch input: ``(subject, epoch_idx, axis1, vmu, truth)`` with ``truth`` 1 for
 non-wear. Counts are in rows; multiply by the row length for seconds.
@@ -24,9 +25,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from stillwave.operators.align import with_parameters
-from stillwave.operators.blocks import AXES, pooled_std
+from stillwave.operators.blocks import AXES
 from stillwave.operators.chunked import (
-    CHUNK, DEFAULT_SIZE, OWN, chunk_window, div, lagged_sum, leading_sum, list_periods, settle, sliding_extremes, spread,
+    CHUNK, DEFAULT_SIZE, OWN, chunk_window, div, list_periods, settle, spread,
 )
 from stillwave.operators.detectors import CHOI_SPIKE_RUN
 from stillwave.session import cut_lineage
@@ -90,20 +91,11 @@ def hecht_grid(epochs: DataFrame, space: Space, epoch_sec: int = 60, keys: Seque
     known = epochs.select(*keys, "epoch_idx", F.col("vmu").cast("double").alias("_value"),
                           F.col("truth").cast("long").alias("truth")).dropna(subset=list(keys))
     rows = spread(known, keys, "epoch_idx", size, reach, reach)
-    schema = T.StructType([*[rows.schema[k] for k in keys], *[
-        T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("_preds", "_tps")]])
-    found = rows.groupBy(*keys, CHUNK).applyInArrow(_hecht_counts(keys, names["t"], windows, names["m"]), schema)
+    found = rows.groupBy(*keys, CHUNK).applyInArrow(
+        _hecht_counts(keys, names["t"], windows, names["m"]), _packed_schema(rows, keys))
     totals = subject_totals(epochs, by)
-    width = int(np.prod([len(v) for v in names.values()]))
     if set(by) == set(keys):
-        # Each subject is one packed row until its total is beside it.
-        zeros = F.array_repeat(F.lit(0).cast("long"), width)
-        add = lambda c: F.aggregate(F.collect_list(c), zeros, lambda a, b: F.zip_with(a, b, lambda x, y: x + y)).alias(c)
-        packed = totals.join(found.groupBy(*keys).agg(add("_preds"), add("_tps")), list(keys), "left")
-        cells = F.posexplode(F.arrays_zip(F.coalesce("_preds", zeros).alias("_pred"), F.coalesce("_tps", zeros).alias("tp")))
-        each = packed.select(*keys, "_n", "_t", cells.alias("_combo", "_c")).select(
-            *keys, "_n", "_t", *_values_of("_combo", names), F.col("_c._pred").alias("_pred"), F.col("_c.tp").alias("tp"))
-        return _confusion(each, [*keys, *names])
+        return _packed_confusion(found, totals, names, keys)
     cells = F.posexplode(F.arrays_zip(F.col("_preds").alias("_pred"), F.col("_tps").alias("tp"))).alias("_combo", "_c")
     marked = found.select(*by, cells).groupBy(*by, "_combo").agg(
         F.sum("_c._pred").alias("_pred"), F.sum("_c.tp").alias("tp"))
@@ -111,6 +103,32 @@ def hecht_grid(epochs: DataFrame, space: Space, epoch_sec: int = 60, keys: Seque
     return confusion_of(marked, totals, {k: space[k] for k in names}, by)
 
 
+def _packed_confusion(found: DataFrame, totals: DataFrame, names: Mapping[str, Sequence], keys: Sequence[str]) -> DataFrame:
+    """tn, fp, fn, tp from rows with the counts of all combinations, ``_preds`` and ``_tps``.
+
+    Each subject is one packed row until its total is beside it.
+    """
+    zeros = F.array_repeat(F.lit(0).cast("long"), int(np.prod([len(v) for v in names.values()])))
+    add = lambda c: F.aggregate(F.collect_list(c), zeros, lambda a, b: F.zip_with(a, b, lambda x, y: x + y)).alias(c)
+    packed = totals.join(found.groupBy(*keys).agg(add("_preds"), add("_tps")), list(keys), "left")
+    cells = F.posexplode(F.arrays_zip(F.coalesce("_preds", zeros).alias("_pred"), F.coalesce("_tps", zeros).alias("tp")))
+    each = packed.select(*keys, "_n", "_t", cells.alias("_combo", "_c")).select(
+        *keys, "_n", "_t", *_values_of("_combo", names), F.col("_c._pred").alias("_pred"), F.col("_c.tp").alias("tp"))
+    return _confusion(each, [*keys, *names])
+
+
+def _packed_row(table: pa.Table, keys: Sequence[str], preds: np.ndarray, tps: np.ndarray) -> pa.Table:
+    row = pa.table({k: table.column(k).slice(0, 1) for k in keys})
+    for c, out in (("_preds", preds), ("_tps", tps)):
+        row = row.append_column(c, pa.array([out.ravel()], pa.list_(pa.int64())))
+    return row
+
+
+def _packed_schema(rows: DataFrame, keys: Sequence[str]) -> T.StructType:
+    return T.StructType([*[rows.schema[k] for k in keys], *[
+        T.StructField(c, T.ArrayType(T.LongType())) for c in ("_preds", "_tps")]])
+
+
 def _hecht_counts(keys: Sequence[str], thresholds: Sequence, windows: Sequence[int], minimums: Sequence):
     """Rows that a chunk marks, and rightly marks, for each threshold, window and minimum.
 
@@ -126,8 +144,10 @@ def _hecht_counts(keys: Sequence[str], thresholds: Sequence, windows: Sequence[i
     def count(table: pa.Table) -> pa.Table:
         table = table.sort_by("epoch_idx")
         own = np.flatnonzero(table.column(OWN).to_numpy())
+        shape = (len(limits), levels)
+        preds, tps = np.zeros((2, len(limits), len(windows), len(picked)), np.int64)
         if not len(own):
-            return pa.schema(fields(table)).empty_table()
+            return _packed_row(table, keys, preds, tps)
         v = pc.fill_null(table.column("_value"), -np.inf).to_numpy()
         busy = (v > limits[:, None]) | np.isnan(v)
         seen = np.zeros((len(limits), len(v) + 1 + 2 * reach), np.int32)
@@ -137,8 +157,6 @@ def _hecht_counts(keys: Sequence[str], thresholds: Sequence, windows: Sequence[i
         busy = busy[:, own[0]:own[-1] + 1]
         truth = pc.fill_null(table.column("truth"), 0).to_numpy()[own[0]:own[-1] + 1]
         weight = np.broadcast_to(truth.astype(float), busy.shape).ravel()
-        shape = (len(limits), levels)
-        preds, tps = np.zeros((2, len(limits), len(windows), len(picked)), np.int64)
         for i, w in enumerate(windows):
             following = seen[:, a + 1 + w:b + 1 + w] - seen[:, a + 1:b + 1]
             preceding = seen[:, a:b] - seen[:, a - w:b - w]
@@ -147,13 +165,7 @@ def _hecht_counts(keys: Sequence[str], thresholds: Sequence, windows: Sequence[i
             for out, weights in ((preds, None), (tps, weight)):
                 found = np.bincount(cell, weights, len(limits) * levels).reshape(shape)
                 out[:, i] = found[:, ::-1].cumsum(axis=1)[:, ::-1][:, picked]
-        row = pa.table({k: table.column(k).slice(0, 1) for k in keys})
-        for c, out in (("_preds", preds), ("_tps", tps)):
-            row = row.append_column(c, pa.array([out.ravel()], pa.list_(pa.int32())))
-        return row
-
-    def fields(table: pa.Table) -> list[pa.Field]:
-        return [*[table.schema.field(k) for k in keys], *[pa.field(c, pa.list_(pa.int32())) for c in ("_preds", "_tps")]]
+        return _packed_row(table, keys, preds, tps)
 
     return count
 
@@ -366,85 +378,100 @@ def choi_grid(epochs: DataFrame, space: Space, keys: Sequence[str] = SUBJECT, si
                          {k: space[k] for k in ("at", "mpl", "st", "mwl", "wst", "vm")}, size)
 
 
-def hees_grid(blocks: DataFrame, block_truth: DataFrame, space: Space, block_rows: int,
-              keys: Sequence[str] = SUBJECT, size: int = DEFAULT_SIZE) -> DataFrame:
+def hees_grid(blocks: DataFrame, block_truth: DataFrame | None, space: Space, block_rows: int,
+              keys: Sequence[str] = SUBJECT, size: int | None = DEFAULT_SIZE) -> DataFrame:
     """Confusion per subject and (mw, wo, st, sa, vt, va), with blocks of one step.
 
     ``space["wo"]`` is the step the blocks were made with; ``mw`` is in the
     same unit. ``block_truth`` is ``(keys, block, n, truth)``: rows and true
-    non-wear rows per block.
+    non-wear rows per block; None if the blocks themselves have ``truth``. A
+    chunk of blocks goes through once, for all combinations together, and
+    leaves one row.
     """
     step = space["wo"][0]
     if len(space["wo"]) != 1 or any(w % step for w in space["mw"]):
         raise ValueError("one step, and windows that are multiples of it")
-    truth = block_truth.select(*keys, "block", F.col("n").alias("_rows"), F.col("truth").cast("long").alias("truth"))
-    lengths = {mw: mw // step for mw in space["mw"]}
-    parts = _quietest_windows(blocks, lengths, block_rows, keys, size)
-    stds, ranges = sorted(space["st"]), sorted(space["vt"])
-
-    def level(column: Column, thresholds: Sequence[float]) -> Column:
-        """Number of thresholds (in mg) the value is not below; all of them when null."""
-        out = F.lit(0)
-        for t in thresholds:
-            out = out + F.when(column < t / 1000, F.lit(0)).otherwise(F.lit(1))
-        return out
-
-    axes = F.array(*[
-        F.struct(F.lit(sa).alias("sa"), F.lit(va).alias("va"), level(F.col(f"_std_{sa - 1}"), stds).alias("ls"),
-                 level(F.col(f"_range_{va - 1}"), ranges).alias("lv"))
-        for sa in space["sa"] for va in space["va"]])
-    spots = parts.join(truth, [*keys, "block"]).withColumn("_x", F.explode(axes)).groupBy(
-        *keys, "mw", "_x.sa", "_x.va", "_x.ls", "_x.lv").agg(F.sum("_rows").alias("_pred"), F.sum("truth").alias("tp"))
-    spots = with_parameters(spots, {"_is": list(range(len(stds))), "_iv": list(range(len(ranges)))})
-    # Threshold number i is above the value when fewer than i + 1 thresholds are at or below it.
-    hit = spots.filter((F.col("ls") <= F.col("_is")) | (F.col("lv") <= F.col("_iv")))
-    marked = hit.withColumn("st", F.element_at(F.array(*[F.lit(s) for s in stds]), F.col("_is") + 1)).withColumn(
-        "vt", F.element_at(F.array(*[F.lit(v) for v in ranges]), F.col("_iv") + 1)).withColumn("wo", F.lit(step)).groupBy(
-        *keys, "mw", "wo", "st", "sa", "vt", "va").agg(F.sum("_pred").alias("_pred"), F.sum("tp").alias("tp"))
-    totals = truth.groupBy(*keys).agg(F.sum("_rows").alias("_n"), F.sum("truth").alias("_t"))
-    return confusion_of(marked, totals, {k: space[k] for k in ("mw", "wo", "st", "sa", "vt", "va")}, keys)
-
-
-def _quietest_windows(blocks: DataFrame, lengths: Mapping[int, int], block_rows: int, keys: Sequence[str],
-                      size: int) -> DataFrame:
-    """Per block and window length: the smallest k-th spread of the windows that cover the block.
-
-    ``_std_k`` and ``_range_k`` for k = 0..2. All lengths share one shuffle
-    and one sort of the block table.
+    counts = lambda df: df.agg(F.sum("n").alias("_rows"), F.sum("truth").cast("long").alias("truth"))
+    reach = max(space["mw"]) // step - 1
+    summed = [f"{p}_{a}" for p in ("sum", "sumsq") for a in AXES]
+    ends = [f"{p}_{a}" for p in ("min", "max") for a in AXES]
+    values = [F.col(c).cast("double").alias(c) for c in (*summed, *ends)]
+    if block_truth is None:
+        known = blocks.select(*keys, "block", "n", *values, F.col("n").alias("_rows"), F.col("truth").cast("long").alias("truth"))
+    else:
+        # A block without truth still belongs to the windows around it.
+        known = blocks.select(*keys, "block", "n", *values).join(counts(block_truth.groupBy(*keys, "block")), [*keys, "block"], "left")
+    for k in keys:
+        known = known.filter(F.col(k).isNotNull())
+    rows = spread(known, keys, "block", size, reach, reach)
+    found = rows.groupBy(*keys, CHUNK).applyInArrow(_hees_counts(keys, space, step, block_rows), _packed_schema(rows, keys))
+    totals = counts((blocks if block_truth is None else block_truth).groupBy(*keys)).withColumnsRenamed({"_rows": "_n", "truth": "_t"})
+    return _packed_confusion(found, totals, {k: list(space[k]) for k in ("mw", "wo", "st", "sa", "vt", "va")}, keys)
+
+
+def _extremes(values: np.ndarray, length: int, best: Callable) -> np.ndarray:
+    """``best`` of each row and the ``length - 1`` rows after it, or those that there are; lengths cost a logarithm."""
+    reach = 1
+    while 2 * reach <= length:
+        values = np.concatenate([best(values[:, :-reach], values[:, reach:]), values[:, -reach:]], axis=1) if (
+            reach < values.shape[1]) else values
+        reach *= 2
+    rest = length - reach
+    if 0 < rest < values.shape[1]:
+        values = np.concatenate([best(values[:, :-rest], values[:, rest:]), values[:, -rest:]], axis=1)
+    return values
+
+
+def _hees_counts(keys: Sequence[str], space: Space, step: int, block_rows: int):
+    """Rows that a chunk of blocks marks, and rightly marks, for each combination.
+
+    A block is marked when the quietest of the windows over it is below the standard deviation or the range, on as many
+    axes as asked for: the k-th smallest of the axes decides for k axes.
     """
-    reach = max(lengths.values()) - 1
-    kinds = [(p, k) for p in ("std", "range") for k in range(3)]
-    rows = spread(blocks, keys, "block", size, reach, reach)
-    window = chunk_window(keys, "block")
-    whole = W.partitionBy(*keys, CHUNK)
-    summed = ["n", *[f"{p}_{a}" for p in ("sum", "sumsq") for a in AXES]]
-    rows = rows.select("*", *[F.sum(c).over(window.rowsBetween(W.unboundedPreceding, 0)).alias(f"_c_{c}") for c in summed])
-    columns = []
-    for mw, w in lengths.items():
-        columns += [(leading_sum(f"_c_{c}", w - 1, window, whole) - lagged_sum(f"_c_{c}", 1, window)).alias(f"_{c}_{mw}")
-                    for c in summed]
-    ends = [f"{kind}_{a}" for kind in ("min", "max") for a in AXES]
-    rows = rows.select(*keys, CHUNK, OWN, "block", *ends, *columns)
-    std = lambda mw: F.array_sort(F.array(
-        *[pooled_std(f"_n_{mw}", f"_sum_{a}_{mw}", f"_sumsq_{a}_{mw}") for a in AXES]))
-    full = lambda mw, w: F.col(f"_n_{mw}") == w * block_rows
-    rows = rows.select(*keys, CHUNK, OWN, "block", *ends, *[c for mw, w in lengths.items() for c in (
-        full(mw, w).alias(f"_full_{mw}"), *[F.when(full(mw, w), std(mw)[k]).alias(f"_std_{k}_{mw}") for k in range(3)])])
-    # The extremes of a window and the quietest of the windows over a block, at the same cost for any length.
-    for mw, w in lengths.items():
-        rows = sliding_extremes(rows, keys, "block", 0, w - 1, {f"_e_{c}": (c[:3], c) for c in ends})
-        spread_of = F.array_sort(F.array(*[F.col(f"_e_max_{a}") - F.col(f"_e_min_{a}") for a in AXES]))
-        rows = rows.select(*[c for c in rows.columns if not c.startswith("_e_")],
-                           *[F.when(F.col(f"_full_{mw}"), spread_of[k]).alias(f"_range_{k}_{mw}") for k in range(3)])
-    rows = rows.drop(*ends, *[f"_full_{mw}" for mw in lengths])
-    for mw, w in lengths.items():
-        names = {f"_{p}_{k}_{mw}": ("min", f"_{p}_{k}_{mw}") for p, k in kinds}
-        least = sliding_extremes(rows, keys, "block", w - 1, 0, {f"_m{n}": of for n, of in names.items()})
-        rows = least.select(*[c for c in rows.columns if c not in names], *[F.col(f"_m{n}").alias(n) for n in names])
-    best = F.array(*[F.struct(F.lit(mw).alias("mw"), *[F.col(f"_{p}_{k}_{mw}").alias(f"_{p}_{k}") for p, k in kinds])
-                     for mw in lengths])
-    return rows.select(*keys, "block", OWN, best.alias("_b")).filter(OWN).select(
-        *keys, "block", F.explode("_b").alias("_b")).select(*keys, "block", "_b.*")
+    stds, ranges = (np.array([t / 1000 for t in space[c]]) for c in ("st", "vt"))
+    # Thresholds in order; where those of the space are among them.
+    limits = [(np.sort(v), np.searchsorted(np.sort(v), v)) for v in (stds, ranges)]
+
+    def count(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")
+        own = table.column(OWN).to_numpy()
+        take = lambda p, none: np.stack([pc.fill_null(table.column(f"{p}_{a}"), none).to_numpy() for a in AXES])
+        before = lambda x: np.concatenate([np.zeros((len(x), 1), x.dtype), np.cumsum(x, axis=1)], axis=1)
+        n, total, squares = before(table.column("n").to_numpy()[None]), before(take("sum", 0.0)), before(take("sumsq", 0.0))
+        low, high = take("min", np.inf), take("max", -np.inf)
+        weights = [pc.fill_null(table.column(c), 0).to_numpy()[own].astype(float) for c in ("_rows", "truth")]
+        shape = [len(space[c]) for c in ("mw", "wo", "st", "sa", "vt", "va")]
+        out = np.zeros((2, *shape), np.int64)
+        for m, mw in enumerate(space["mw"]):
+            w = mw // step
+            first = np.arange(len(own))
+            last = np.minimum(first + w, len(own))
+            over = lambda c: c[:, last] - c[:, first]
+            count, s, q = over(n), over(total), over(squares)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                std = np.sqrt(np.maximum(count * q - s * s, 0.0)) / count
+                spread_of = _extremes(high, w, np.maximum) - _extremes(low, w, np.fmin)
+            spread_of[np.isinf(spread_of)] = np.nan
+            marks = []
+            for values, (order, _) in zip((std, spread_of), limits):
+                kth = np.sort(values, axis=0)
+                kth[np.isnan(kth) | (count != w * block_rows)] = np.inf
+                # The windows over a block begin at it or before it.
+                least = _extremes(kth[:, ::-1], w, np.minimum)[:, ::-1][:, own]
+                marks.append(np.searchsorted(order, least, side="right"))
+            deep = len(ranges) + 1
+            for i, sa in enumerate(space["sa"]):
+                for j, va in enumerate(space["va"]):
+                    cell = marks[0][sa - 1] * deep + marks[1][va - 1]
+                    for counts, weight in zip(out, weights):
+                        held = np.bincount(cell, weight, (len(stds) + 1) * deep).reshape(-1, deep)
+                        # Threshold number k is above a value with at most k thresholds at or below it.
+                        loud = held[::-1, ::-1].cumsum(axis=0).cumsum(axis=1)[::-1, ::-1]
+                        at = np.ix_(limits[0][1] + 1, limits[1][1] + 1)
+                        counts[m, 0, :, i, :, j] = held.sum() - loud[at]
+        return _packed_row(table, keys, *out)
+
+    return count
 
 
 def best_row(df: DataFrame, metric: str, keys: Sequence[str] = (), ties: Sequence[str] = ()) -> DataFrame:

@@ -127,3 +127,29 @@ def test_hecht_rows_are_not_multiplied_by_the_space(spark, epochs, series):
     for m in (1, 2):
         marked = int((1 - hecht_loop(w, 3, 2, m)).sum())
         assert got["a", m] == (0, 0, 8 - marked, marked) and got["b", m] == (1, 0, 0, 0)
+
+
+def test_hees_blocks_are_not_multiplied_by_the_space(spark):
+    """A chunk of blocks leaves one row; blocks without truth count in windows but not in the totals."""
+    unit, space = 2, {"mw": [2, 3, 5], "wo": [1], "st": [5, 1], "sa": [3, 1], "vt": [9, 2], "va": [2]}
+    rng = np.random.default_rng(3)
+    v = rng.normal(0, 1, (41, 3)) * np.repeat(rng.choice([0.0005, 0.003, 0.2], 11), 4)[:41, None]
+    signal = spark.createDataFrame(pd.DataFrame(v, columns=["y", "x", "z"]).assign(subject="a", idx=np.arange(41)))
+    blocks = block_stats(signal, unit)
+    truth = blocks.filter("block % 4 <> 1").select("subject", "block", "n", F.when(F.col("block") % 3 == 0, F.col("n")).otherwise(0).alias("truth"))
+    held = blocks.join(truth.select("block", "truth"), "block").filter("block % 4 <> 1")
+    same = lambda *a, **b: sorted(map(tuple, G.hees_grid(*a, space, unit, **b).collect()))
+    assert same(held, None, size=4) == same(held.drop("truth"), truth, size=None)
+    for size in (4, None):
+        conf = G.hees_grid(blocks, truth, space, unit, size=size)
+        plan = conf._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        chunks = next(n for n, line in enumerate(plan) if "FlatMapGroupsInArrow" in line)
+        assert not [line for line in plan[chunks + 1:] if "Generate" in line and "_chunk" not in line], plan
+        rows = conf.collect()
+        assert len(rows) == len(G.combinations(space))
+        at = np.arange(41) // unit
+        known, y = at % 4 != 1, (at % 3 == 0).astype(int)
+        for r in rows:
+            pred = 1 - hees_loop(v, r.mw * unit, unit, r.st / 1000, r.sa, r.vt / 1000, r.va)
+            assert (r.tn, r.fp, r.fn, r.tp) == tuple(
+                int((known & (y == a) & (pred == b)).sum()) for a, b in [(0, 0), (0, 1), (1, 0), (1, 1)]), r
