@@ -183,3 +183,24 @@ def test_overlap_confusion_does_not_repeat_the_truth(spark):
     want = E.overlap_confusion(predicted, options, totals, 4, ("subject", "p")).collect()
     got = E.overlap_confusion(predicted, truth, totals, 4, ("subject", "p"), truth_keys=("subject",)).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 6
+
+
+def test_edges_that_go_on_are_tried_on_more_minutes_at_once():
+    """A strided walk ends where steps of one minute end, and needs few strides for a long way."""
+    import pyarrow as pa
+
+    n, quiet = 700, np.ones(700, bool)
+    quiet[[3, 650]] = False
+    minutes = {"block": np.arange(n), "n": np.full(n, 5)}
+    for a in S.AXES:
+        minutes |= {f"sum_{a}": np.zeros(n), f"sumsq_{a}": np.where(quiet, 0.0, 50.0), f"last_{a}": np.zeros(n)}
+    at = np.array([10, 300, 649])
+    edges = {c: x[at] for c, x in minutes.items() if c != "block"} | {
+        "b0": at, "b1": at, "lo": at, "_way": np.full(3, -1), "n_last": np.full(3, 5), "_chunk": np.zeros(3, int)}
+    state, strides = [c for c in edges if c != "_chunk"], []
+    walk, cumsum = S._walk(state, 0.1, 5, 1024), np.cumsum
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(S.np, "cumsum", lambda x, **k: strides.append(x.shape[1]) or cumsum(x, **k))
+        out = walk(pa.table(edges), pa.table(minutes)).to_pydict()
+    assert out["lo"] == [4, 4, 4] and out["b1"] == [649, 649, 649] and out["_way"] == [0, 0, 0]
+    assert len(strides) < 40 * 7  # 160 and more strides of eight minutes, with seven sums each
